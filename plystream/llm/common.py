@@ -46,3 +46,17 @@ def with_text(df: DataFrame, text: str = "text") -> DataFrame:
 def drop_quiet(df: DataFrame, *names: str) -> DataFrame:
     """Drops the caller's columns whose names an operator is about to add."""
     return df.drop(*[n for n in names if n in df.columns])
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot: int = 1000) -> DataFrame:
+    """Inner join of rows with their groups (one row for each key; ``size`` is its number of rows), safe for hot keys.
+
+    Keys with more than a ``hot``-th of all rows are fewer than ``hot``, as sizes add up to the number of rows, so they
+    are broadcast and their rows stay where they are; all other keys are joined by shuffle. Null keys don't match.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    is_hot = F.col(size) * hot > F.lit(total)
+    large = groups.where(is_hot)
+    common = rows.join(F.broadcast(large), key)
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(groups.where(~is_hot), key)
+    return common.unionByName(rest)

@@ -12,11 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plystream.llm.common import SPACE, parallelism, staged
-
-#: Groups with more than this share of a batch are joined by broadcast: there are at most HOT of them.
-HOT = 1000
-
+from plystream.llm.common import SPACE, join_groups, parallelism, staged
 
 def normalised(text: str = "text"):
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " ")
@@ -62,12 +58,7 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
         decided = staged(groups.join(self.table().hint("merge"), "digest").select("digest", "keep_id", "group_size"), "digest-decided")
 
-        total = rows.count()
-        is_hot = F.col("group_size") * HOT > total
-        hot = decided.where(is_hot)  # fewer than HOT rows, as the sizes add up to total
-        common = rows.join(F.broadcast(hot), "digest", "inner")
-        rest = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(decided.where(~is_hot), "digest")
-        return common.unionByName(rest).select(
+        return join_groups(rows, decided, "digest", "group_size").select(
             "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
         )
 

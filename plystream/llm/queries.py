@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plystream.llm import chat, exact_dedup
+from plystream.llm import chat, exact_dedup, simhash, syncmers
 from plystream.llm.common import table
 
 
@@ -53,9 +53,19 @@ g as (select h, min(doc_id) as keep_id, count(*) as group_size from d group by h
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, h as text_sha256 from d join g using (h)
 """
 
+def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_syncmer_fingerprints": (op1_syncmer_fingerprints, None),
     "op2_chat_format": (op2_chat_format, OP2_SQL),
     "op5_exact_dedup": (op5_exact_dedup, OP5_SQL),
+    "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
 }
 
 
