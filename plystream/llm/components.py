@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     neighbours is aggregated map-side before the join, and AQE splits the joins' skewed partitions, so a star of any
     size is no single task. Each round is written to the shared folder.
     """
-    pairs = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null")
+    pairs = staged(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null"), "cc-edges")
     nodes = pairs.select("u").unionAll(pairs.select(F.col("v").alias("u"))).distinct()
     now = staged(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     seen = None
