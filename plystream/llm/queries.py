@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plystream.llm import chat, exact_dedup, simhash, syncmers
+import public_tokenizers
+
+from plystream.llm import bpe, chat, exact_dedup, langid, packing, simhash, syncmers
 from plystream.llm.common import table
 
 
@@ -61,11 +63,27 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.sample(docs))
+
+
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_syncmer_fingerprints": (op1_syncmer_fingerprints, None),
     "op2_chat_format": (op2_chat_format, OP2_SQL),
+    "op3_best_fit_packing": (op3_best_fit_packing, None),
     "op5_exact_dedup": (op5_exact_dedup, OP5_SQL),
     "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
+    "op8_byte_bpe": (op8_byte_bpe, None),
+    "op9_language_id": (op9_language_id, None),
 }
 
 
