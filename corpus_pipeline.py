@@ -1,11 +1,51 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from raw documents to packed sequences of tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the columns of
+``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from plystream.llm import exact_dedup, langid, packing, pii, simhash
+from plystream.llm.common import staged
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an identifiable language go: null texts and texts without a letter."""
+    return langid.identified(docs, langid.sample(docs))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts, white space aside, the smallest doc_id stays."""
+    return exact_dedup.distinct_documents(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents joined by SimHash links, the smallest doc_id stays."""
+    return simhash.one_of_each(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked, terms that reveal it are generalised or removed; n_chars follows."""
+    return pii.sanitised(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents are tokenised, cut and packed into sequences."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("pii", personal_data), ("packing", pack)]
+
+#: Neither automata, SimHash nor tokenizers can be said in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

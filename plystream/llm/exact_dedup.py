@@ -74,7 +74,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat an id and text, one."""
-    found = deduplicated(docs, doc_id, text).where("kept").select("doc_id", "text_sha256").distinct()
-    keys = found.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    same = docs[doc_id].cast("bigint").eqNullSafe(F.col("__id")) & (digest(text) == F.col("__digest"))
-    return docs.join(keys, same, "inner").dropDuplicates(["__digest"]).select(*docs.columns)
+    found = deduplicated(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
+    rows = docs.withColumns({"__id0": F.col(doc_id).cast("bigint"), "__digest0": digest(text)})
+    same = rows["__id0"].eqNullSafe(found["__id"]) & (rows["__digest0"] == found["__digest"])
+    return rows.join(found, same, "left_semi").dropDuplicates(["__id0", "__digest0"]).select(*docs.columns)

@@ -151,6 +151,13 @@ class Parser:
 _PARSERS: dict[str, Parser] = {}
 
 
+def _parser(key: str, samples: dict[str, list[str]]) -> Parser:
+    if key not in _PARSERS:
+        _PARSERS.clear()
+        _PARSERS[key] = Parser(samples)
+    return _PARSERS[key]
+
+
 def identify(docs: DataFrame, samples: dict[str, list[str]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Returns doc_id, held_out, lang_pred and score (0 to 1) for each row, repeated ones too. ``und`` with score 0 if
     the text is null or has no letter, or if no language was learned. Whole texts are parsed; other columns are ignored.
@@ -158,10 +165,7 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], doc_id: str = "doc_
     key = repr(sorted(samples.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _PARSERS:
-            _PARSERS.clear()
-            _PARSERS[key] = Parser(samples)
-        parser = _PARSERS[key]
+        parser = _parser(key, samples)
 
         def lots():
             rows, size = [], 0
@@ -182,3 +186,25 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], doc_id: str = "doc_
     names = ["doc_id", "held_out", "lang_pred", "score"]
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), held_out(doc_id).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, samples: dict[str, list[str]], text: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` whose language is identified with a score of ``least`` or more, with all their columns. Rows
+    with a null text, and those without a letter, go. No exchange."""
+    key = repr(sorted(samples.items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = _parser(key, samples)
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text))
+            keep: list[bool] = []
+            lot, size = [], 0
+            for k, t in enumerate(texts):
+                lot.append(t.as_py() or "")
+                size += len(lot[-1])
+                if size >= LOT or k == len(texts) - 1:
+                    keep += [lang != UNKNOWN and score >= least for lang, score in parser.predict(lot)]
+                    lot, size = [], 0
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plystream.llm import bpe, chat, exact_dedup, langid, packing, simhash, syncmers
+from plystream.llm import bpe, chat, exact_dedup, html_text, langid, packing, paragraphs, pii, simhash, syncmers
 from plystream.llm.common import table
 
 
@@ -76,14 +76,29 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.sample(docs))
 
 
+def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_syncmer_fingerprints": (op1_syncmer_fingerprints, None),
     "op2_chat_format": (op2_chat_format, OP2_SQL),
     "op3_best_fit_packing": (op3_best_fit_packing, None),
+    "op4_paragraph_minhash": (op4_paragraph_minhash, None),
     "op5_exact_dedup": (op5_exact_dedup, OP5_SQL),
+    "op6_pii": (op6_pii, None),
     "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_language_id": (op9_language_id, None),
+    "op10_html_text": (op10_html_text, None),
 }
 
 
