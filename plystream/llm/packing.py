@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import array
 import gc
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -31,41 +32,63 @@ from plystream.llm.common import staged
 
 CAPACITY, GROUPS, SMALL = 2048, 2048, 8
 #: Entries of a worker's memory of words, code points of a word that is remembered, and of a text that is cut at once.
-WORDS, WORD, BLOCK = 600_000, 64, 1 << 22
-#: Marks that are split from a letter before them.
-MARKS = "!\"#$%&()*+,-./:;=>?@[]_{}~"
+WORDS, WORD, BLOCK = 1_200_000, 64, 1 << 22
+#: Words that normalisation only lower-cases and that have no part of a special token; words in a line of them.
+PLAIN, LINE = re.compile("[!-;=-~\\xa1-\\xff]+").fullmatch, 500
+#: The tokenizer's own words, lower-cased, among the first 256 code points.
+NARROW = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|"
+                    r"[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+").findall
 #: Rows of one length that are ranked together.
 RANKED = 100_000
 
 
+def cut(text: str) -> list[str]:
+    """A text's words. No token crosses a space or new line, so these cut any text. Texts of the first 256 code points
+    that hold no part of a special token are cut further, as the tokenizer itself does once it has lower-cased them."""
+    if "<" not in text:
+        try:
+            text.encode("latin-1")
+            return NARROW(text.lower())
+        except UnicodeEncodeError:
+            pass
+    return text.replace("\n", " ").split(" ")
+
+
 class Words:
-    """Ids of texts, word by word: no token crosses a space or new line, so a text's ids are those of its words."""
+    """Ids of texts as those of their words, of which a bounded number is remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
 
+    def _learn(self, words: list[str]) -> None:
+        plain, other = [], []
+        for w in words:
+            (other if PLAIN(w) is None else plain).append(w)
+        for lo in range(0, len(other), LINE):
+            part = other[lo : lo + LINE]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.known |= {w: array.array("I", e.ids).tobytes() for w, e in zip(part, found, strict=True)}
+        for lo in range(0, len(plain), LINE):  # plain words are encoded as lines, whose tokens' offsets tell them apart
+            part = plain[lo : lo + LINE]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = array.array("I", e.ids).tobytes()
+            begin = np.fromiter((a for a, _ in e.offsets), np.int64, len(e))
+            words_at = np.cumsum([0, *[len(w) + 1 for w in part]])
+            cut = (4 * np.searchsorted(begin, words_at)).tolist()
+            self.known |= {w: ids[a:b] for w, a, b in zip(part, cut[:-1], cut[1:], strict=True)}
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        need = set().union(*cut)
+        cuts = [*map(cut, texts)]
+        need = set().union(*cuts)
         new = list(need.difference(self.known))
         if len(self.known) + len(new) > WORDS:
             self.known = {"": b""} | {w: self.known[w] for w in need if w in self.known}
-        # marks after a letter are tokens of their own, unless the whole may be a special token
-        ends = {w: len(stem) for w in new if (stem := w.rstrip(MARKS)) != w and stem and stem[-1].isalpha() and "<" not in w}
-        fresh = {w for w in new if w not in ends}
-        for w, n in ends.items():
-            fresh |= {w[:n], w[n:]}
-        fresh = list(fresh.difference(self.known))
-        for lo in range(0, len(fresh), 10_000):
-            part = fresh[lo : lo + 10_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known |= {w: array.array("I", e.ids).tobytes() for w, e in zip(part, found, strict=True)}
-        self.known |= {w: self.known[w[:n]] + self.known[w[n:]] for w, n in ends.items()}
-        out = [b"".join(map(self.known.__getitem__, words)) for words in cut]
-        for w in {*new, *fresh}:
+        self._learn(new)
+        out = [b"".join(map(self.known.__getitem__, words)) for words in cuts]
+        for w in new:
             if len(w) > WORD:
                 del self.known[w]
         return out

@@ -89,3 +89,11 @@ def test_plans(seed, groups):
         assert x[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(x, x[1:], strict=False)) and x[-1][0] + x[-1][1] <= 2048
     if groups == 2048:
         assert sequences <= best_fit_decreasing([k for k, c in counts.items() for _ in range(c)]) * 1.002 + 1
+
+
+def test_words_of_narrow_texts():
+    rng = random.Random(5)
+    t = Tokenizer.from_file(PATH)
+    w = pk.Words(PATH)
+    texts = ["".join(chr(rng.choice([rng.randint(1, 255), rng.randint(65, 122), 32, 39, 115, 84, 10])) for _ in range(70)) for _ in range(400)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in w.ids(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
