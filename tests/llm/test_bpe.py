@@ -50,9 +50,17 @@ def test_memory_is_bounded(monkeypatch, reference):
     monkeypatch.setattr(bpe, "WORDS", 20)
     e = bpe.Encoder(PATH, P.PATTERN)
     for t in corpus():
-        found = e.look_up([e.cut.findall(t)])[0]
-        assert "".join(x for x, _ in found) == "".join(f"{i}," for i in reference.encode_ordinary(t)) and len(e.words) <= 60 and len(e.matches) <= 90
+        found = e.look_up([e.cut(t)])[0]
+        assert "".join(x for x, _ in found) == "".join(f"{i}," for i in reference.encode_ordinary(t)) and len(e.known) <= 60
 
 
 def test_no_rows(spark):
     assert bpe.digests(spark.createDataFrame([], SCHEMA), PATH, P.PATTERN).collect() == []
+
+
+def test_narrow_pattern():
+    e = bpe.Encoder(PATH, P.PATTERN)
+    rng = random.Random(3)
+    for _ in range(300):
+        t = "".join(chr(rng.choice([rng.randint(0, 255), 32, 39, 115, 10])) for _ in range(60))
+        assert e.narrow.findall(t) == e.pattern.findall(t)
