@@ -143,8 +143,11 @@ class Encoder:
         new = list(need.difference(self.known))
         if len(self.known) + len(new) > WORDS:
             self.known = {w: self.known[w] for w in need if w in self.known}
+        gc.disable()  # no cycles are made here; what is remembered is then left out of later collections
         for w, ids in zip(new, self.table.encode([w.encode() for w in new]), strict=True):
             self.known[w] = ("".join([f"{i}," for i in ids]), self.decode(ids))
+        gc.freeze()
+        gc.enable()
         out = [[*map(self.known.__getitem__, c)] for c in cuts]
         for w in new:
             if len(w) > WORD:
@@ -157,7 +160,6 @@ _ENCODERS: dict[tuple, Encoder] = {}
 
 def encoder(path: str, pattern: str) -> Encoder:
     if (path, pattern) not in _ENCODERS:
-        gc.disable()  # nothing here makes cycles, and looking for them among many words takes long
         _ENCODERS[path, pattern] = Encoder(path, pattern)
     return _ENCODERS[path, pattern]
 

@@ -32,7 +32,7 @@ from plystream.llm.common import staged
 
 CAPACITY, GROUPS, SMALL = 2048, 2048, 8
 #: Entries of a worker's memory of words, code points of a word that is remembered, and of a text that is cut at once.
-WORDS, WORD, BLOCK = 1_200_000, 64, 1 << 22
+WORDS, WORD, BLOCK = 500_000, 64, 1 << 22
 #: Words that normalisation only lower-cases and that have no part of a special token; words in a line of them.
 PLAIN, LINE = re.compile("[!-;=-~\\xa1-\\xff]+").fullmatch, 500
 #: The tokenizer's own words, lower-cased, among the first 256 code points.
@@ -86,7 +86,10 @@ class Words:
         new = list(need.difference(self.known))
         if len(self.known) + len(new) > WORDS:
             self.known = {"": b""} | {w: self.known[w] for w in need if w in self.known}
+        gc.disable()  # no cycles are made here; what is remembered is then left out of later collections
         self._learn(new)
+        gc.freeze()
+        gc.enable()
         out = [b"".join(map(self.known.__getitem__, words)) for words in cuts]
         for w in new:
             if len(w) > WORD:
@@ -99,7 +102,6 @@ _WORDS: dict[str, Words] = {}
 
 def _words(path: str) -> Words:
     if path not in _WORDS:
-        gc.disable()  # nothing here makes cycles, and looking for them among many words takes long
         _WORDS[path] = Words(path)
     return _WORDS[path]
 
