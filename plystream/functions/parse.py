@@ -79,3 +79,31 @@ def trivially_drawn(fen: Column) -> Column:
 
 def sanitised_name(c: Column) -> Column:
     return F.regexp_replace(c, r"[^\p{L}\p{N}._-]", "_")
+
+
+def split_games(text: Column) -> Column:
+    """The games of a text as an array: a new one begins at each line that starts with ``[Event ``."""
+    return F.filter(F.split(text, r"(?m)^(?=\[Event )"), lambda g: F.trim(g) != "")
+
+
+def header(game: Column, name: str) -> Column:
+    return F.nullif(F.regexp_extract(game, rf'(?m)^\[{name} "([^"]*)"\]', 1), F.lit(""))
+
+
+def squares(fen: Column) -> Column:
+    """The 64 squares as an array of one character each, a1 first, ``.`` where empty."""
+    rows = board(fen)
+    for n in range(1, 9):
+        rows = F.regexp_replace(rows, str(n), "." * n)
+    return F.filter(F.split(F.array_join(F.reverse(F.split(rows, "/")), ""), ""), lambda c: c != "")
+
+
+def square_id(c: Column) -> Column:
+    """0 for an empty square, else twice the kind (pawn 1 to king 6), plus 1, plus 1 for white."""
+    kind = F.array_position(F.array(*map(F.lit, "pnbrqk")), F.lower(c)).cast("int")
+    return F.when(kind > 0, kind * 2 + 1 + (c != F.lower(c)).cast("int")).otherwise(0)
+
+
+def theme_token(themes: Column, wanted: list[int]) -> Column:
+    """The first n of ``wanted`` whose mateInN is a whole theme; null if none is."""
+    return F.coalesce(*[F.when(F.array_contains(F.split(themes, " "), f"mateIn{n}"), F.lit(n)) for n in wanted])

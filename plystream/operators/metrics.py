@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def accuracy(hit: Column) -> Column:
@@ -65,7 +66,7 @@ def mcnemar(counts: DataFrame) -> DataFrame:
         "chi2", F.when(d >= 25, F.pow(F.abs(F.col("n01") - F.col("n10")) - 1, F.lit(2.0)) / d))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_tail(x):
     """The upper tail of chi-squared with one degree of freedom."""
     from math import erfc, sqrt

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("event_log", "evaluation")
+_MODULES = ("event_log", "evaluation", "games")
 
 
 def query(name: str, sql: str | None = None):
