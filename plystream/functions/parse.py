@@ -107,3 +107,22 @@ def square_id(c: Column) -> Column:
 def theme_token(themes: Column, wanted: list[int]) -> Column:
     """The first n of ``wanted`` whose mateInN is a whole theme; null if none is."""
     return F.coalesce(*[F.when(F.array_contains(F.split(themes, " "), f"mateIn{n}"), F.lit(n)) for n in wanted])
+
+
+def heavy_piece(fen: Column) -> Column:
+    """The side to move has a queen or a rook."""
+    return F.when(white_to_move(fen), pieces(fen, "QR")).otherwise(pieces(fen, "qr")) > 0
+
+
+def good_position(fen: Column, most: int) -> Column:
+    """Both kings, no trivial draw, a heavy piece of the side to move, and at most ``most`` pieces."""
+    return kings_present(fen) & ~trivially_drawn(fen) & heavy_piece(fen) & (pieces(fen, "A-Za-z") <= most)
+
+
+def node_features(fen: Column) -> Column:
+    """For each square, whether a piece of the mover or of the opponent stands there."""
+    def of(c: Column) -> Column:
+        taken, mine = c != ".", (c != F.lower(c)) == white_to_move(fen)
+        return F.struct((taken & mine).cast("int").alias("mover"), (taken & ~mine).cast("int").alias("opponent"))
+
+    return F.transform(squares(fen), of)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+import random
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def bucket(rating: Column, size: int = 100) -> Column:
@@ -36,3 +41,54 @@ def resolve(emt: Column, diff: Column, bucketed: Column, constant: float) -> tup
     """The first clock there is, and where it comes from."""
     source = F.when(emt.isNotNull(), "emt").when(diff.isNotNull(), "clk").when(bucketed.isNotNull(), "rating").otherwise("constant")
     return F.coalesce(emt, diff, bucketed, F.lit(float(constant))), source
+
+
+def from_average(seconds: Column, sigma: float = 0.9) -> Column:
+    """The mean of ln(clock) of a lognormal with this average."""
+    return F.ln(F.greatest(seconds.cast("double"), F.lit(1e-3))) - sigma * sigma / 2
+
+
+def _nearest_buckets(want: DataFrame, fit: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``near``, the nearest bucket's (bucket, mu, sigma) among those with equal ``by``, to distinct (by, b) rows: both
+    are laid out in one order, in which each row sees the buckets before and after it."""
+    none = F.lit(None).cast("struct<bucket:bigint,mu:double,sigma:double>")
+    both = want.select(*by, "b", none.alias("v"), F.lit(True).alias("asked")).unionByName(
+        fit.select(*by, F.col("bucket").alias("b"), F.struct("bucket", "mu", "sigma").alias("v"), F.lit(False).alias("asked")))
+    w = Window.partitionBy(*by).orderBy("b")
+    lo = F.last("v", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    hi = F.first("v", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    both = both.withColumn("lo", lo).withColumn("hi", hi).where("asked")
+    further = F.col("b") - F.col("lo.bucket") > F.col("hi.bucket") - F.col("b")
+    return both.select(*by, "b", F.when(F.col("lo").isNull() | further, F.col("hi")).otherwise(F.col("lo")).alias("near"))
+
+
+def with_fallback(df: DataFrame, rating: str, mate: str, stats_: DataFrame, far: int = 300) -> DataFrame:
+    """mu and sigma of each row from the result of ``stats``: the nearest bucket of its mate_n if at most ``far`` away, else
+    the nearest bucket, else all. Ties go to the smaller bucket; a null rating or mate skips the steps that need it.
+
+    Only the distinct (bucket, mate_n) of the rows meet the statistics, both bounded by the range of ratings, and what is
+    found is joined back by equality."""
+    d = df.withColumn("__b", bucket(F.col(rating))).withColumn("__m", F.col(mate).cast("bigint"))
+    want = d.select(F.col("__b").alias("b"), F.col("__m").alias("mate_n")).distinct()
+    fit = lambda level: stats_.where(F.col("level") == level)
+    within = _nearest_buckets(want, fit(0), ["mate_n"]).withColumnRenamed("near", "within")
+    rated = _nearest_buckets(want.select("b").distinct(), fit(1), []).select(F.col("b").alias("rb"), F.col("near").alias("rated"))
+    whole = fit(3).select(F.struct("mu", "sigma").alias("whole"))
+    found = within.join(rated, F.col("b").eqNullSafe(F.col("rb")), "left").crossJoin(F.broadcast(whole))
+    short = lambda c: F.when(F.col(c).isNotNull(), F.struct(f"{c}.mu", f"{c}.sigma"))
+    close = F.when(F.abs(F.col("within.bucket") - F.col("b")) <= far, short("within"))
+    found = found.select("b", "mate_n", F.coalesce(close, F.when(F.col("b").isNotNull(), short("rated")), "whole").alias("v"))
+    found = found.select(F.col("b").alias("__fb"), F.col("mate_n").alias("__fm"), F.col("v.mu").alias("mu"), F.col("v.sigma").alias("sigma"))
+    return d.join(found, F.col("__b").eqNullSafe(F.col("__fb")) & F.col("__m").eqNullSafe(F.col("__fm")), "left").drop("__b", "__m", "__fb", "__fm")
+
+
+@F.pandas_udf(DoubleType())
+def draw(key: pd.Series, mu: pd.Series, sigma: pd.Series) -> pd.Series:
+    """A lognormal clock that depends on nothing but its key; sigma is at least 0.3, the clock within 0.5 and 300."""
+    return pd.Series([min(max(math.exp(random.Random(k).gauss(m, max(s, 0.3))), 0.5), 300.0) for k, m, s in zip(key, mu, sigma, strict=True)])
+
+
+@F.pandas_udf(DoubleType())
+def simulated(key: pd.Series, base: pd.Series) -> pd.Series:
+    """The base time with noise that depends on nothing but its key, at least 0.5."""
+    return pd.Series([max(0.5, b * max(0.3, random.Random(k).gauss(1.0, 0.15))) for k, b in zip(key, base, strict=True)])

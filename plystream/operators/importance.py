@@ -29,3 +29,20 @@ def window_metrics(df: DataFrame, seq: str, pos: str, value: str) -> DataFrame:
     g = df.groupBy(seq).agg(F.max(value).alias("peak"), F.min_by(pos, F.struct(-F.col(value), F.col(pos))).alias("at"), F.count("*").alias("length"))
     above = df.join(g, seq).groupBy(seq).agg(F.count_if(F.col(value) > F.col("peak") * 0.5).alias("above"))
     return g.join(above, seq).select(seq, "peak", "length", (F.col("above") / F.col("length")).alias("wide"), (F.col("at") / F.col("length")).alias("place"))
+
+
+def quantile_bins(df: DataFrame, length: str, bins: int) -> DataFrame:
+    """Ranges (bin, lo, hi), both ends included, between exact quantiles of the lengths, rounded outwards; they may overlap."""
+    at = df.agg(F.percentile(F.col(length), F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("q"))
+    each = at.select("q", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return each.select("bin", F.floor(F.col("q")[F.col("bin")]).alias("lo"), F.ceil(F.col("q")[F.col("bin") + 1]).alias("hi"))
+
+
+def critical(df: DataFrame, seq: str, pos: str, value: str, length: str, ranges: list[tuple[int, int]], most: int = 3) -> DataFrame:
+    """By range of length (lo included, hi not; a sequence may be in several) and position of the largest values: their mean,
+    and their number by that of the range's sequences."""
+    bins = F.filter(F.array(*[F.when((F.col(length) >= lo) & (F.col(length) < hi), F.lit(i)) for i, (lo, hi) in enumerate(ranges)]), lambda b: b.isNotNull())
+    tops = ranked(df.withColumn("bins", bins), seq, pos, value, most).withColumn("bin", F.explode("bins"))
+    size = tops.where("rank = 1").groupBy("bin").agg(F.count("*").alias("sequences"))
+    got = tops.groupBy("bin", pos).agg(F.avg(value).alias("mean_value"), F.count("*").alias("n"))
+    return got.join(size, "bin").select("bin", pos, "mean_value", (F.col("n") / F.col("sequences")).alias("frequency"))

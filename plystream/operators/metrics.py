@@ -81,3 +81,11 @@ def pairwise_t(df: DataFrame, group: str, value: str) -> DataFrame:
     pooled = F.sqrt(((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b")) / (F.col("n_a") + F.col("n_b") - 2))
     d = (F.col("mean_a") - F.col("mean_b")) / pooled
     return a.join(b, F.col("g_a") < F.col("g_b")).select("g_a", "g_b", d.alias("cohens_d"), (d / F.sqrt(1 / F.col("n_a") + 1 / F.col("n_b"))).alias("t"))
+
+
+def with_alternatives(df: DataFrame, true: str, pred: str, legal: str, mate: str, after: str) -> DataFrame:
+    """Accuracy, strict and with credit for another legal move after which the opponent (``after``, from their side) is
+    mated in one move less."""
+    hit = F.col(true) == F.col(pred)
+    other = F.coalesce(F.col(legal) & (F.col(after) == 1 - F.col(mate)), F.lit(False))
+    return df.agg(F.count("*").alias("n"), accuracy(hit).alias("strict"), accuracy(hit | other).alias("with_alternatives"))

@@ -10,22 +10,37 @@ def shuffled(seed: str, key: str) -> Column:
     return F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string")).cast("binary"))
 
 
+def ranked(ids: DataFrame, key: str, strata: list[str], seed: str) -> DataFrame:
+    """Adds ``__r``, the rank from 1 in random order within the stratum, and ``__n``, the stratum's size.
+
+    The order is cut into 4096 ranges of the hash. Each range is ranked by itself and the small table of ranges gives each
+    its offset, so that a stratum with all of the rows is still many tasks."""
+    d = ids.withColumn("__h", shuffled(seed, key)).withColumn("__p", F.substring("__h", 1, 3))
+    whole = Window.partitionBy(*strata)
+    parts = d.groupBy(*strata, "__p").agg(F.count("*").alias("__c"))
+    parts = parts.withColumn("__n", F.sum("__c").over(whole)).withColumn("__before", F.sum("__c").over(whole.orderBy("__p")) - F.col("__c")).drop("__c")
+    parts = parts.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*strata, "__p"])], "__n", "__before")
+    same = F.lit(True)
+    for i, c in enumerate([*strata, "__p"]):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    d = d.withColumn("__r", F.row_number().over(Window.partitionBy(*strata, "__p").orderBy("__h", key)))
+    d = d.join(parts, same).withColumn("__r", F.col("__r") + F.col("__before"))
+    return d.drop("__h", "__p", "__before", *[f"__k{i}" for i in range(len(strata) + 1)])
+
+
 def stratified(ids: DataFrame, key: str, strata: list[str], train: float, val: float, seed: str = "0") -> DataFrame:
     """Splits each stratum by int(train n) and int(val n); the rest is for testing, so a stratum of one is for testing."""
-    w = Window.partitionBy(*strata)
-    n, r = F.count("*").over(w), F.row_number().over(w.orderBy(shuffled(seed, key), key))
-    a, b = F.floor(n * F.lit(float(train))), F.floor(n * F.lit(float(val)))
-    return ids.withColumn("split", F.when(r <= a, "train").when(r <= a + b, "val").otherwise("test"))
+    a, b = F.floor(F.col("__n") * F.lit(float(train))), F.floor(F.col("__n") * F.lit(float(val)))
+    part = F.when(F.col("__r") <= a, "train").when(F.col("__r") <= a + b, "val").otherwise("test")
+    return ranked(ids, key, strata, seed).withColumn("split", part).drop("__r", "__n")
 
 
 def by_length(ids: DataFrame, key: str, length: str, bins: int, test: float, seed: str = "0") -> DataFrame:
     """Equal-width bins of the length; each gives max(1, int(n test)) of its cases to testing."""
     fit = ids.agg(F.min(length).alias("__lo"), F.max(length).alias("__hi"))
     d = ids.crossJoin(F.broadcast(fit)).withColumn("bin", F.floor((F.col(length) - F.col("__lo")) * bins / (F.col("__hi") + 1 - F.col("__lo"))))
-    w = Window.partitionBy("bin")
-    r = F.row_number().over(w.orderBy(shuffled(seed, key), key))
-    take = F.greatest(F.lit(1), F.floor(F.count("*").over(w) * F.lit(float(test))))
-    return d.withColumn("split", F.when(r <= take, "test").otherwise("train")).drop("__lo", "__hi")
+    take = F.greatest(F.lit(1), F.floor(F.col("__n") * F.lit(float(test))))
+    return ranked(d, key, ["bin"], seed).withColumn("split", F.when(F.col("__r") <= take, "test").otherwise("train")).drop("__lo", "__hi", "__r", "__n")
 
 
 def shards(df: DataFrame, part: list[str], order: str, size: int) -> DataFrame:

@@ -16,8 +16,8 @@ MD5 = "md5('0:' || cast({0} as varchar))"
 @query("split_by_case", f"""select user_id, case when r <= floor(n * 0.8::double) then 'train' when r <= floor(n * 0.8::double) + floor(n * 0.1::double) then 'val' else 'test' end as split
 from (select user_id, row_number() over (order by {MD5.format('user_id')}, user_id) as r, count(*) over () as n from (select distinct user_id from events))""")
 def split_by_case(spark, sf):
-    ids = events(spark, sf).select("user_id").distinct().withColumn("all", F.lit(0))
-    return split.stratified(ids, "user_id", ["all"], 0.8, 0.1).select("user_id", "split")
+    ids = events(spark, sf).select("user_id").distinct()
+    return split.stratified(ids, "user_id", [], 0.8, 0.1).select("user_id", "split")
 
 
 @query("stratified_split", f"""select doc_id, case when r <= floor(n * 0.29::double) then 'train' when r <= floor(n * 0.29::double) + floor(n * 0.3::double) then 'val' else 'test' end as split
@@ -85,13 +85,13 @@ def avg_time_by_bucket(spark, sf):
 
 
 @query("nearest_bucket", """with b as (select user_id * 10 as place, round(avg(value), 6) as seconds from events where user_id % 7 = 0 group by 1),
-c as (select event_id, event_id % 1500 as k from events where event_id % 20 = 0),
+c as (select event_id, event_id % 1500 as k from events),
 r as (select event_id, place as seconds_at, seconds, row_number() over (partition by event_id order by abs(place - k), place) as n from c cross join b)
 select event_id, seconds_at, seconds from r where n = 1""")
 def nearest_bucket(spark, sf):
     e = events(spark, sf)
     b = e.where("user_id % 7 = 0").groupBy((F.col("user_id") * 10).alias("at")).agg(R(F.avg("value"), 6).alias("seconds"))
-    c = e.where("event_id % 20 = 0").select("event_id", (F.col("event_id") % 1500).alias("k"))
+    c = e.select("event_id", (F.col("event_id") % 1500).alias("k"))
     return clock.nearest(c, "k", b, "at", "seconds").select("event_id", "seconds_at", "seconds")
 
 

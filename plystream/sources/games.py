@@ -34,3 +34,18 @@ def csv_games(spark: SparkSession, path: str, column: str = "pgn") -> DataFrame:
 def debug_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; blank and malformed ones go."""
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
+
+
+def sniff(head: Column) -> Column:
+    """The format of a file by its first lines: games if the first that is not blank begins one, else a table."""
+    return F.when(F.rlike(head, F.lit(r"^\s*\[Event ")), "pgn").otherwise("csv")
+
+
+def holdout_row(rules: list[str]) -> Column:
+    """Rated games of these rules that have a record."""
+    return F.lower("rules").isin(rules) & (F.lower("rated") == "true") & F.col("pgn").isNotNull()
+
+
+def numbered(df: DataFrame, path: str, row: str) -> DataFrame:
+    """Numbers the rows of each file from 1, after whatever filters came before."""
+    return df.withColumn("local_id", F.row_number().over(Window.partitionBy(path).orderBy(row)).cast("bigint"))
