@@ -210,11 +210,12 @@ def _shared(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """Occurrences of passages that stand in two documents or more, one row for each maximal run of such paragraphs in a
-    document: doc_id, start, end (code points), n_paragraphs, component_id, keep_doc_id, removed.
+    """Occurrences of passages that stand in two documents or more, one row for each maximal run in a document of such
+    paragraphs that one document keeps: doc_id, start, end (code points), n_paragraphs, component_id (the smallest of
+    the run), keep_doc_id, removed, component_ids (all of the run).
 
-    Of a cluster of paragraphs the document with the smallest doc_id keeps its own; a run is removed if all its
-    paragraphs are kept elsewhere. Repeats within one document alone don't count. Null texts have no paragraphs; null ids
+    Of a cluster of paragraphs the document with the smallest doc_id keeps its own; a run is removed if that is another
+    document. Runs that different documents keep can overlap; what a removed run covers stands in its keeper. Repeats within one document alone don't count. Null texts have no paragraphs; null ids
     are one document; rows that share an id are the same document; other columns are ignored; no rows give no rows.
     """
     rows = _rows(docs, doc_id, text)
@@ -250,9 +251,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     clusters = each.groupBy("component").agg(F.min("least").alias("keep"), F.max("most").alias("last")).where("keep < last").select("component", "keep")
     spread = staged(each.select("id", "component").join(clusters, "component"), "paragraph-clusters")
     at = found.select("doc_id", "start", "end", "id").join(spread, "id")
-    w = Window.partitionBy("doc_id").orderBy("start", "end", "id")
+    w = Window.partitionBy("doc_id", "keep").orderBy("start", "end", "id")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     at = at.withColumn("run", F.sum(F.when(F.col("start") > reach, 1).otherwise(0)).over(w))
-    return at.groupBy("doc_id", "run").agg(
+    return at.groupBy("doc_id", "keep", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_paragraphs"), F.min("component").alias("component_id"),
-        F.min("keep").alias("keep_doc_id"), (F.max("keep") < F.col("doc_id")).alias("removed")).drop("run")
+        F.sort_array(F.collect_set("component")).alias("component_ids")).select(
+        "doc_id", "start", "end", "n_paragraphs", "component_id", F.col("keep").alias("keep_doc_id"), (F.col("keep") < F.col("doc_id")).alias("removed"), "component_ids")
