@@ -1,13 +1,16 @@
-"""Repeated passages by MinHash banding of paragraphs.
-
-Repeated passages often stand inside longer lines, so paragraphs are not cut at line ends but found by their content: a
-paragraph is a window of WINDOW words that begins at an anchor, a word whose five-word shingle has the smallest hash within
-REACH words either way. A passage of over 50 words selects the same anchors in whatever text it stands.
-
-A paragraph's shingles give BANDS bands of ROWS min-hashes (a pair of similarity 0.8 collides with probability 0.95, one of 0.9 with 0.99; equal
-paragraphs always). Colliding paragraphs that differ are verified by the exact Jaccard index of their shingles, similar
-ones are clustered by connected components, and of each cluster one occurrence is kept. All later steps see distinct
-paragraphs, so a passage with any number of copies is one row; copies meet only in map-side aggregations.
+"""Repeated passages and near-duplicate paragraphs.
+
+Repeated passages often stand inside longer lines, so they are found by content: windows of WINDOW words begin at the
+smallest shingle hash of each SPAN starts in a row, so that any WINDOW + SPAN - 1 = 25 words that stand in two texts
+unchanged share a window. Two passages of over 50 words with a Jaccard index of 0.8 or more have such a stretch wherever
+the changes are. Windows are compared whole, by a hash of all their words; where a run of shared ones ends, the SPAN - 1
+starts beyond are tried too, so that spans reach to the passage's ends.
+
+Paragraphs proper are lines of WINDOW words or more, and a text of up to SHORT words as a whole. Their shingles give BANDS
+bands of ROWS min-hashes (a pair of similarity 0.8 collides with probability 0.998; equal ones always). Colliding
+paragraphs that differ are verified by the exact Jaccard index of their shingles, similar ones are clustered by connected
+components, and of each cluster one occurrence is kept. All later steps see distinct paragraphs, so one with any number
+of copies is one row; copies meet only in map-side aggregations.
 """
 
 from __future__ import annotations
@@ -22,11 +25,11 @@ from pyspark.sql import functions as F
 from plystream.llm.common import staged
 from plystream.llm.components import connected_components
 
-SHINGLE, WINDOW, REACH, BANDS, ROWS, SIMILAR = 5, 20, 6, 3, 2, 0.8
+SHINGLE, WINDOW, SPAN, SHORT, REACH, BANDS, ROWS, SIMILAR = 5, 20, 6, 50, 6, 6, 2, 0.8
 #: Code points that are hashed at once; texts of any length are done in overlapping pieces.
 BLOCK = 1 << 20
 #: Bits of the filter that carries bands that two documents share to the second reading of the texts.
-FILTER = 1 << 26
+FILTER = 1 << 27
 #: Bytes of colliding paragraphs' ids up to which they are broadcast; beyond, they are joined by shuffle.
 BROADCAST = 32 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -89,57 +92,112 @@ def anchors(shingles: np.ndarray) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
-def paragraphs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Begins, ends, hashes and shingle hashes (a row for each) of a text's paragraphs. Shorter texts than a window are
-    one paragraph if they have a shingle, and none otherwise."""
-    out = []
-    for lo, piece in _pieces(text):
-        begin, end, h = words(piece)
+def selected(starts: np.ndarray) -> np.ndarray:
+    """Places of the smallest hash of each SPAN in a row, or of all if there are fewer."""
+    k = min(SPAN, len(starts))
+    n = len(starts) - k + 1
+    if k < 1:
+        return np.zeros(0, np.int64)
+    least = starts[:n].copy()
+    for d in range(1, k):
+        np.minimum(least, starts[d : d + n], out=least)
+    ok = np.zeros(len(starts), bool)
+    for d in range(k):
+        ok[d : d + n] |= starts[d : d + n] == least
+    return np.flatnonzero(ok)
+
+
+class Piece:
+    """A piece of a text: begins and ends of its words, hashes of its shingles, and the places of ``selected`` windows."""
+
+    def __init__(self, lo: int, text: str, whole: bool):
+        self.text, self.whole = text, whole
+        begin, end, h = words(text)
         n = len(h) - SHINGLE + 1
-        if n < 1:
-            continue
-        s = h[:n].copy()
-        for j in range(1, SHINGLE):
+        s = h[: max(n, 0)].copy()
+        for j in range(1, SHINGLE if n > 0 else 1):
             s = s * _A + h[j : j + n]
-        s = _mix(s)
-        width = min(WINDOW, len(h)) - SHINGLE + 1
-        at = anchors(s)
-        at = at[at + width <= n]
-        if len(h) < WINDOW:
-            at = np.zeros(1, np.int64)
-        sets = s[at[:, None] + np.arange(width)]
-        if width < WINDOW - SHINGLE + 1:
-            sets = np.concatenate([sets, np.repeat(sets[:, -1:], WINDOW - SHINGLE + 1 - width, axis=1)], axis=1)
-        ids = _mix((sets * _POW[1 : sets.shape[1] + 1]).sum(axis=1, dtype=np.uint64))
-        out.append((lo + begin[at], lo + end[at + width + SHINGLE - 2], ids, sets))
+        self.local, self.begin, self.end, self.shingles = begin, lo + begin, lo + end, _mix(s)
+        self.starts = max(len(h) - WINDOW + 1, 0)
+        self.at = selected(self.shingles[: self.starts])
+
+    def windows(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the windows that begin at words ``at``."""
+        sets = self.shingles[at[:, None] + np.arange(WINDOW - SHINGLE + 1)]
+        return _mix((sets * _POW[1 : sets.shape[1] + 1]).sum(axis=1, dtype=np.uint64))
+
+    def beyond(self, hit: np.ndarray) -> np.ndarray:
+        """Starts within SPAN - 1 of an end of a run of hits among the selected windows."""
+        near = np.zeros(self.starts, bool)
+        edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
+        for places, sign in ((self.at[edge[:-1] == 1], -1), (self.at[edge[1:] == -1], 1)):
+            for d in range(1, SPAN):
+                x = places + sign * d
+                near[x[(x >= 0) & (x < self.starts)]] = True
+        near[self.at[hit]] = False
+        return np.flatnonzero(near)
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """First words of the paragraphs proper, and those after their last."""
+        n = len(self.begin)
+        if n <= SHORT and self.whole:
+            return (np.zeros(1, np.int64), np.full(1, n)) if n >= SHINGLE else (np.zeros(0, np.int64),) * 2
+        c = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        line = np.searchsorted(np.flatnonzero((c >= 10) & (c <= 13)), self.local)
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(line)) + 1, [n]])
+        keep = np.diff(cut) >= WINDOW
+        return cut[:-1][keep], cut[1:][keep]
+
+
+def pieces(text: str) -> list[Piece]:
+    """Those with a shingle."""
+    lots = list(_pieces(text))
+    return [x for x in (Piece(lo, piece, len(lots) == 1) for lo, piece in lots) if len(x.shingles)]
+
+
+def paragraphs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins, ends and hashes of a text's selected windows."""
+    out = [(x.begin[x.at], x.end[x.at + WINDOW - 1], x.windows(x.at)) for x in pieces(text)]
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, WINDOW - SHINGLE + 1), np.uint64)
-    begin, end, ids, sets = (np.concatenate(x) for x in zip(*out, strict=True))
-    if len(out) > 1:
-        keep = np.unique(begin, return_index=True)[1]
-        begin, end, ids, sets = begin[keep], end[keep], ids[keep], sets[keep]
-    return begin, end, ids, sets
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    begin, end, ids = (np.concatenate(x) for x in zip(*out, strict=True))
+    keep = np.unique(begin, return_index=True)[1]
+    return begin[keep], end[keep], ids[keep]
 
 
-def bands(sets: np.ndarray) -> np.ndarray:
-    """Keys of the bands: an array (BANDS, paragraphs)."""
+def bands(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Keys of the bands of sets of shingles, which begin at ``offsets`` of ``flat``: an array (BANDS, sets)."""
     keys = []
     for b in range(BANDS):
-        low = [_mix(sets * np.uint64(2 * (b * ROWS + r) + 3) + np.uint64(b * ROWS + r)).min(axis=1) for r in range(ROWS)]
-        k = np.full(len(sets), b + 1, np.uint64)
-        for x in low:
-            k = _mix(k * _A + x)
+        k = np.full(len(offsets), b + 1, np.uint64)
+        for r in range(ROWS):
+            k = _mix(k * _A + np.minimum.reduceat(flat * (_POW[b * ROWS + r + 1] ^ np.uint64(2)), offsets))
         keys.append(k)
-    return np.array(keys).reshape(BANDS, len(sets))
+    return np.array(keys).reshape(BANDS, len(offsets))
+
+
+def proper(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begins, ends, hashes and band keys (a row for each) of a piece's paragraphs proper, their shingles one after the
+    other, and where each one's begin."""
+    first, last = piece.lines()
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    size = last - first - SHINGLE + 1
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    flat = piece.shingles[np.arange(offsets[-1]) + np.repeat(first - offsets[:-1], size)]
+    ids = _mix(np.add.reduceat(_mix(flat ^ _B), offsets[:-1]) + size.astype(np.uint64))
+    return piece.begin[first], piece.end[last - 1], ids, bands(flat, offsets[:-1]).T, flat, offsets
 
 
-def similar_edges(ids: np.ndarray, sets: np.ndarray, similar: float = SIMILAR, block: int = 512) -> list[tuple[int, int]]:
+def similar_edges(ids: np.ndarray, sets, similar: float = SIMILAR, block: int = 512, width: int = 2048) -> list[tuple[int, int]]:
     """Edges that join all pairs of paragraphs whose shingle sets have a Jaccard index of ``similar`` or more: a spanning
-    forest of them."""
-    values, code = np.unique(sets, return_inverse=True)
-    has = np.zeros((len(ids), len(values)), np.float32)
-    has[np.arange(len(ids))[:, None], code.reshape(sets.shape)] = 1
-    size = has.sum(axis=1)
+    forest of them. Sets may differ in size; memory is bounded by blocks of rows and of shingles."""
+    values, code = np.unique(np.concatenate([np.asarray(x) for x in sets]), return_inverse=True)
+    row = np.repeat(np.arange(len(ids)), [len(x) for x in sets])
+    code, row = np.divmod(np.unique(code.reshape(-1).astype(np.int64) * len(ids) + row), len(ids))
+    size = np.bincount(row, minlength=len(ids)).astype(np.float32)
+    common = np.bincount(code)[code] > 1  # shingles of one set alone are in no intersection
+    code, row = np.unique(code[common], return_inverse=True)[1].reshape(-1), row[common]
     parent = list(range(len(ids)))
 
     def root(i: int) -> int:
@@ -149,7 +207,12 @@ def similar_edges(ids: np.ndarray, sets: np.ndarray, similar: float = SIMILAR, b
 
     edges = []
     for lo in range(0, len(ids), block):
-        both = has[lo : lo + block] @ has.T
+        both = np.zeros((min(block, len(ids) - lo), len(ids)), np.float32)
+        for left in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+            a, b = np.searchsorted(code, [left, left + width])
+            has = np.zeros((len(ids), width), np.float32)
+            has[row[a:b], code[a:b] - left] = 1
+            both += has[lo : lo + block] @ has.T
         near = both >= similar * (size[lo : lo + block, None] + size[None, :] - both) - 1e-6
         for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True):
             if lo + i < j and (a := root(lo + i)) != (b := root(j)):
@@ -163,48 +226,60 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _keys(rows: DataFrame) -> DataFrame:
-    """(key, doc_id) of all bands of all paragraphs."""
+    """(key, doc_id) of all windows and of all bands of all paragraphs proper."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
-                lot = [paragraphs(t.as_py())[3] for t in part.column(1)]
-                keys = bands(np.concatenate(lot))
+                lot = [np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for x in pieces(t.as_py()) for k in (x.windows(x.at), proper(x)[3].reshape(-1)))])) for t in part.column(1)]
                 ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in lot])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(ids, BANDS))], ["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lot).view(np.int64)), pa.array(ids)], ["key", "doc_id"])
 
     return rows.mapInArrow(run, "key bigint, doc_id bigint")
 
 
 def _shared(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Paragraphs with a band among ``keys``, and few others: a filter of fixed size goes to all tasks.
+    """Windows and paragraphs with a key among ``keys``, and few others: a filter of fixed size, with two bits for a key,
+    goes to all tasks.
 
-    Returns doc_id, start, end, id, keys, shingles (32-bit hashes as bytes)."""
-    slot = F.pmod("key", F.lit(FILTER))
-    filled = keys.groupBy(F.shiftright(slot, 5).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(key, {FILTER}) % 32 as int)))").alias("bits")).toArrow()
+    Returns doc_id, start, end, id, and for paragraphs proper keys and shingles (32-bit hashes as bytes)."""
+    slots = keys.select(F.explode(F.array(F.pmod("key", F.lit(FILTER)), F.pmod(F.shiftright("key", 32), F.lit(FILTER)))).alias("slot"))
+    filled = slots.groupBy(F.shiftright("slot", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))").alias("bits")).toArrow()
     packed = np.zeros(FILTER // 32, np.uint32)
     packed[filled["word"].to_numpy()] = filled["bits"].to_numpy().astype(np.uint32)
     given = rows.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = given.value
+
+        def among(keys: np.ndarray) -> np.ndarray:
+            ok = np.ones(keys.shape, bool)
+            for at in (keys & np.uint64(FILTER - 1), (keys.view(np.int64) >> 32).view(np.uint64) & np.uint64(FILTER - 1)):
+                ok &= (have[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)
+            return ok
+
         for b in batches:
-            out = []
+            out, lists = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                begin, end, ids, sets = paragraphs(t.as_py())
-                keys = bands(sets).T
-                at = keys % np.uint64(FILTER) if len(keys) else keys
-                at = np.where(keys.view(np.int64) < 0, (keys.view(np.int64) % FILTER).view(np.uint64), at) if len(keys) else at
-                hit = np.flatnonzero((have[at >> np.uint64(5)] >> (at % np.uint64(32)).astype(np.uint32) & np.uint32(1)).any(axis=1)) if len(keys) else []
-                if len(hit):
-                    out.append((np.full(len(hit), i, np.int64), begin[hit], end[hit], ids[hit], keys[hit], (sets[hit] >> np.uint64(32)).astype(np.uint32)))
+                for x in pieces(t.as_py()):
+                    ids = x.windows(x.at)
+                    hit = among(ids)
+                    if hit.any():
+                        more = x.beyond(hit)
+                        at = np.concatenate([x.at[hit], more])
+                        out.append((np.full(len(at), i, np.int64), x.begin[at], x.end[at + WINDOW - 1], np.concatenate([ids[hit], x.windows(more)])))
+                        lists += [(None, None)] * len(at)
+                    begin, end, ids, keys, flat, offsets = proper(x)
+                    hit = np.flatnonzero(among(np.ascontiguousarray(keys)).any(axis=1))
+                    if len(hit):
+                        out.append((np.full(len(hit), i, np.int64), begin[hit], end[hit], ids[hit]))
+                        lists += [(keys[k].astype(np.int64).tolist(), (flat[offsets[k] : offsets[k + 1]] >> np.uint64(32)).astype(np.uint32).tobytes()) for k in hit]
             if out:
-                doc, begin, end, ids, keys, sets = (np.concatenate(x) for x in zip(*out, strict=True))
+                doc, begin, end, ids = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(doc), pa.array(begin.astype(np.int64)), pa.array(end.astype(np.int64)), pa.array(ids.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64))),
-                    pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "start", "end", "id", "keys", "shingles"])
+                    pa.array([k for k, _ in lists], pa.list_(pa.int64())), pa.array([x for _, x in lists], pa.binary())], ["doc_id", "start", "end", "id", "keys", "shingles"])
 
     return rows.mapInArrow(run, "doc_id bigint, start bigint, end bigint, id bigint, keys array<bigint>, shingles binary")
 
@@ -223,7 +298,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     found = staged(_shared(rows, keys), "paragraphs")
     # one row for each distinct paragraph: all else follows from it
     each = staged(found.groupBy("id").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), *[F.first(F.col("keys")[i]).alias(f"b{i}") for i in range(BANDS)]), "paragraph-ids")
-    keyed = each.select("id", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("key"))
+    keyed = each.where("b0 is not null").select("id", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("key"))
     mixed = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     colliding = staged(keyed.join(mixed, "key", "left_semi"), "paragraph-bands")
     ids = staged(colliding.select("id").distinct(), "paragraph-colliding")
@@ -239,7 +314,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             names, shingles = rows.field("id").to_numpy(), rows.field("shingles")
             for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 ids = names[lo:hi]
-                sets = np.frombuffer(b"".join(shingles.slice(lo, hi - lo).to_pylist()), np.uint32).reshape(hi - lo, -1)
+                sets = [np.frombuffer(x, np.uint32) for x in shingles.slice(lo, hi - lo).to_pylist()]
                 for i, j in similar_edges(ids, sets, similar):
                     u.append(int(ids[i]))
                     v.append(int(ids[j]))
