@@ -32,6 +32,8 @@ BLOCK = 1 << 20
 FILTER = 1 << 27
 #: Bytes of colliding paragraphs' ids up to which they are broadcast; beyond, they are joined by shuffle.
 BROADCAST = 32 << 20
+#: Members of a band that are compared at once; of a larger band, all pairs of such lots are tasks of their own.
+LOT = 256
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -284,6 +286,16 @@ def _shared(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, start bigint, end bigint, id bigint, keys array<bigint>, shingles binary")
 
 
+def _lots(colliding: DataFrame) -> DataFrame:
+    """(key, id) with the pairs of lots of the key's members that each row belongs to: key, first, second, id. Members are
+    dealt out by a hash, so a lot has about LOT of them and any two members meet in some pair; a band of up to LOT
+    members is one."""
+    sizes = colliding.groupBy("key").agg(F.ceil(F.count("*") / F.lit(LOT)).cast("int").alias("n"))
+    dealt = colliding.join(sizes, "key").withColumn("lot", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    other = dealt.select("key", "id", "lot", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    return other.select("key", F.least("lot", "other").alias("first"), F.greatest("lot", "other").alias("second"), "id")
+
+
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """Occurrences of passages that stand in two documents or more, one row for each maximal run in a document of such
     paragraphs that one document keeps: doc_id, start, end (code points), n_paragraphs, component_id (the smallest of
@@ -305,7 +317,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     small = ids.count() * 16 <= BROADCAST
     wanted = found.select("id", "shingles").join(F.broadcast(ids) if small else ids, "id", "left_semi")
     sets = wanted.groupBy("id").agg(F.first("shingles").alias("shingles"))
-    lists = colliding.join(sets, "id").groupBy("key").agg(F.collect_list(F.struct("id", "shingles")).alias("members"))
+    lists = _lots(colliding).join(sets, "id").groupBy("key", "first", "second").agg(F.collect_list(F.struct("id", "shingles")).alias("members"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
