@@ -190,7 +190,9 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], doc_id: str = "doc_
 
 def identified(docs: DataFrame, samples: dict[str, list[str]], text: str = "text", least: float = 0.0) -> DataFrame:
     """The rows of ``docs`` whose language is identified with a score of ``least`` or more, with all their columns. Rows
-    with a null text, and those without a letter, go. No exchange."""
+    with a null text, and those without a letter, go; if no language was learned, no others. No exchange."""
+    if not samples:
+        return docs.where(F.col(text).rlike(r"\p{L}"))
     key = repr(sorted(samples.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -142,6 +142,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, bits: int = BITS) -> DataFrame:
-    """The documents that are the smallest of their component, with all their columns."""
-    found = near_duplicates(docs, doc_id, text, width, bits).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs[doc_id].cast("bigint") == F.col("__id"), "left_semi")
+    """The documents that are the smallest of their component, with all their columns. Rows with a null id link no others;
+    those that link to no document with an id stay, one for each component of such rows."""
+    near = near_duplicates(docs, doc_id, text, width, bits)
+    found = near.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(found, docs[doc_id].cast("bigint") == F.col("__id"), "left_semi")
+    unnamed = docs.where(docs[doc_id].cast("bigint").isNull()).withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    if unnamed.isEmpty():
+        return kept
+    named = near.where("doc_id is not null").select(F.conv("fingerprint", 16, -10).cast("bigint").alias("fp")).distinct()
+    lone = staged(fingerprints(unnamed, "__hash", text, width).distinct(), "simhash-unnamed")
+    fps = staged(named.select("fp", F.lit(1).alias("named")).unionAll(lone.select("fp", F.lit(0))).groupBy("fp").agg(F.max("named").alias("named")), "simhash-all")
+    known = connected_components(links(fps.select("fp", F.col("fp").alias("rep")), bits)).withColumnRenamed("node", "fp")
+    classes = fps.join(known, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    alone = classes.groupBy("component").agg(F.max("named").alias("named")).where("named = 0").select("component")
+    chosen = lone.join(classes.join(alone, "component"), "fp").groupBy("component").agg(F.min("doc_id").alias("__hash")).select("__hash")
+    return kept.unionByName(unnamed.join(chosen, "__hash", "left_semi").dropDuplicates(["__hash"]).select(*docs.columns))

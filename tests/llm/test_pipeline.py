@@ -54,3 +54,18 @@ def test_language_keeps_clean_documents(spark):
     df = spark.createDataFrame([(1, "words in here", "en", "s", 13), (2, None, "en", "s", 0), (3, "123 ...", "en", "s", 7), (4, "", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in langid.identified(df, langid.sample(df)).collect()] == [1]
     assert corpus_pipeline.language(spark, df.limit(0), "").collect() == []
+
+
+def test_no_label_rejects_no_text(spark):
+    df = spark.createDataFrame([(1, "words in here", None), (2, None, None), (3, "123 ...", None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in langid.identified(df, langid.sample(df)).collect()] == [1]
+
+
+def test_documents_without_an_id_stay(spark):
+    text = lambda a: " ".join(f"{a}{i * i}" for i in range(60))
+    rows = [(1, text("a")), (2, text("a")), (None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (7, text("d"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.one_of_each(df).collect()
+    assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame([rows[0], rows[3], rows[5], rows[6]], df.schema).collect()))
+    named = df.where("doc_id is not null")
+    assert sorted(r.doc_id for r in simhash.one_of_each(named).collect()) == [1, 7]
