@@ -9,9 +9,11 @@ more than a threshold, in enough different contexts, is generalised, and above a
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
@@ -86,18 +88,27 @@ def contexts(text: str, spans: list[Span]) -> list[tuple[str, int, str, int, int
     """(entity, context, term, start, end) of the terms near each entity, and one row of the entity itself with an empty
     term. The context is the hash of the words next to the entity, so copies of a passage are one context."""
     out = []
+    begins = [s[0] for s in spans]
+    ends = list(accumulate((s[1] for s in spans), max))  # the furthest end of the spans so far
     for a, b, kind, value in spans:
-        left = [m for m in _TERM.finditer(text, max(0, a - 32 * NEAR), a)][-NEAR:]
+        lo, hi = max(0, a - 32 * NEAR), min(len(text), b + 32 * NEAR)
+        while lo > 0 and text[lo - 1].isalpha() and text[lo].isalpha():
+            lo -= 1
+        while b < hi < len(text) and text[hi - 1].isalpha() and text[hi].isalpha():
+            hi += 1
+        left = [m for m in _TERM.finditer(text, lo, a)][-NEAR:]
         right = []
-        for m in _TERM.finditer(text, b, b + 32 * NEAR):
+        for m in _TERM.finditer(text, b, hi):
             right.append(m)
             if len(right) == NEAR:
                 break
         sides = [*(m[0].lower() for m in left[-1:]), "|", *(m[0].lower() for m in right[:1])]
         context, entity = crc32(" ".join(sides).encode("utf-8", "surrogatepass")), f"{kind}:{value}"
         out.append((entity, context, "", a, b))
-        out += [(entity, context, m[0].lower(), m.start(), m.end()) for m in (*left, *right) if not any(m.start() < y and x < m.end() for x, y, *_ in spans)] if len(spans) <= 64 else [
-            (entity, context, m[0].lower(), m.start(), m.end()) for m in (*left, *right) if "@" not in text[max(0, m.start() - 1) : m.end() + 1]]
+        for m in (*left, *right):
+            k = bisect_left(begins, m.end())  # the spans that begin before the term ends
+            if k == 0 or ends[k - 1] <= m.start():
+                out.append((entity, context, m[0].lower(), m.start(), m.end()))
     return out
 
 

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from plystream.llm import pii
 
 SCHEMA = "doc_id long, text string, n_chars long, spans string, n_email int"
@@ -71,3 +73,17 @@ def test_sanitise_text():
     t = "call +1 (323) 555-9830 or mail a@b.cd now zed"
     assert pii.sanitise_text(t, [(42, 45, 0.6)]) == "call <PHONE> or mail <EMAIL> now <TERM>"
     assert pii.sanitise_text(t, [(42, 45, 0.95)]) == "call <PHONE> or mail <EMAIL> now "
+
+
+@pytest.mark.parametrize("n", [3, 64, 65, 300])
+def test_no_term_overlaps_an_entity(n):
+    text = " ".join(f"mail john.doe{k}@mail{k}.example.org or call +49 30 1234{k:04d} today" for k in range(n))
+    spans = pii.base_spans(text)
+    near = pii.contexts(text, spans)
+    assert {t for _, _, t, _, _ in near if t} == {"mail", "call", "today"}
+    assert all(not any(a < y and x < b for x, y, *_ in spans) for _, _, t, a, b in near if t)
+
+
+def test_terms_are_whole_words():
+    text = f"{'a' * 300} x@y.org {'b' * 300} more"
+    assert {t for _, _, t, _, _ in pii.contexts(text, pii.base_spans(text)) if t} == {"a" * 300, "b" * 300}
