@@ -1,8 +1,8 @@
 """Main text of web pages by tree scoring.
 
 A page is parsed into a tree. Paragraphs pass points for their length and commas to their ancestors, less with each
-step up; an ancestor's score is discounted by its link density. The best container and those of its siblings that score
-well are kept, without what is marked as menu, header, footer, sidebar, notice, advert, form, comments, script or style.
+step up; an ancestor's score is discounted by its link density. An article or main that holds the best container
+is kept whole, else the container and all from the first to the last of its siblings that score well, without what is marked as menu, header, footer, sidebar, notice, advert, form, comments, script or style.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section
 #: Closed by the tags on the right; the search goes no higher than SCOPE.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 SCOPE = frozenset("html body article section main div table ul ol dl td th blockquote nav header footer aside form".split())
+#: Words that do not change what a class, id or role marks.
+NEUTRAL = frozenset("""site main top bottom left right primary secondary container wrapper wrap box list area section bar block inner outer item items link links
+page post body form group global""".split())
 #: Words in a class, id or role that mark what is no main text.
 MARKS = frozenset("""ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices
 notification alert popup modal overlay newsletter subscribe subscription signup paywall menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar
@@ -38,25 +41,43 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "unwanted", "score", "text", "linked")
+    __slots__ = ("tag", "parent", "items", "unwanted", "score", "text", "linked", "marked")
 
     def __init__(self, tag: str, parent: "Node | None", unwanted: bool = False):
         self.tag, self.parent, self.unwanted = tag, parent, unwanted
         self.items: list[Node | str] = []
-        self.score, self.text, self.linked = 0.0, 0, 0
+        self.score, self.text, self.linked, self.marked = 0.0, 0, 0, False
+
+
+def _hidden(attrs: str) -> bool:
+    return any(name.lower() == "hidden" or (name.lower() == "aria-hidden" and (a or b or c).lower() == "true") for name, a, b, c in _ATTR.findall(attrs))
 
 
 def _marked(attrs: str) -> bool:
+    """Whether a whole name in a class, id or role says it: words of MARKS, and else only neutral ones."""
     for name, a, b, c in _ATTR.findall(attrs):
-        value = a or b or c
-        name = name.lower()
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name in ("class", "id", "role") and any(w.lower() in MARKS for w in _WORD.findall(value)):
-            return True
+        if name.lower() in ("class", "id", "role"):
+            for token in (a or b or c).split():
+                said = [w.lower() for w in _WORD.findall(token) if not w.isdigit()]
+                if any(w in MARKS for w in said) and all(w in MARKS or w in NEUTRAL for w in said):
+                    return True
     return False
 
 
+def _judge(root: Node) -> None:
+    """Marked elements are unwanted, but for those that hold a main or an unmarked article, and, on a page with neither,
+    those with over half the text."""
+    nodes = _order(root)
+    size, holds = {}, {}
+    for node in reversed(nodes):
+        inner = [x for x in node.items if isinstance(x, Node)]
+        size[id(node)] = sum(len(x.strip()) for x in node.items if isinstance(x, str)) + sum(size.get(id(x), 0) for x in inner)
+        holds[id(node)] = node.tag == "main" or (node.tag == "article" and not node.marked) or any(holds.get(id(x), False) for x in inner)
+    for node in nodes:
+        if node.marked and not holds[id(node)] and (holds[id(root)] or 2 * size[id(node)] <= size[id(root)]):
+            node.unwanted = True
+
+
 def parse(html: str) -> Node:
     """The tree of a page. Open elements end with the page; stray ends are ignored."""
     root = Node("html", None)
@@ -97,8 +118,8 @@ def parse(html: str) -> Node:
             if up.tag in SCOPE and up.tag not in ends:
                 break
             up = up.parent
-        keep = name in ("body", "article", "main")
-        node = Node(name, at, name in UNWANTED or (not (keep and name == "body") and _marked(found["attrs"])))
+        node = Node(name, at, name in UNWANTED or (name != "body" and _hidden(found["attrs"])))
+        node.marked = name != "body" and _marked(found["attrs"])
         at.items.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(html, pos)
@@ -129,8 +150,9 @@ def _points(text: str) -> float:
     return 1 + text.count(",") + min(len(text) / 100, 3)
 
 
-def best(root: Node) -> list[Node]:
+def best(root: Node) -> list[Node | str]:
     """The nodes to keep, in page order."""
+    _judge(root)
     nodes = _order(root)
     for node in nodes:
         node.score = {"article": 25.0, "main": 25.0, "div": 5.0, "section": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0}.get(node.tag, 0.0)
@@ -159,18 +181,21 @@ def best(root: Node) -> list[Node]:
     if not holders:
         return [root]
     top = max(holders, key=worth)
-    if top.parent is None:
-        return [top]
+    up = top
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    if up is not None or top.parent is None:
+        return [up or top]
     least = max(10.0, 0.2 * worth(top))
-    out = []
-    for x in top.parent.items:
+    kept = []
+    for k, x in enumerate(top.parent.items):
         if x is top:
-            out.append(x)
+            kept.append(k)
         elif isinstance(x, Node) and not x.unwanted and x.text:
             dense = x.linked / x.text
             if (x.tag in BLOCKS and worth(x) >= least) or (x.tag == "p" and (x.text > 80 and dense < 0.25)):
-                out.append(x)
-    return out
+                kept.append(k)
+    return top.parent.items[kept[0] : kept[-1] + 1]
 
 
 def _inline(node: Node) -> Iterator[str]:
@@ -186,7 +211,7 @@ def _inline(node: Node) -> Iterator[str]:
             stack.extend(reversed(x.items))
 
 
-def _blocks(nodes: list[Node]) -> list[str]:
+def _blocks(nodes: list[Node | str]) -> list[str]:
     """Blocks of text in page order: each run of inline content between the edges of block elements."""
     out: list[str] = []
     now: list[str] = []

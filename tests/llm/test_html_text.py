@@ -53,3 +53,21 @@ def test_pages_keep_their_articles(spark):
         inner = re.search(r"<article>(.*?)(?:</article>|<footer>)", r.html, re.S)[1]
         blocks = [" ".join(h.unescape(re.sub("<[^>]*>", " " if b == "<br>" else "", x)).split()) for b in ("",) for x in re.split(r"</?(?:p|h1)>", inner)]
         assert ht.main_text(r.html) == "\n\n".join(b for b in blocks if b)
+
+
+def test_marks_do_not_empty_a_page():
+    body = f"<h1>Title</h1><p>{P1}</p>\n<p>{P2}</p>"
+    for inner in (f"<main class='has-sidebar'>{body}</main>", f"<article class='post with-comments'>{body}</article>", f"<div id='wrapper' class='no-header'>{body}</div>",
+                  f"<div class='layout-side-right'>{body}</div>", f"<div class='sidebar'><article>{body}</article></div>", f"<div class='widget'>{body}</div>"):
+        assert ht.main_text(page(inner)) == WANT, inner
+    for mark in ("site-footer", "comments-area", "cookie-notice", "sidebar-left", "relatedPosts related"):
+        assert ht.main_text(page(f"<article>{body}</article>", after=f"<div class='{mark}'><p>{P1}</p></div>")) == WANT, mark
+    assert ht.main_text(page(f"<article><h2 id='related-work'>Related work</h2><section id='search-algorithms'><p>{P1}</p></section></article>")) == f"Related work\n\n{P1}"
+
+
+def test_short_siblings_stay():
+    long = "<section>" + f"<p>{P1}</p>" * 20 + "</section>"
+    short = "<section><h2>Short</h2><p>Few words.</p></section>"
+    for tag in ("article", "main"):
+        assert ht.main_text(page(f"<{tag}>{long}{short}<ul><li>one</li></ul></{tag}>")) == "\n\n".join([P1] * 20 + ["Short", "Few words.", "one"])
+    assert ht.main_text(page(f"<div>{long}{short}{long}</div>")) == "\n\n".join([P1] * 20 + ["Short", "Few words."] + [P1] * 20)
