@@ -2,15 +2,17 @@
 
 The patterns find protected entities: addresses, numbers and hosts. A term near an entity reveals it as far as the corpus
 shows them together: disclosure is the pointwise mutual information of entity and term over the information content
-of the entity, log(N n_et / (n_e n_t)) / log(N / n_e), counted in documents of the whole corpus. A term that discloses
-more than a threshold, in enough different contexts, is generalised, and above a second one removed.
+of the entity, log(N n_et / (n_e n_t)) / log(N / n_e), counted in distinct documents of the whole corpus, times c / (c + 1)
+for c different contexts, so that what is seen once counts half and copies of a passage are no evidence. An entity in
+every document has no information to disclose. A term that discloses more than a threshold is generalised, and above
+a second one removed, wherever it stands in a document that has it near the entity.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from hashlib import sha256
 from itertools import accumulate
@@ -24,10 +26,12 @@ from pyspark.sql import functions as F
 from plystream.llm.common import staged
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of an entity, different contexts that a pair needs, and the thresholds of disclosure.
-NEAR, CONTEXTS, GENERALISE, REMOVE = 8, 3, 0.5, 0.9
+#: Words on either side of an entity, and the thresholds of disclosure.
+NEAR, GENERALISE, REMOVE = 8, 0.5, 0.9
 #: Slots of the filter that carries candidate terms to the counting of documents.
 SLOTS = 1 << 22
+#: Bytes of repeated rows' keys up to which they are broadcast; beyond, they are joined by shuffle.
+BROADCAST = 32 << 20
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -84,32 +88,27 @@ def written(spans: list[tuple]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k, *_ in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
 
 
-def contexts(text: str, spans: list[Span]) -> list[tuple[str, int, str, int, int]]:
-    """(entity, context, term, start, end) of the terms near each entity, and one row of the entity itself with an empty
-    term. The context is the hash of the words next to the entity, so copies of a passage are one context."""
-    out = []
-    begins = [s[0] for s in spans]
-    ends = list(accumulate((s[1] for s in spans), max))  # the furthest end of the spans so far
+def contexts(text: str, spans: list[Span]) -> tuple[list[tuple[str, int, str]], list[tuple[str, int, int]]]:
+    """(entity, context, term) of the terms near each entity, with one row of the entity itself with an empty term; and
+    (term, start, end) of all places of these terms in the text, but for those that overlap an entity. The context is
+    the hash of the words next to the entity, so copies of a passage are one context. A text is cut into words once."""
+    if not spans:
+        return [], []
+    begins, ends = [s[0] for s in spans], [*accumulate((s[1] for s in spans), max)]  # the furthest end of the spans so far
+    words = []
+    for m in _TERM.finditer(text):
+        k = bisect_left(begins, m.end())  # the spans that begin before the word ends
+        words.append((m.start(), m.end(), m[0].lower(), k == 0 or ends[k - 1] <= m.start()))
+    starts, stops = [w[0] for w in words], [w[1] for w in words]
+    near = []
     for a, b, kind, value in spans:
-        lo, hi = max(0, a - 32 * NEAR), min(len(text), b + 32 * NEAR)
-        while lo > 0 and text[lo - 1].isalpha() and text[lo].isalpha():
-            lo -= 1
-        while b < hi < len(text) and text[hi - 1].isalpha() and text[hi].isalpha():
-            hi += 1
-        left = [m for m in _TERM.finditer(text, lo, a)][-NEAR:]
-        right = []
-        for m in _TERM.finditer(text, b, hi):
-            right.append(m)
-            if len(right) == NEAR:
-                break
-        sides = [*(m[0].lower() for m in left[-1:]), "|", *(m[0].lower() for m in right[:1])]
+        i, j = bisect_right(stops, a), bisect_left(starts, b)  # words before the first and from the second on are outside
+        sides = [*(w[2] for w in words[max(i - 1, 0) : i]), "|", *(w[2] for w in words[j : j + 1])]
         context, entity = crc32(" ".join(sides).encode("utf-8", "surrogatepass")), f"{kind}:{value}"
-        out.append((entity, context, "", a, b))
-        for m in (*left, *right):
-            k = bisect_left(begins, m.end())  # the spans that begin before the term ends
-            if k == 0 or ends[k - 1] <= m.start():
-                out.append((entity, context, m[0].lower(), m.start(), m.end()))
-    return out
+        near.append((entity, context, ""))
+        near += [(entity, context, w[2]) for w in (*words[max(i - NEAR, 0) : i], *words[j : j + NEAR]) if w[3]]
+    terms = {t for _, _, t in near}
+    return near, [(t, x, y) for x, y, t, free in words if free and t in terms]
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -121,71 +120,93 @@ def scan(rows: DataFrame) -> DataFrame:
     """Base spans and contexts of rows (doc_id, text, text_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        near = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("term", pa.string())]))
+        at = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
             texts = b.column(1).to_pylist()
             found = [base_spans(t) for t in texts]
-            near = [[dict(zip(("entity", "context", "term", "start", "end"), c, strict=True)) for c in contexts(t, s)] if s else [] for t, s in zip(texts, found, strict=True)]
+            both = [contexts(t, s) for t, s in zip(texts, found, strict=True)]
             count = [Counter(s[2] for s in f) for f in found]
             base = [written(f) for f in found]
             yield pa.RecordBatch.from_arrays([
                 b.column(0), b.column(2), *(pa.array([c[k] for c in count], pa.int64()) for k in KINDS[:4]), pa.array(base, pa.string()),
-                pa.array([sha256(x.encode()).hexdigest() for x in base], pa.string()), pa.array(near, kind)], names)
+                pa.array([sha256(x.encode()).hexdigest() for x in base], pa.string()),
+                pa.array([[dict(zip(("entity", "context", "term"), x, strict=True)) for x in n] for n, _ in both], near),
+                pa.array([[dict(zip(("term", "start", "end"), x, strict=True)) for x in w] for _, w in both], at)], names)
 
-    names = ["doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "near"]
+    names = ["doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "near", "at"]
     return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, base_sha256 string, "
-                                "near array<struct<entity:string,context:bigint,term:string,start:int,end:int>>")
+                                "near array<struct<entity:string,context:bigint,term:string>>, at array<struct<term:string,start:int,end:int>>")
 
 
-def document_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """In how many documents each of ``terms`` stands: (term, n_term). A filter of fixed size goes to all tasks; the
-    counts are exact."""
-    slot = F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(SLOTS)).cast("int")
-    bits = np.zeros(SLOTS, bool)
-    bits[[r["slot"] for r in terms.select(slot.alias("slot")).distinct().toLocalIterator()]] = True
-    given = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))
+def weighted(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(text, weight): each distinct document (doc_id, text_hash) has a weight of 1, shared by its rows. Without repeated
+    rows nothing is joined."""
+    repeated = staged(found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "n"), "pii-repeated")
+    many = repeated.count()
+    if not many:
+        return rows.select("text", F.lit(1.0).alias("weight"))
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    return rows.join(F.broadcast(repeated) if many * 24 <= BROADCAST else repeated, on, "left").select("text", F.coalesce(1 / F.col("n"), F.lit(1.0)).alias("weight"))
+
+
+def document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """In how many documents each of ``terms`` stands: (term, n_term); ``texts`` has (text, weight). A filter of fixed size
+    goes to all tasks; the counts are exact."""
+    slot = terms.select(F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(SLOTS)).alias("slot"))
+    filled = slot.groupBy(F.shiftright("slot", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))").alias("bits")).toArrow()
+    packed = np.zeros(SLOTS // 32, np.uint32)
+    packed[filled["word"].to_numpy()] = filled["bits"].to_numpy().astype(np.uint32)
+    given = texts.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want = np.unpackbits(given.value).astype(bool)
+        want = np.unpackbits(given.value.view(np.uint8), bitorder="little").astype(bool)
         for b in batches:
-            count: Counter = Counter()
-            for t in b.column(0):
-                count.update({w for w in set(_TERM.findall(t.as_py().lower())) if want[crc32(w.encode("utf-8", "surrogatepass")) % SLOTS]})
-            yield pa.RecordBatch.from_arrays([pa.array([*count], pa.string()), pa.array([*count.values()], pa.int64())], ["term", "n"])
+            count: defaultdict[str, float] = defaultdict(float)
+            for t, weight in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                for w in {w.lower() for w in set(_TERM.findall(t.as_py()))}:
+                    count[w] += weight
+            kept = [w for w in count if want[crc32(w.encode("utf-8", "surrogatepass")) % SLOTS]]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([count[w] for w in kept], pa.float64())], ["term", "n"])
 
-    counted = rows.select("text").mapInArrow(run, "term string, n bigint")
-    return counted.groupBy("term").agg(F.sum("n").alias("n_term")).join(terms, "term", "left_semi")
+    counted = texts.select("text", "weight").mapInArrow(run, "term string, n double")
+    return counted.groupBy("term").agg(F.round(F.sum("n")).cast("bigint").alias("n_term")).join(terms, "term", "left_semi")
 
 
-def disclosing(rows: DataFrame, near: DataFrame, needed: int = CONTEXTS, least: float = GENERALISE) -> DataFrame:
-    """Pairs (entity, term, disclosure) of the corpus that disclose ``least`` or more in ``needed`` contexts."""
-    counts = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id", "text_hash").alias("n_both"))
-    counts = staged(counts.where(F.col("contexts") >= needed), "pii-pairs")
+def disclosing(rows: DataFrame, found: DataFrame, least: float = GENERALISE) -> DataFrame:
+    """Pairs (entity, term, disclosure) of the corpus that disclose ``least`` or more; ``found`` is what ``scan`` made of ``rows``."""
+    near = found.select(F.struct("doc_id", "text_hash").alias("doc"), F.explode("near").alias("x")).select("doc", "x.*")
+    counts = staged(near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc").alias("n_both")), "pii-pairs")
     entities = counts.where("term = ''").select("entity", F.col("n_both").alias("n_entity"))
     pairs = counts.where("term <> ''")
-    terms = document_counts(rows, pairs.select("term").distinct())
-    n = F.lit(float(rows.count()))
-    shown = F.ln(n * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both"))) / F.ln(n / F.col("n_entity"))
+    n = F.lit(float(found.select("doc_id", "text_hash").distinct().count()))
+    terms = document_counts(weighted(rows, found), pairs.select("term").distinct())
+    held = F.ln(n / F.col("n_entity"))
+    shown = F.ln(n * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both"))) / F.nullif(held, F.lit(0.0))
+    shown = F.coalesce(shown, F.lit(0.0)) * F.col("contexts") / (F.col("contexts") + 1)
     return pairs.join(entities, "entity").join(terms, "term").select("entity", "term", shown.alias("disclosure")).where(F.col("disclosure") >= least)
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", needed: int = CONTEXTS, least: float = GENERALISE) -> DataFrame:
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = GENERALISE) -> DataFrame:
     """Returns, for each row: doc_id, text_hash, n_email, n_ip, n_card, n_phone, base_sha256, spans, terms (array of start,
-    end, disclosure of the terms to treat).
+    end, disclosure of the terms to treat: the largest of the entities that the document has them near).
 
     Null texts count as empty; repeated rows give repeated rows and count once in the corpus; rows of one id with different
     texts are different documents; other columns are ignored; an empty table gives no rows. No entity is lost for
-    want of context: base spans never depend on the corpus.
+    want of context: base spans never depend on the corpus. The texts are read twice and never shuffled, unless more
+    rows are repeated than can be broadcast.
     """
     rows = _rows(docs, doc_id, text)
     found = staged(scan(rows), "pii")
-    near = found.select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.*")
-    pairs = staged(disclosing(rows, near, needed, least), "pii-disclosing")
-    hits = near.join(pairs, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    hits = hits.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
-    hits = hits.withColumnRenamed("doc_id", "__id")
-    on = found["doc_id"].eqNullSafe(hits["__id"]) & (found["text_hash"] == hits["text_hash"])
-    out = found.join(hits, on, "left").select(found["*"], "terms")
+    pairs = staged(disclosing(rows, found, least), "pii-disclosing")
+    key = ["doc_id", "text_hash"]
+    near = found.select(*key, F.explode("near").alias("x")).select(*key, "x.entity", "x.term")
+    shown = near.join(pairs, ["entity", "term"]).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("term").alias("__term")).agg(F.max("disclosure").alias("disclosure"))
+    at = found.select(*key, F.explode("at").alias("x")).select(*key, "x.*")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    # a set, as the places of a repeated row come up once for each of its rows
+    hits = at.join(shown, same & (F.col("term") == F.col("__term"))).groupBy("__id", "__hash").agg(F.sort_array(F.collect_set(F.struct("start", "end", "disclosure"))).alias("terms"))
+    out = found.join(hits, same, "left").select(found["*"], "terms")
     none = F.array().cast("array<struct<start:int,end:int,disclosure:double>>")
     return out.select("doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base",
                       F.coalesce("terms", none).alias("terms")).withColumn("spans", all_spans())
