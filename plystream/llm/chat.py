@@ -10,7 +10,7 @@ any backslashes and ``|`` get one backslash more, so that no text can hold a con
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -67,37 +67,29 @@ def render(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     Rows go by turn, null turns first; rows with equal turns by role, then by what they render to, so the result does
     not depend on row order; repeated rows are repeated turns. Null roles and texts count as empty, null parts as none,
     negative sizes as 0. Rows with a null conversation are one conversation. Extra columns are ignored; no rows give
-    no rows. A conversation's output is one row, so it has to fit in a task.
+    no rows. A conversation's output is one row, so it has to fit in a task; the work is linear in its turns and parts.
     """
     r = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
                      F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")).alias("parts"))
     r = r.withColumn("pieces", F.transform("parts", _visit))
-    r = r.withColumn("head", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")))
-    r = r.withColumn("body", F.array_join("pieces", ""))
-    sizes = F.transform("pieces", lambda s: F.char_length(s).cast("bigint"))
-    ahead = lambda i: F.aggregate(F.slice(F.col("sizes"), 1, i), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    spans = F.filter(
-        F.transform("parts", lambda p, i: F.struct((p["type"] == "text").alias("keep"), ahead(i).alias("start"), F.col("sizes")[i].alias("length"))),
-        lambda s: s["keep"] & (s["length"] > 0))
-    r = r.withColumn("sizes", sizes).withColumn("spans", F.when(F.col("role") == "assistant", spans).otherwise(F.filter(spans, lambda s: F.lit(False))))
-    media = F.transform(F.filter("parts", lambda p: p["type"] != "text"),
-                        lambda p: F.struct(F.col("turn").alias("turn"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens")))
-    r = r.select("conv_id", F.struct("turn", "role", F.concat("head", "body", F.lit(END)).alias("text"), F.char_length("head").alias("body_at"),
-                                     F.col("spans"), media.alias("media")).alias("t"))
-    g = r.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    # offsets: a running sum over the turns, exploded so that it stays linear
-    lengths = F.transform("turns", lambda t: F.char_length(t["text"]).cast("bigint"))
-    g = g.withColumn("lengths", lengths)
-    g = g.withColumn("loss", F.flatten(F.transform(
-        F.filter(F.transform("turns", lambda t, i: F.struct(i.alias("i"), t["body_at"].cast("bigint").alias("at"), t["spans"].alias("spans"))), lambda x: F.size(x["spans"]) > 0),
-        lambda x: F.transform(x["spans"], lambda s: F.struct(
-            (F.aggregate(F.slice(F.col("lengths"), 1, x["i"]), F.lit(0).cast("bigint"), lambda a, n: a + n) + x["at"] + s["start"]).alias("start"),
-            s["length"].alias("length"))))))
-    attachments = F.flatten(F.transform("turns", lambda t: t["media"]))
-    return g.select("conv_id", F.array_join(F.transform("turns", lambda t: t["text"]), "").alias("formatted"), "loss",
-                    attachments.alias("attachments"),
-                    F.aggregate(attachments, F.lit(0).cast("bigint"), lambda a, m: a + m["tokens"]).alias("expanded_tokens"),
-                    F.size("turns").cast("bigint").alias("n_turns"))
+    r = r.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", F.array_join("pieces", ""), "parts")))
+    # pieces of text, one a row, with the turn's head before them and its end after them
+    frame = lambda text: F.struct(text.alias("text"), F.lit(None).cast(PART).alias("part"))
+    said = F.transform(F.arrays_zip("pieces", "parts"), lambda x: F.struct(x["pieces"].alias("text"), x["parts"].alias("part")))
+    head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
+    r = r.select("conv_id", "n", "turn", "role", F.posexplode(F.concat(F.array(frame(head)), said, F.array(frame(F.lit(END))))).alias("at", "x"))
+    size = F.char_length("x.text").cast("bigint")
+    # a running sum over the conversation, in the order and the exchange of the turns
+    ahead = F.coalesce(F.sum(size).over(Window.partitionBy("conv_id").orderBy("n", "at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+    learnt = (F.col("role") == "assistant") & (F.col("x.part.type") == "text") & (size > 0)
+    media = F.struct("turn", F.col("x.part.type").alias("type"), F.col("x.part.ref").alias("ref"), _tokens(F.col("x.part")).alias("tokens"))
+    r = r.select("conv_id", F.struct("n", "at", "x.text", F.when(learnt, F.struct(ahead.alias("start"), size.alias("length"))).alias("loss"),
+                                     F.when(F.col("x.part.type") != "text", media).alias("media")).alias("t"))
+    g = r.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    kept = lambda name: F.transform(F.filter("t", lambda t: t[name].isNotNull()), lambda t: t[name])
+    return g.select("conv_id", F.array_join(F.transform("t", lambda t: t["text"]), "").alias("formatted"), kept("loss").alias("loss"), kept("media").alias("attachments"),
+                    F.aggregate(kept("media"), F.lit(0).cast("bigint"), lambda a, m: a + m["tokens"]).alias("expanded_tokens"),
+                    F.element_at("t", -1)["n"].cast("bigint").alias("n_turns"))
 
 
 def parse(formatted: Column) -> Column:
@@ -109,5 +101,8 @@ def parse(formatted: Column) -> Column:
 
 
 def under_loss(formatted: Column, loss: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped, in order. Spans are cut from four bytes for each code point, so that none
+    has to be counted to from the beginning."""
+    cut = lambda w, s: F.decode(F.substring(w, (4 * s["start"] + 1).cast("int"), (4 * s["length"]).cast("int")), "UTF-32")
+    wide = F.array(F.encode(formatted, "UTF-32"))
+    return F.transform(wide, lambda w: F.array_join(F.transform(loss, lambda s: unescape(cut(w, s))), ""))[0]

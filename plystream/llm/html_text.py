@@ -8,6 +8,7 @@ is kept whole, else the container and all from the first to the last of its sibl
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -34,8 +35,8 @@ notification alert popup modal overlay newsletter subscribe subscription signup
 header masthead footer sidebar side rail widget widgets related recommended recommendations share sharing social comment comments commentlist respond reply replies disqus
 discussion feedback skip tags tagcloud hidden contentinfo complementary search login""".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_LOOSE = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)>")
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)", re.S)
+_STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?(?=[\s\"'/]|$)", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -78,59 +79,97 @@ def _judge(root: Node) -> None:
             node.unwanted = True
 
 
+class _Open:
+    """The open elements of a page, with the places of each tag among them, so that no tag has to climb to find its like."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        """Closes the element at this place and all in it."""
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
+
+    def last(self, tags: frozenset[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def end(self, name: str) -> None:
+        """An end tag closes the last element of its name; only one of SCOPE goes beyond elements of SCOPE."""
+        at = self.places.get(name)
+        if at and (name in SCOPE or at[-1] > self.last(SCOPE)):
+            self.cut(at[-1])
+
+    def begin(self, name: str) -> None:
+        """A start tag closes the first of the elements that it ends, but for those beyond an element of SCOPE."""
+        ends = CLOSES.get(name, frozenset())
+        tags = [t for t in (ends | {"p"} if name in BLOCKS else ends) if self.places.get(t)]
+        if tags:
+            low = self.last(SCOPE - ends)
+            found = [at[k] for at in map(self.places.get, tags) if (k := bisect_right(at, low)) < len(at)]
+            if found:
+                self.cut(min(found))
+
+
+def _tag_end(html: str, pos: int, failing: set[int]) -> int:
+    """Where the > of a tag is whose name ends at ``pos``: the first outside quotes, or, if a quote does not end, the first.
+    ``failing`` has the quotes from which an earlier tag has come to one that does not end, so none is followed twice."""
+    at, seen = pos, []
+    while m := _STOP.search(html, at):
+        if m[0] == ">":
+            return m.start()
+        if m.start() in failing:
+            break
+        seen.append(m.start())
+        at = html.find(m[0], m.end()) + 1
+        if not at:
+            break
+    failing.update(seen)
+    return html.find(">", pos)
+
+
 def parse(html: str) -> Node:
-    """The tree of a page. Open elements end with the page; stray ends are ignored."""
+    """The tree of a page, in time linear in its length. Open elements end with the page; stray ends are ignored."""
     root = Node("html", None)
-    at, pos, n = root, 0, len(html)
+    open_, pos, n, last, failing = _Open(root), 0, len(html), html.rfind(">"), set()
     while pos < n:
         lt = html.find("<", pos)
+        items = open_.nodes[-1].items
         if lt < 0:
-            at.items.append(unescape(html[pos:]))
+            items.append(unescape(html[pos:]))
             break
         if lt > pos:
-            at.items.append(unescape(html[pos:lt]))
-        m = _TAG.match(html, lt) or _LOOSE.match(html, lt)
-        if not m:
-            at.items.append("<")
+            items.append(unescape(html[pos:lt]))
+        m = _TAG.match(html, lt)
+        if not m or (m["name"] and m.end() > last):
+            items.append("<")
             pos = lt + 1
             continue
         pos = m.end()
-        found = m.groupdict()
-        if not found["name"]:
-            if found.get("cdata"):
-                at.items.append(found["cdata"])
+        if not m["name"]:
+            if m["cdata"]:
+                items.append(m["cdata"])
             continue
-        name = found["name"].lower()
-        if found["close"]:
-            up = at
-            while up is not root and up.tag != name and not (name not in SCOPE and up.tag in SCOPE):
-                up = up.parent
-            if up is not root and up.tag == name:
-                at = up.parent
+        end = _tag_end(html, pos, failing)
+        name, attrs, pos = m["name"].lower(), html[pos:end], end + 1
+        if m["close"]:
+            open_.end(name)
             continue
         if name == "html":
             continue
-        ends = CLOSES.get(name, frozenset())
-        up = at
-        while up is not root:
-            if up.tag in ends or (name in BLOCKS and up.tag == "p"):
-                at = up.parent
-            if up.tag in SCOPE and up.tag not in ends:
-                break
-            up = up.parent
-        node = Node(name, at, name in UNWANTED or (name != "body" and _hidden(found["attrs"])))
-        node.marked = name != "body" and _marked(found["attrs"])
+        open_.begin(name)
+        at = open_.nodes[-1]
+        node = Node(name, at, name in UNWANTED or (name != "body" and _hidden(attrs)))
+        node.marked = name != "body" and _marked(attrs)
         at.items.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(html, pos)
             pos = end.end() if end else n
-            continue
-        if name not in VOID and not found["attrs"].endswith("/"):
-            at = node
-        elif name in VOID or name not in BLOCKS:
-            continue
-        else:
-            at = node
+        elif name not in VOID and (name in BLOCKS or not attrs.endswith("/")):
+            open_.push(node)
     return root
 
 

@@ -1,11 +1,13 @@
 """Language identification by cross-parsing entropy.
 
 A suffix automaton holds each language's sample of labelled text. A text is parsed against it into phrases, each the
-longest match from where the one before ended (a character that the sample lacks is a phrase); the language that needs
-fewest phrases, normalised by the bits that point into its sample, wins.
+longest match from where the one before ended (a letter that the sample lacks is a phrase); the language that needs
+fewest phrases for its symbols wins. A phrase costs the bits that point into the largest sample, in all languages alike,
+so that a small sample gives no language an advantage.
 
-Texts and samples are lower-cased letters; whatever stands between letters is one space. Parsing starts anew every SEGMENT
-characters, so that texts of any length are parsed in step with each other, as arrays.
+Texts and samples are lower-cased letters; whatever stands between letters is one space. Every letter of the samples has
+a code of its own, in writings of many letters one of several symbols. Parsing starts anew every SEGMENT symbols, so
+that texts of any length are parsed in step with each other, as arrays.
 """
 
 from __future__ import annotations
@@ -19,9 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The bound of a language's sample: the rows with the smallest hashes of their ids, and code points of each.
-ROWS, CHARS = 64, 256
-LETTERS, FOLDED = 96, 32
+#: The bounds of the sample: languages (the most frequent labels), rows of each (those with the smallest hashes of their
+#: ids), and code points of each language, of whole rows.
+LANGS, ROWS, CHARS = 256, 64, 1 << 15
+#: Symbols of the most frequent letters, and in each place of the others' codes.
+DIRECT, DIGITS = 62, 64
+#: A text is rejected if it has LEAST symbols or more and its parse needs MOST times the bits of a uniform code of its letters,
+#: or more; texts half in one learned language and half in another need up to 1.0 times.
+LEAST, MOST = 256, 1.25
 SEGMENT, LOT = 1024, 1 << 22
 UNKNOWN = "und"
 
@@ -30,16 +37,25 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("bigint").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS, chars: int = CHARS) -> dict[str, list[str]]:
-    """Labelled text by language: at most ``rows`` times ``chars`` code points for each. Rows without an id, text or
-    label, and held-out ones, are left out."""
+def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", langs: int = LANGS, rows: int = ROWS, chars: int = CHARS) -> dict[str, list[str]]:
+    """Labelled text by language: of the ``langs`` most frequent labels, rows in the order of their ids' hashes, as long
+    as they fit into ``chars`` code points together; of a longer row, a stretch of that length at a hashed place. Rows
+    without an id, text or label, and held-out ones, are left out; repeated rows count once."""
     use = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     use = use.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-    use = use.select("lang", "doc_id", F.xxhash64("doc_id").alias("order"), F.substring("text", 1, chars).alias("text"))
+    labels = use.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs)
+    order, size = F.xxhash64("doc_id"), F.char_length("text")
+    begin = F.when(size > chars, F.pmod(order, size - chars + 1)).otherwise(0) + 1
+    use = use.select("lang", "doc_id", order.alias("order"), F.substr("text", begin.cast("int"), F.lit(chars)).alias("text"))
     w = Window.partitionBy("lang").orderBy("order", "doc_id", "text")
+    use = use.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= rows).join(F.broadcast(labels), "lang", "left_semi")
     found: dict[str, list[str]] = {}
-    for r in use.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= rows).orderBy("lang", "rank").collect():
-        found.setdefault(r["lang"], []).append(r["text"])
+    left: dict[str, int] = {}
+    for r in use.orderBy("lang", "rank").collect():
+        mine, room = found.setdefault(r["lang"], []), left.setdefault(r["lang"], chars)
+        if len(r["text"]) <= room and r["text"] not in mine:
+            mine.append(r["text"])
+            left[r["lang"]] = room - len(r["text"])
     return found
 
 
@@ -79,27 +95,37 @@ def automaton(sequence: np.ndarray, width: int) -> np.ndarray:
 
 
 class Parser:
-    """Automata of some languages, over one alphabet: the most frequent letters, and the others folded into a few."""
+    """Automata of some languages, over one alphabet: 0 for a gap, 1 for a letter that no sample has, then the letters."""
 
     def __init__(self, samples: dict[str, list[str]]):
         lower = [c.lower() if len(c.lower()) == 1 else c for c in map(chr, range(0x110000))]
         letter = np.fromiter((c.isalpha() for c in map(chr, range(0x110000))), bool, 0x110000)
         common = Counter(lower[ord(c)] for texts in samples.values() for t in texts for c in t if c.isalpha())
-        code = {c: k + 1 for k, (c, _) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])}
-        self.width = len(code) + 1 + FOLDED
-        folded = len(code) + 1 + np.arange(0x110000) % FOLDED
-        self.code = np.where(letter, folded, 0).astype(np.uint8)
+        ranked = {c: k for k, (c, _) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0])))}
+        direct, places = (len(ranked), 0) if len(ranked) <= 2 * DIRECT else (DIRECT, 2)
+        while places and DIGITS**places < len(ranked) - direct:
+            places += 1
+        self.letters, self.width = max(len(ranked), 2), 2 + direct + places * DIGITS
+        # symbols by code point: one of its own, or one for each place of a number; -1 where there is no symbol
+        self.code = np.full((0x110000, max(places, 1)), -1, np.int16)
+        self.code[:, 0] = letter
         for i in np.flatnonzero(letter).tolist():
-            if (k := code.get(lower[i])) is not None:
-                self.code[i] = k
+            if (k := ranked.get(lower[i])) is None:
+                continue
+            if k < direct:
+                self.code[i, 0] = 2 + k
+            else:
+                for d in range(places):
+                    self.code[i, d] = 2 + direct + d * DIGITS + (k - direct) // DIGITS**d % DIGITS
         self.langs = sorted(samples)
         sequences = [self.normalised(" ".join(samples[n])) for n in self.langs]
         self.tables = [automaton(s, self.width).reshape(-1) for s in sequences]
-        self.bits = np.array([log2(len(s) + 2) for s in sequences])
+        self.bits = log2(max(map(len, sequences), default=0) + 2)
 
     def normalised(self, text: str) -> np.ndarray:
-        """Codes of letters, and 0 for each run of anything else; none at the ends."""
-        c = self.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        """Symbols of letters, and 0 for each run of anything else; none at the ends."""
+        c = self.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].reshape(-1)
+        c = c[c >= 0] if self.code.shape[1] > 1 else c
         keep = c != 0
         if not keep.any():
             return c[:0]
@@ -115,7 +141,7 @@ class Parser:
         if not cuts:
             return out
         sizes = np.array([len(c) for _, c in cuts])
-        grid = np.zeros((len(cuts), sizes[0]), np.uint8)
+        grid = np.zeros((len(cuts), sizes[0]), np.int16)
         for k, (_, c) in enumerate(cuts):
             grid[k, : len(c)] = c
         grid = np.ascontiguousarray(grid.T)
@@ -133,18 +159,19 @@ class Parser:
             np.add.at(out[k], owner, count)
         return out
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        """The winner, the alphabetically first among equals, and its share in the two best: 1 - best / (best + second)."""
+    def predict(self, texts: list[str]) -> list[tuple[str, float, float]]:
+        """The winner, the alphabetically first among equals; its share in the two best, 1 - best / (best + second); and
+        bits of its parse over those of a uniform code, 0 for texts of less than LEAST symbols."""
         codes = [self.normalised(t) for t in texts]
-        cost = self.phrases(codes) * self.bits[:, None]
+        count = self.phrases(codes)
         out = []
         for k, c in enumerate(codes):
             if not len(c) or not self.langs:
-                out.append((UNKNOWN, 0.0))
+                out.append((UNKNOWN, 0.0, 0.0))
                 continue
-            best = int(np.argmin(cost[:, k]))
-            second = np.delete(cost[:, k], best).min() if len(self.langs) > 1 else np.inf
-            out.append((self.langs[best], float(1 - cost[best, k] / (cost[best, k] + second)) if np.isfinite(second) else 1.0))
+            best = int(np.argmin(count[:, k]))
+            both = count[best, k] + np.delete(count[:, k], best).min() if len(self.langs) > 1 else np.inf
+            out.append((self.langs[best], float(1 - count[best, k] / both), float(count[best, k] * self.bits / len(c) / log2(self.letters)) if len(c) >= LEAST else 0.0))
         return out
 
 
@@ -181,16 +208,19 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], doc_id: str = "doc_
         for rows in lots():
             found = parser.predict([t for _, _, t in rows])
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()),
-                                              pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names)
+                                              pa.array([x for x, *_ in found], pa.string()), pa.array([x for _, x, _ in found], pa.float64())], names)
 
     names = ["doc_id", "held_out", "lang_pred", "score"]
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), held_out(doc_id).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, samples: dict[str, list[str]], text: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose language is identified with a score of ``least`` or more, with all their columns. Rows
-    with a null text, and those without a letter, go; if no language was learned, no others. No exchange."""
+def identified(docs: DataFrame, samples: dict[str, list[str]], text: str = "text", lang: str = "lang", most: float = MOST) -> DataFrame:
+    """The rows of ``docs`` whose language is identified, with all their columns, and the language in ``lang``, if there
+    is such a column. Rows with a null text and those without a letter go, and texts of LEAST symbols or more whose
+    parse in the best language needs ``most`` times the bits of a uniform code of the letters, or more: no language
+    explains them. Repeated rows share a decision. If no language was learned, rows with a letter stay as they are.
+    Texts of any length are parsed whole. No exchange."""
     if not samples:
         return docs.where(F.col(text).rlike(r"\p{L}"))
     key = repr(sorted(samples.items()))
@@ -199,14 +229,17 @@ def identified(docs: DataFrame, samples: dict[str, list[str]], text: str = "text
         parser = _parser(key, samples)
         for b in batches:
             texts = b.column(b.schema.get_field_index(text))
-            keep: list[bool] = []
+            found: list[tuple[str, float, float]] = []
             lot, size = [], 0
             for k, t in enumerate(texts):
                 lot.append(t.as_py() or "")
                 size += len(lot[-1])
                 if size >= LOT or k == len(texts) - 1:
-                    keep += [lang != UNKNOWN and score >= least for lang, score in parser.predict(lot)]
+                    found += parser.predict(lot)
                     lot, size = [], 0
-            yield b.filter(pa.array(keep, pa.bool_()))
+            at = b.schema.get_field_index(lang)
+            if at >= 0:
+                b = b.set_column(at, b.schema.field(at), pa.array([x for x, *_ in found], b.schema.field(at).type))
+            yield b.filter(pa.array([x != UNKNOWN and rate < most for x, _, rate in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

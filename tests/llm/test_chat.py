@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +49,20 @@ def test_ties_and_repeats(spark):
     df = lambda r: chat.render(spark.createDataFrame(r, TURNS).repartition(3).withColumn("parts", chat.text_part(F.col("text"))))
     a, b = (sorted(map(str, df(x).collect())) for x in (rows, rows[::-1]))
     assert a == b and len(a) == 2
+
+
+def test_long_conversation(spark):
+    """Work is linear: sixteen thousand turns, and one turn of four thousand parts, in seconds."""
+    n = 16000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"),
+                                  chat.text_part(F.concat(F.lit("😀<|x|> "), F.col("id").cast("string"))).alias("parts"))
+    began = time.time()
+    out = chat.render(turns).select("n_turns", chat.parse(F.col("formatted")).alias("turns"), chat.under_loss(F.col("formatted"), F.col("loss")).alias("said"))
+    r = out.first()
+    assert r.n_turns == n and [t.text for t in r.turns] == [f"😀<|x|> {i}" for i in range(n)]
+    assert r.said == "".join(f"😀<|x|> {i}" for i in range(1, n, 2))
+    one = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"),
+                                F.transform(F.sequence(F.lit(1), F.lit(4000)), lambda i: chat.text_part(i.cast("string"))[0]).alias("parts"))
+    r = chat.render(one).select("loss", chat.under_loss(F.col("formatted"), F.col("loss")).alias("said")).first()
+    assert len(r.loss) == 4000 and r.said == "".join(map(str, range(1, 4001)))
+    assert time.time() - began < 30

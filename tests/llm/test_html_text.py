@@ -1,3 +1,6 @@
+import random
+import time
+
 from plystream.llm import html_text as ht
 
 SCHEMA = "page_id long, url string, html string, text string, n_chars string"
@@ -58,7 +61,9 @@ def test_pages_keep_their_articles(spark):
 def test_marks_do_not_empty_a_page():
     body = f"<h1>Title</h1><p>{P1}</p>\n<p>{P2}</p>"
     for inner in (f"<main class='has-sidebar'>{body}</main>", f"<article class='post with-comments'>{body}</article>", f"<div id='wrapper' class='no-header'>{body}</div>",
-                  f"<div class='layout-side-right'>{body}</div>", f"<div class='sidebar'><article>{body}</article></div>", f"<div class='widget'>{body}</div>"):
+                  f"<div class='layout-side-right'>{body}</div>", f"<main class='no-sidebar'>{body}</main>", f"<div class='has-sidebar'><article>{body}</article></div>",
+                  f"<div class='hidden-xs layout'><article>{body}</article></div>", f"<article class='tags-news post'>{body}</article>",
+                  f"<div id='page-header-fixed'><article>{body}</article></div>", f"<article>{body.replace('<h1>', '<h1 class=article-header>')}</article>", f"<div class='sidebar'><article>{body}</article></div>", f"<div class='widget'>{body}</div>"):
         assert ht.main_text(page(inner)) == WANT, inner
     for mark in ("site-footer", "comments-area", "cookie-notice", "sidebar-left", "relatedPosts related"):
         assert ht.main_text(page(f"<article>{body}</article>", after=f"<div class='{mark}'><p>{P1}</p></div>")) == WANT, mark
@@ -71,3 +76,49 @@ def test_short_siblings_stay():
     for tag in ("article", "main"):
         assert ht.main_text(page(f"<{tag}>{long}{short}<ul><li>one</li></ul></{tag}>")) == "\n\n".join([P1] * 20 + ["Short", "Few words.", "one"])
     assert ht.main_text(page(f"<div>{long}{short}{long}</div>")) == "\n\n".join([P1] * 20 + ["Short", "Few words."] + [P1] * 20)
+
+
+def test_ends_and_starts_of_elements():
+    """Which open elements a tag closes, against climbing from the innermost one, on random markup."""
+    rng = random.Random(4)
+    tags = ["p", "b", "li", "ul", "td", "tr", "table", "div", "dd", "dt", "dl", "section", "i", "option", "article"]
+    for _ in range(400):
+        said = [(rng.random() < 0.4, rng.choice(tags)) for _ in range(rng.randint(1, 40))]
+        root = at = ht.Node("html", None)
+        for k, (close, name) in enumerate(said):
+            up, found = at, None
+            if close:
+                while up is not root and up.tag != name and not (name not in ht.SCOPE and up.tag in ht.SCOPE):
+                    up = up.parent
+                at = up.parent if up is not root and up.tag == name else at
+            else:
+                ends = ht.CLOSES.get(name, frozenset())
+                while up is not root:
+                    if up.tag in ends or (name in ht.BLOCKS and up.tag == "p"):
+                        found = up.parent
+                    if up.tag in ht.SCOPE and up.tag not in ends:
+                        break
+                    up = up.parent
+                node = ht.Node(name, found or at)
+                node.parent.items.append(node)
+                at = node
+            at.items.append(str(k))
+        shape = lambda x: x if isinstance(x, str) else (x.tag, [shape(y) for y in x.items])
+        html = "".join(f"<{'/' * close}{name}>{k}" for k, (close, name) in enumerate(said))
+        assert shape(ht.parse(html)) == shape(root), html
+
+
+def test_quotes():
+    assert ht.main_text("<p title='a > b'>one</p><p title=\"it's > \">two</p>") == "one\n\ntwo"
+    assert ht.main_text("<p title='a>one</p><p>two</p>") == "one\n\ntwo"
+    assert ht.main_text("<p title=\"a' 'b>one</p> <p title='>'>two</p>") == "one\n\ntwo"  # the quote never ends
+
+
+def test_broken_markup_takes_linear_time():
+    began = time.time()
+    for html in ("<b>x" * 250_000, "<b>" * 200_000 + "</i>" * 200_000, "<a '" * 250_000, "<a '>" * 200_001, "<p \"'>" * 150_001, "<div>" * 100_000 + "</p>" * 100_000,
+                 "<li><td>" * 100_000, "<!-- " * 200_000, "<" * 1_000_000, "<a " * 300_000 + ">", "<a '\">" * 150_000, "<p class=" * 100_000, "<td><p>x" * 100_000):
+        one = time.time()
+        ht.main_text(html)
+        assert time.time() - one < 15, html[:20]
+    assert time.time() - began < 60
