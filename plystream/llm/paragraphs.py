@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from plystream.llm.common import staged
 from plystream.llm.components import connected_components
 
-SHINGLE, WINDOW, SPAN, SHORT, REACH, BANDS, ROWS, SIMILAR = 5, 20, 6, 50, 6, 6, 2, 0.8
+SHINGLE, WINDOW, SPAN, SHORT, BANDS, ROWS, SIMILAR = 5, 20, 6, 50, 6, 2, 0.8
 #: Code points that are hashed at once; texts of any length are done in overlapping pieces.
 BLOCK = 1 << 20
 #: Bits of the filter that carries bands that two documents share to the second reading of the texts.
@@ -38,9 +38,12 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _B
-    h = (h ^ (h >> np.uint64(29))) * _A
-    return h ^ (h >> np.uint64(32))
+    h = h ^ (h >> np.uint64(32))
+    h *= _B
+    h ^= h >> np.uint64(29)
+    h *= _A
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def _powers(n: int) -> np.ndarray:
@@ -52,19 +55,23 @@ def _powers(n: int) -> np.ndarray:
 _POW = _powers(64)
 
 
-def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begins, ends and hashes of the words of a text: runs without white space, A-Z lower-cased."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.where((c >= 65) & (c <= 90), c + np.uint32(32), c)
-    inside = np.concatenate([[False], ~((c == 32) | ((c >= 9) & (c <= 13))), [False]])
+def words(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins, ends and hashes of the words of an array of code points: runs without white space, A-Z lower-cased."""
+    inside = np.zeros(len(c) + 2, bool)
+    np.logical_not((c == 32) | ((c >= 9) & (c <= 13)), out=inside[1:-1])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     begin, end = edge[::2], edge[1::2]
     if not len(begin):
         return begin, end, np.zeros(0, np.uint64)
-    at = np.arange(len(c)) - np.repeat(begin, np.diff(np.append(begin, len(c)))) if begin[0] == 0 else np.arange(len(c)) - np.concatenate([np.zeros(begin[0], np.int64), np.repeat(begin, np.diff(np.append(begin, len(c))))])
-    mixed = _mix(c.astype(np.uint64) + (at.astype(np.uint64) << np.uint64(32)))  # a letter and its place
-    mixed[~inside[1:-1]] = 0
-    return begin, end, np.add.reduceat(mixed, begin)
+    lo = int(begin[0])
+    lower = c[lo:] + ((c[lo:] >= 65) & (c[lo:] <= 90)) * np.uint32(32)
+    at = np.arange(lo, len(c), dtype=np.uint64)
+    at -= np.repeat(begin.astype(np.uint64), np.diff(begin, append=len(c)))
+    at <<= np.uint64(32)
+    at += lower  # a letter and its place
+    mixed = _mix(at)
+    mixed *= inside[lo + 1 : -1]
+    return begin, end, np.add.reduceat(mixed, begin - lo)
 
 
 def _pieces(text: str) -> Iterator[tuple[int, str]]:
@@ -75,25 +82,14 @@ def _pieces(text: str) -> Iterator[tuple[int, str]]:
         while hi < n and text[hi] not in " \t\n\x0b\x0c\r":
             hi += 1
         yield lo, text[lo:hi]
-        back, seen = hi, 0  # the next piece begins WINDOW + 2 * REACH + SHINGLE words before this one's end
-        while back > lo + 1 and seen < WINDOW + 2 * REACH + SHINGLE:
+        back, seen = hi, 0  # the next piece begins WINDOW + 2 * SPAN + SHINGLE words before this one's end
+        while back > lo + 1 and seen < WINDOW + 2 * SPAN + SHINGLE:
             back = max((text.rfind(s, lo, back) for s in " \t\n\x0b\x0c\r"), default=lo)
             seen += 1
         lo = back if back > lo + BLOCK // 2 else hi
     yield lo, text[lo:]
 
 
-def anchors(shingles: np.ndarray) -> np.ndarray:
-    """Places whose hash is smaller than those before and not larger than those after, within REACH and the array."""
-    n = len(shingles)
-    top = np.full(REACH, np.iinfo(np.uint64).max, np.uint64)
-    padded = np.concatenate([top, shingles, top])
-    ok = np.ones(n, bool)
-    for d in range(1, REACH + 1):
-        ok &= (shingles < padded[REACH - d : REACH - d + n]) & (shingles <= padded[REACH + d : REACH + d + n])
-    return np.flatnonzero(ok)
-
-
 def selected(starts: np.ndarray) -> np.ndarray:
     """Places of the smallest hash of each SPAN in a row, or of all if there are fewer."""
     k = min(SPAN, len(starts))
@@ -113,8 +109,8 @@ class Piece:
     """A piece of a text: begins and ends of its words, hashes of its shingles, and the places of ``selected`` windows."""
 
     def __init__(self, lo: int, text: str, whole: bool):
-        self.text, self.whole = text, whole
-        begin, end, h = words(text)
+        self.points, self.whole = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), whole
+        begin, end, h = words(self.points)
         n = len(h) - SHINGLE + 1
         s = h[: max(n, 0)].copy()
         for j in range(1, SHINGLE if n > 0 else 1):
@@ -144,10 +140,9 @@ class Piece:
         n = len(self.begin)
         if n <= SHORT and self.whole:
             return (np.zeros(1, np.int64), np.full(1, n)) if n >= SHINGLE else (np.zeros(0, np.int64),) * 2
-        c = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        line = np.searchsorted(np.flatnonzero((c >= 10) & (c <= 13)), self.local)
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(line)) + 1, [n]])
-        keep = np.diff(cut) >= WINDOW
+        ends = np.flatnonzero((self.points >= 10) & (self.points <= 13))  # words come after as many line ends as they have before them
+        cut = np.concatenate([[0], np.searchsorted(self.local, ends), [n]])
+        keep = cut[1:] - cut[:-1] >= WINDOW
         return cut[:-1][keep], cut[1:][keep]
 
 
@@ -167,15 +162,17 @@ def paragraphs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin[keep], end[keep], ids[keep]
 
 
+#: Multipliers of the min-hashes.
+_HASHES = _POW[1 : BANDS * ROWS + 1] ^ np.uint64(2)
+
+
 def bands(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Keys of the bands of sets of shingles, which begin at ``offsets`` of ``flat``: an array (BANDS, sets)."""
-    keys = []
-    for b in range(BANDS):
-        k = np.full(len(offsets), b + 1, np.uint64)
-        for r in range(ROWS):
-            k = _mix(k * _A + np.minimum.reduceat(flat * (_POW[b * ROWS + r + 1] ^ np.uint64(2)), offsets))
-        keys.append(k)
-    return np.array(keys).reshape(BANDS, len(offsets))
+    least = np.minimum.reduceat(flat * _HASHES[:, None], offsets, axis=1).reshape(BANDS, ROWS, len(offsets))
+    k = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(offsets), axis=1)
+    for r in range(ROWS):
+        k = _mix(k * _A + least[:, r])
+    return k
 
 
 def proper(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
