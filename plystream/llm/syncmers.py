@@ -2,12 +2,15 @@
 
 A k-mer of code points is selected if the smallest hash among its inner s-mers is at its first or last place. Whether it
 is selected depends on the k-mer alone, so equal passages select equal anchors wherever they stand. The fingerprint is
-the bottom-m sketch of a document's anchor hashes, and likeness estimates the Jaccard index of two sets of anchors.
+the bottom-m sketch of a document's anchors, the hash and the first place of each. Likeness matches anchors by hash and
+chains the matches: it is the largest number of them that stand in the same order in both documents, over the number of
+anchors in the sketch of both. Without moved passages it estimates the Jaccard index of the two sets of anchors.
 """
 
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +25,7 @@ K, S, SKETCH = 16, 6, 128
 BLOCK = 1 << 19
 _EDGE = 0x110000  # no code point; K // 2 of them stand before and after a text, so that short texts have anchors
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+ANCHOR = np.dtype([("hash", np.uint64), ("at", np.int64)])
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -79,8 +83,17 @@ def _whole(text: str) -> np.ndarray:
     return _mix(np.array([h], np.uint64)) >> np.uint64(16)
 
 
+def _smallest(h: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+    """The m smallest distinct hashes with the first place of each, by hash."""
+    found, first = np.unique(h, return_index=True)
+    out = np.zeros(min(len(found), m), ANCHOR)
+    out["hash"], out["at"] = found[:m], at[first[:m]]
+    return out
+
+
 def sketches(texts: list[str], m: int = SKETCH) -> list[np.ndarray]:
-    """The m smallest distinct anchor hashes of each text; none for an empty text. Many short texts are done at once."""
+    """The m anchors of each text with the smallest hashes; none for an empty text. Places count from K // 2 before the
+    text. Many short texts are done at once."""
     out: list[np.ndarray | None] = [None] * len(texts)
     edge = np.full(K // 2, _EDGE, np.uint32)
     todo: list[int] = []
@@ -92,20 +105,19 @@ def sketches(texts: list[str], m: int = SKETCH) -> list[np.ndarray]:
         at, h = select(np.concatenate(parts))
         cut = np.searchsorted(at, ends)
         last = np.searchsorted(at, ends - K, side="right")  # beyond it, k-mers cross into the next text
-        lo = 0
-        for i, a, b in zip(todo, last, cut, strict=True):
-            found = np.unique(h[lo:a])
-            out[i] = found[:m] if len(found) else _whole(texts[i])
-            lo = b
-
+        lo = begin = 0
+        for i, a, b, end in zip(todo, last, cut, ends, strict=True):
+            out[i] = _smallest(h[lo:a], at[lo:a] - begin, m) if a > lo else _smallest(_whole(texts[i]), np.zeros(1, np.int64), m)
+            lo, begin = b, end
     for i, t in enumerate(texts):
         if not t:
-            out[i] = np.zeros(0, np.uint64)
+            out[i] = np.zeros(0, ANCHOR)
         elif len(t) > BLOCK:
-            found = np.zeros(0, np.uint64)
+            found = np.zeros(0, ANCHOR)
             points = np.concatenate([edge, code_points(t), edge])
             for lo in range(0, len(points), BLOCK):
-                found = np.unique(np.concatenate([found, select(points[lo : lo + BLOCK + K - 1])[1]]))[:m]
+                at, h = select(points[lo : lo + BLOCK + K - 1])
+                found = _smallest(np.concatenate([found["hash"], h]), np.concatenate([found["at"], at + lo]), m)
             out[i] = found
         else:
             todo.append(i)
@@ -119,21 +131,40 @@ def sketches(texts: list[str], m: int = SKETCH) -> list[np.ndarray]:
 
 
 def to_text(sketch: np.ndarray) -> str:
-    """48 bits for each hash, big-endian, in base 64; empty for an empty text."""
-    return base64.b64encode(sketch.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()).decode()
+    """48 bits for each hash and 32 for its place, big-endian, in base 64; empty for an empty text."""
+    eight = lambda name: sketch[name].astype(">u8").view(np.uint8).reshape(-1, 8)
+    return base64.b64encode(np.concatenate([eight("hash")[:, 2:], eight("at")[:, 4:]], axis=1).tobytes()).decode()
 
 
 def from_text(fingerprint: str) -> np.ndarray:
-    six = np.frombuffer(base64.b64decode(fingerprint), np.uint8).reshape(-1, 6)
-    return np.concatenate([np.zeros((len(six), 2), np.uint8), six], axis=1).reshape(-1).view(">u8").astype(np.uint64)
+    ten = np.frombuffer(base64.b64decode(fingerprint), np.uint8).reshape(-1, 10)
+    out = np.zeros(len(ten), ANCHOR)
+    for name, part in (("hash", ten[:, :6]), ("at", ten[:, 6:])):
+        out[name] = np.concatenate([np.zeros((len(ten), 8 - part.shape[1]), np.uint8), part], axis=1).reshape(-1).view(">u8")
+    return out
+
+
+def chain(places: list[int]) -> int:
+    """The length of the longest increasing subsequence."""
+    ends: list[int] = []
+    for x in places:
+        k = bisect_left(ends, x)
+        ends[k : k + 1] = [x]
+    return len(ends)
 
 
 def likeness(a: np.ndarray, b: np.ndarray, m: int = SKETCH) -> float:
-    """The share of the m smallest hashes of both that both have. Two empty texts are alike; an empty and another not."""
+    """Of the m smallest hashes of both texts, the share that both have and that can be matched in order of place. Two
+    empty texts are alike; an empty and another not."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both, count = np.unique(np.concatenate([a, b]), return_counts=True)
-    return float(np.mean(count[:m] == 2))
+    both, i, j = np.intersect1d(a["hash"], b["hash"], assume_unique=True, return_indices=True)
+    size = min(m, len(a) + len(b) - len(both))
+    if not len(both):
+        return 0.0
+    top = np.union1d(a["hash"], b["hash"])[size - 1]
+    i, j = i[both <= top], j[both <= top]
+    return chain(b["at"][j][np.argsort(a["at"][i])].tolist()) / size
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -80,3 +80,30 @@ def test_likeness_follows_shared_text(spark):
     far, near = sy.sketches(["".join(texts(20, 7))])[0], sy.sketches([a[: len(a) * 9 // 10]])[0]
     one = sy.sketches([a])[0]
     assert sy.likeness(one, one) == 1 and sy.likeness(one, near) > 0.7 > 0.3 > sy.likeness(one, far)
+
+
+def test_places_are_the_first_ones():
+    for t in [*texts(8), "twice the same passage of text, " * 9]:
+        at, h = sy.anchors(t)
+        first = {}
+        for p, x in zip(at.tolist(), h.tolist(), strict=True):
+            first.setdefault(x, p)
+        got = {x: p - sy.K // 2 for x, p in sy.sketches([t])[0].tolist()}
+        assert got == {x: first[x] for x in sorted(first)[: sy.SKETCH]} or not first
+
+
+def test_chain_by_trying_all():
+    from itertools import combinations
+
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        x = rng.permutation(9)[: rng.integers(0, 9)].tolist()
+        assert sy.chain(x) == max(k for k in range(len(x) + 1) if any(list(c) == sorted(c) for c in combinations(x, k)))
+
+
+def test_matches_stand_in_order():
+    """The same passages in another order are the same anchors, of which only those of one passage can be matched."""
+    a, b = "".join(texts(6, 20)), "".join(texts(6, 21))
+    one, other = sy.sketches([a + b])[0], sy.sketches([b + a])[0]
+    shared = len(np.intersect1d(one["hash"], other["hash"])) / len(np.union1d(one["hash"], other["hash"]))
+    assert shared > 0.9 and 0.3 < sy.likeness(one, other) < 0.7 and sy.likeness(one, other) == sy.likeness(other, one)
