@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import cache
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,36 +19,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _temporary(master: str) -> str:
+    if not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: executors on other machines need a shared folder")
+    return "file://" + tempfile.mkdtemp(prefix="plystream-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder is chosen and set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="plystream-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    """The folder that all executors share, from ``spark.checkpoint.dir``. Only where that is unset and everything runs on
+    one machine, as in tests, a temporary folder is used; a cluster has to name its own."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _temporary(spark.sparkContext.master)).rstrip("/")
+
 
+#: Folders that this process has staged and not deleted, in the order of their making.
+_STAGED: list[str] = []
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+
+def staged(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back. It cuts lineage, so that a lost executor costs
-    one stage, and keeps Python stages from running once for each reader."""
-    path = f"{shared_dir(df.sparkSession)}/plystream-{name}-{uuid.uuid4().hex}"
+    one stage, and keeps Python stages from running once for each reader. A staged table that it replaces is deleted."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/plystream-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _STAGED.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    if instead_of is not None and instead_of in _PATHS:
+        _delete(spark, [_PATHS[instead_of]])
+    return out
 
 
-def parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Stages what ``make`` returns, and then deletes all that it has staged on its way."""
+    begin = len(_STAGED)
+    out = staged(make(), name, instead_of)
+    _delete(spark, [p for p in _STAGED[begin:] if p != _PATHS[out]])
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that was staged. What was made from it can't be read any more."""
+    _delete(spark, list(_STAGED))
 
 
-def with_text(df: DataFrame, text: str = "text") -> DataFrame:
-    """Null texts count as empty."""
-    return df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+        _STAGED.remove(p)
 
 
-def drop_quiet(df: DataFrame, *names: str) -> DataFrame:
-    """Drops the caller's columns whose names an operator is about to add."""
-    return df.drop(*[n for n in names if n in df.columns])
+def parallelism(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot: int = 1000) -> DataFrame:

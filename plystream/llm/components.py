@@ -25,15 +25,15 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     """Returns (node, component) for every node of ``edges``; component is the smallest node reachable.
 
     Loops and repeated edges do no harm; rows with a null end are left out; no edges give no rows. The minimum of a node's
-    neighbours is aggregated map-side before the join, and AQE splits the joins' skewed partitions, so a star of any
-    size is no single task. Each round is written to the shared folder.
+    neighbours is aggregated map-side before the join, and AQE, which has to be on, splits the joins' skewed partitions, so
+    a star of any size is no single task. Each round is written to the shared folder, and the one before deleted.
     """
     pairs = staged(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null"), "cc-edges")
     nodes = pairs.select("u").unionAll(pairs.select(F.col("v").alias("u"))).distinct()
     now = staged(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     seen = None
     for _ in range(max_rounds):
-        now = staged(_small_star(_large_star(now)), "cc")
+        now = staged(_small_star(_large_star(now)), "cc", instead_of=now)
         mark = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if mark == seen:
             break

@@ -1,7 +1,8 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a Parquet table bucketed and sorted by digest. A batch of documents is reduced to one row for each digest,
-deduplicated against the index by a sort-merge anti-join (no exchange on the index's side) and what is new is appended.
+The index is a Parquet table bucketed and sorted by digest. A batch of documents is reduced to one row for each digest and
+merge-joined with the index, which is scanned once and not exchanged: rows without a match, those of the anti-join,
+are new and are appended; the others learn which document the index keeps.
 Built-in functions only.
 """
 
@@ -36,7 +37,19 @@ class DigestIndex:
         )
 
     def table(self) -> DataFrame:
-        return self.spark.table(self.name)
+        """One row for each digest, also where two batches have added one at the same time. Buckets are aggregated where
+        they are."""
+        return self.spark.table(self.name).groupBy("digest").agg(F.min("keep_id").alias("keep_id"))
+
+    def compact(self) -> None:
+        """Rewrites the table with one sorted file for each bucket, in place of one for each batch."""
+        whole = staged(self.table(), "digest-index")
+        self._write(whole, overwrite=True)
+
+    def _write(self, rows: DataFrame, overwrite: bool = False) -> None:
+        rows = rows.select("digest", "keep_id").repartition(self.buckets, "digest").sortWithinPartitions("digest")
+        rows.write.insertInto(self.name, overwrite=overwrite)
+        self.spark.catalog.refreshTable(self.name)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -52,12 +65,11 @@ class DigestIndex:
         """
         rows = staged(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), digest(text).alias("digest")), "digests")
         groups = staged(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("group_size")), "digest-groups")
-        new = groups.join(self.table().hint("merge"), "digest", "left_anti")
-        (new.select("digest", F.col("first_id").alias("keep_id"))
-            .repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name))
-        self.spark.catalog.refreshTable(self.name)
-        decided = staged(groups.join(self.table().hint("merge"), "digest").select("digest", "keep_id", "group_size"), "digest-decided")
-
+        known = self.table().withColumn("known", F.lit(True)).hint("merge")
+        decided = groups.join(known, "digest", "left").withColumn("keep_id", F.when(F.col("known"), F.col("keep_id")).otherwise(F.col("first_id")))
+        decided = staged(decided.select("digest", "keep_id", "group_size", "known"), "digest-decided", instead_of=groups)
+        self._write(decided.where("known is null"))
+        decided = decided.drop("known")
         return join_groups(rows, decided, "digest", "group_size").select(
             "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
         )
@@ -73,8 +85,21 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that repeat an id and text, one."""
-    found = deduplicated(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
-    rows = docs.withColumns({"__id0": F.col(doc_id).cast("bigint"), "__digest0": digest(text)})
-    same = rows["__id0"].eqNullSafe(found["__id"]) & (rows["__digest0"] == found["__digest"])
-    return rows.join(found, same, "left_semi").dropDuplicates(["__id0", "__digest0"]).select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns; of rows that repeat an id and text, one.
+
+    Rows with an id of their own are looked up by it. Only rows without an id, and those that share one, are looked up by
+    their digest too, and only they go through an aggregation of repeats. Null texts count as empty, very long ones are
+    as any; an empty table gives no rows.
+    """
+    found = deduplicated(docs, doc_id, text)
+    ids = staged(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept")), "digest-ids")
+    own = ids.where("n = 1 and kept and doc_id is not null").select(F.col("doc_id").alias("__id"))
+    kept = docs.join(own, docs[doc_id].cast("bigint") == F.col("__id"), "left_semi")
+    odd = ids.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__id"))
+    if odd.isEmpty():
+        return kept
+    rows = docs.join(odd, docs[doc_id].cast("bigint").eqNullSafe(F.col("__id")), "left_semi")
+    rows = rows.withColumns({"__id0": F.col(doc_id).cast("bigint"), "__digest0": digest(text)})
+    stay = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
+    same = rows["__id0"].eqNullSafe(stay["__id"]) & (rows["__digest0"] == stay["__digest"])
+    return kept.unionByName(rows.join(stay, same, "left_semi").dropDuplicates(["__id0", "__digest0"]).select(*docs.columns))

@@ -28,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plystream.llm.common import staged
+from plystream.llm.common import parallelism, staged
 
+#: GROUPS: where there are documents for it, a group for nearly each of the 1,792 large lengths, as one plan for all documents
+#: costs little; of 50,000 exponential lengths that leaves 5 sequences above the bound of 11,978, 64 groups leave 44.
 CAPACITY, GROUPS, SMALL = 2048, 2048, 8
 #: Entries of a worker's memory of words, code points of a word that is remembered, and of a text that is cut at once.
 WORDS, WORD, BLOCK = 500_000, 64, 1 << 22
@@ -38,8 +40,8 @@ PLAIN, LINE = re.compile("[!-;=-~\\xa1-\\xff]+").fullmatch, 500
 #: The tokenizer's own words, lower-cased, among the first 256 code points.
 NARROW = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|"
                     r"[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+").findall
-#: Rows of one length that are ranked together.
-RANKED = 100_000
+#: Lots of rows that are ranked together, for each shuffle partition; a lot has rows of one length.
+LOTS = 4
 
 
 def cut(text: str) -> list[str]:
@@ -275,15 +277,17 @@ def pack(found: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Da
     """Adds sequence_id and offset to pieces (doc_id, piece, length and any other columns).
 
     Sequences hold at most ``capacity`` tokens and have no gaps. Ranks are by doc_id, piece and, for repeated rows, in
-    any order. No pieces give no rows. The driver gets one count for each length; the plan that is broadcast depends
-    on the number of lengths, not of documents.
+    any order. No pieces give no rows. The driver gets one count for each length and lot, 2048 and LOTS for each shuffle
+    partition; the plan that is broadcast depends on the number of lengths, not of documents.
     """
     spark = found.sparkSession
     found = found.drop("sequence_id", "offset")
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots, _ = plan(counts, capacity, groups)
-    # the rows of a length are ranked in lots of about RANKED, so that a common length is no single task
-    lots = F.array(*[F.lit(max(1, -(-counts.get(n, 0) // RANKED))) for n in range(capacity + 1)])
+    # the rows of a length are ranked in lots, so that a common length is no single task; lots are as many as lengths and
+    # LOTS for each partition together, whatever the number of rows
+    most = max(1, sum(counts.values()) // (LOTS * parallelism(spark)))
+    lots = F.array(*[F.lit(max(1, -(-counts.get(n, 0) // most))) for n in range(capacity + 1)])
     lot = F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(lots, (F.col("length") + 1).cast("int"))).cast("int")
     rows = found.withColumn("__lot", lot)
     sizes = sorted(map(tuple, rows.groupBy("length", "__lot").agg(F.count("*").alias("n")).collect()))

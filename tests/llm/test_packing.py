@@ -50,7 +50,7 @@ def test_query_against_brute_force(spark, monkeypatch):
     assert sorted((tuple(r[:5]) for r in got), key=str) == brute(rows)
     n = check(got)
     assert n <= best_fit_decreasing([r.length for r in got])
-    monkeypatch.setattr(pk, "RANKED", 2)  # many lots for a length
+    monkeypatch.setattr(pk, "LOTS", 64)  # many lots for a length
     assert check(pk.pack(pk.pieces(df, PATH)).collect()) == n
     assert pk.packed(spark.createDataFrame([], SCHEMA), PATH).collect() == []
 
