@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def clock_seconds(comment: Column, tag: str) -> Column:
     """Seconds of a [%tag H:MM:SS(.f)] note; null if there is none."""
-    part = lambda i: F.regexp_extract(comment, rf"\[%{tag}\s+(\d+):(\d+):(\d+(?:\.\d+)?)\]", i)
+    part = lambda i: F.regexp_extract(comment, rf"\[\s*%{tag}\s+(\d+):(\d+):(\d+(?:\.\d+)?)\s*\]", i)
     return F.when(part(1) != "", part(1).cast("double") * 3600 + part(2).cast("double") * 60 + part(3).cast("double"))
 
 
@@ -28,6 +28,28 @@ def rating_strict(c: Column) -> Column:
     return F.when(n > 0, n)
 
 
+def time_forfeit(termination: Column) -> Column:
+    return F.contains(F.coalesce(termination, F.lit("")), F.lit("Time forfeit"))
+
+
+def headers_eligible(result: Column, termination: Column, white: Column, black: Column, least: int | None = None, most: int | None = None,
+                     decisive: tuple[str, ...] | None = ("1-0", "0-1"), forfeits: bool = False) -> Column:
+    """A decisive result, no loss on time, the better rating at least ``least`` and the worse at most ``most``; without any
+    rating the bounds play no part."""
+    ok = F.lit(True) if decisive is None else F.coalesce(result, F.lit("")).isin(*decisive)
+    if not forfeits:
+        ok = ok & ~time_forfeit(termination)
+    best, worst = F.greatest(white, black), F.least(white, black)
+    if least is not None:
+        ok = ok & (best.isNull() | (best >= least))
+    return ok if most is None else ok & (worst.isNull() | (worst <= most))
+
+
+def game_hard_eligible(game: Column, plies: Column, least: int, white: Column, black: Column) -> Column:
+    """There is a game of ``least`` plies or more and both players have a rating above 0."""
+    return game.isNotNull() & (plies >= least) & F.coalesce((white > 0) & (black > 0), F.lit(False))
+
+
 def encode_move(src: Column, dst: Column, promotion: Column) -> Column:
     return (src * 64 + dst) * 5 + promotion
 
@@ -41,6 +63,33 @@ def first_uci(c: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(c), r"\b([a-h][1-8][a-h][1-8][qrbn]?)\b", 1), F.lit(""))
 
 
+#: A move in algebraic notation: fixed by the format.
+SAN = r"\b(O-O-O|O-O|[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?[+#]?)\b"
+
+
+def san_candidates(c: Column) -> Column:
+    """All that can be moves in algebraic notation, in order; null if there is no text."""
+    return F.regexp_extract_all(c, F.lit(SAN), 1)
+
+
+def move_prompt(fen: Column, instruction: str) -> Column:
+    """A prompt that asks for the best move of a position: the instruction, the position, and the line to be completed."""
+    return F.concat(F.lit(instruction + "\n\nFEN: "), fen, F.lit("\nBest move (UCI):"))
+
+
+def mating_material(fen: Column, least: int, ahead: int) -> Column:
+    """The side to move has ``least`` points of material, and ``ahead`` more than the other."""
+    mine, other = (F.when(white_to_move(fen), material(fen, a)).otherwise(material(fen, not a)) for a in (True, False))
+    return (mine >= least) & (mine - other >= ahead)
+
+
+def tablebase_no_mate(fen: Column, wdl: Column) -> Column:
+    """A tablebase says that the side to move does not win. It says nothing of positions with castling rights, or without a
+    verdict."""
+    rights = F.coalesce(F.get(F.split(fen, " "), F.lit(2)), F.lit("-"))
+    return F.when(~rights.rlike("[KQkq]"), F.coalesce(wdl <= 0, F.lit(False))).otherwise(False)
+
+
 def mate_theme(themes: Column) -> Column:
     """n of the first mateInN theme, 0 if none."""
     return F.coalesce(F.nullif(F.regexp_extract(themes, r"(?:^|\s)mateIn(\d+)(?=\s|$)", 1), F.lit("")).cast("bigint"), F.lit(0).cast("bigint"))

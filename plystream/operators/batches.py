@@ -28,11 +28,13 @@ def status_graphs(edges: DataFrame, case: str, order: str, kind: str, delta: str
     return g.select(case, F.transform("e", lambda x: x[kind]).alias("edge_types"), F.transform("e", lambda x: x[delta]).alias("edge_times"), F.size("e").cast("bigint").alias("num_edges"))
 
 
-def prefix_graphs(df: DataFrame, case: str, order: str, label: str, delta: str, k: int) -> DataFrame:
-    """A graph for each window of k events, with the k - 1 differences between them."""
+def prefix_graphs(df: DataFrame, case: str, order: str, label: str, delta: str, k: int, aligned: bool = True) -> DataFrame:
+    """A graph for each window of k events, with the k - 1 differences between them, or, if not ``aligned``, with the first
+    k - 1 differences of the case in every window."""
     w = Window.partitionBy(case).orderBy(order)
     g = df.withColumn("event_ids", F.collect_list(label).over(w.rowsBetween(0, k - 1)))
-    g = g.withColumn("edge_times", F.collect_list(F.coalesce(delta, F.lit(0.0))).over(w.rowsBetween(0, k - 2)))
+    times = F.collect_list(F.coalesce(delta, F.lit(0.0)))
+    g = g.withColumn("edge_times", times.over(w.rowsBetween(0, k - 2)) if aligned else F.slice(times.over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), 1, k - 1))
     return g.where(F.size("event_ids") == k)
 
 
@@ -80,3 +82,31 @@ def pack_legal(scores: Column, legal: Column, target: Column) -> tuple[Column, C
 def byte(c: Column) -> Column:
     """0 to 255 in a small integer; anything else is an error."""
     return F.when(c.between(0, 255), c.cast("smallint")).when(c.isNotNull(), F.raise_error(F.concat(F.lit("not a byte: "), c.cast("string"))).cast("smallint"))
+
+
+def with_end(features: Column) -> Column:
+    """An array of feature arrays with one more for the end, all 0."""
+    width = F.coalesce(F.size(F.get(features, F.lit(0))), F.lit(0))
+    return F.when(F.size(features) > 0, F.concat(features, F.array(F.transform(F.sequence(F.lit(1), width), lambda _: F.lit(0.0))))).otherwise(features)
+
+
+def binary(c: Column) -> Column:
+    """An array of 0 and 1 as booleans; anything else is an error."""
+    return F.transform(c, lambda x: F.when(x.isin(0, 1), x == 1).when(x.isNotNull(), F.raise_error(F.concat(F.lit("not binary: "), x.cast("string"))).cast("boolean")))
+
+
+def time_of_types(edges: Column, tolerance: float = 1e-5) -> Column:
+    """A map from type to time of an array of (type, time): times of a type have to be equal, or else it is an error."""
+    kinds = F.array_sort(F.array_distinct(F.transform(edges, lambda e: e["type"])))
+
+    def one(kind: Column) -> Column:
+        times = F.transform(F.filter(edges, lambda e: e["type"] == kind), lambda e: e["time"])
+        same = F.array_max(times) - F.array_min(times) <= tolerance
+        return F.when(same, F.get(times, F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("times differ in type "), kind.cast("string"))).cast("double"))
+
+    return F.map_from_entries(F.transform(kinds, lambda k: F.struct(k.alias("key"), one(k).alias("value"))))
+
+
+def times_back(edges: Column, times: Column) -> Column:
+    """The times of edges from the map of their types."""
+    return F.transform(edges, lambda e: F.element_at(times, e["type"]))

@@ -27,6 +27,16 @@ def capped(df: DataFrame, case: str, order: str, most: int) -> DataFrame:
     return df.withColumn("__r", r).where(F.col("__r") <= most).drop("__r")
 
 
+def flat_cap(df: DataFrame, order: str, most: int) -> DataFrame:
+    """The first ``most`` rows of all, kept by each task before they meet."""
+    return df.orderBy(order).limit(most)
+
+
+def not_forced(df: DataFrame, legal: str) -> DataFrame:
+    """Positions with a choice: rows whose number of legal moves is not 1."""
+    return df.where(F.col(legal) != 1)
+
+
 def not_alone(df: DataFrame, *keys: str) -> DataFrame:
     """Rows of classes with more than one row."""
     return df.join(df.groupBy(*keys).count().where("count > 1").drop("count"), list(keys), "left_semi")

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-import random
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+
+from plystream.operators import split
 
 
 def bucket(rating: Column, size: int = 100) -> Column:
@@ -25,12 +24,35 @@ def stats(df: DataFrame, clock: str, rating: str, mate: str, most: float, needed
     return g.where((F.col("level") == 3) | (F.col("n") >= needed))
 
 
+def write_stats(stats_: DataFrame, path: str) -> None:
+    """The statistics, a few hundred rows, as one file of JSON lines."""
+    stats_.coalesce(1).write.mode("overwrite").json(path)
+
+
 def nearest(df: DataFrame, key: str, table: DataFrame, at: str, out: str) -> DataFrame:
-    """The row of a small table whose ``at`` is nearest to ``key``; ties go to the smaller. The table is gathered into one
-    sorted array, a row for each bucket, so that rows are looked up where they are."""
-    all_ = table.agg(F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.col(out).alias("v")))).alias("__t"))
-    best = F.array_min(F.transform("__t", lambda x: F.struct(F.abs(x["at"] - F.col(key)).alias("d"), x["at"].alias("at"), x["v"].alias("v"))))
-    return df.crossJoin(F.broadcast(all_)).withColumn("__b", best).withColumn(f"{out}_at", F.col("__b.at")).withColumn(out, F.col("__b.v")).drop("__t", "__b")
+    """Adds ``out`` and its place ``out``_at from the row of ``table`` whose ``at``, unique, is nearest to ``key``; ties go to
+    the smaller, an empty table or a null key gives nulls.
+
+    The distinct keys and the table are laid out in one order, cut into ranges. In its range each key sees the rows before
+    and after it; what lies beyond comes from the table of ranges, which has a few thousand rows. Found rows are joined
+    back by equality."""
+    want = df.select(F.col(key).cast("double").alias("k")).where("k is not null").distinct()
+    row = F.struct(F.col(at).alias("at"), F.col(out).alias("v"))
+    fit = table.where(F.col(at).isNotNull()).select(F.col(at).cast("double").alias("k"), row.alias("r"))
+    none = F.lit(None).cast(fit.schema["r"].dataType)
+    both = want.select("k", none.alias("r"), F.lit(True).alias("asked")).unionByName(fit.withColumn("asked", F.lit(False)))
+    both = both.withColumn("cell", split.ranges(both, "k"))
+    cells = both.groupBy("cell").agg(F.min_by("r", F.when(~F.col("asked"), F.col("k"))).alias("first"), F.max_by("r", F.when(~F.col("asked"), F.col("k"))).alias("last"))
+    along = Window.orderBy("cell")
+    cells = cells.select("cell", F.last("last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("below"),
+                         F.first("first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("above"))
+    w = Window.partitionBy("cell").orderBy("k")
+    both = both.withColumn("lo", F.last("r", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    both = both.withColumn("hi", F.first("r", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    near = both.where("asked").join(F.broadcast(cells), "cell").select("k", F.coalesce("lo", "below").alias("lo"), F.coalesce("hi", "above").alias("hi"))
+    further = F.col("k") - F.col("lo.at") > F.col("hi.at") - F.col("k")
+    near = near.select(F.col("k").alias("__k"), F.when(F.col("lo").isNull() | further, F.col("hi")).otherwise(F.col("lo")).alias("__b"))
+    return df.join(near, F.col(key).cast("double") == F.col("__k"), "left").withColumn(f"{out}_at", F.col("__b.at")).withColumn(out, F.col("__b.v")).drop("__k", "__b")
 
 
 def norm(c: Column) -> Column:
@@ -82,13 +104,18 @@ def with_fallback(df: DataFrame, rating: str, mate: str, stats_: DataFrame, far:
     return d.join(found, F.col("__b").eqNullSafe(F.col("__fb")) & F.col("__m").eqNullSafe(F.col("__fm")), "left").drop("__b", "__m", "__fb", "__fm")
 
 
-@F.pandas_udf(DoubleType())
-def draw(key: pd.Series, mu: pd.Series, sigma: pd.Series) -> pd.Series:
-    """A lognormal clock that depends on nothing but its key; sigma is at least 0.3, the clock within 0.5 and 300."""
-    return pd.Series([min(max(math.exp(random.Random(k).gauss(m, max(s, 0.3))), 0.5), 300.0) for k, m, s in zip(key, mu, sigma, strict=True)])
+def gauss(key: Column) -> Column:
+    """A standard normal number that depends on nothing but its key, by Box and Muller from two 52-bit parts of its md5."""
+    h = F.md5(key.cast("string").cast("binary"))
+    u, v = ((F.conv(F.substr(h, F.lit(at), F.lit(13)), 16, 10).cast("double") + 0.5) / 2.0**52 for at in (1, 14))
+    return F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
+
+
+def draw(key: Column, mu: Column, sigma: Column) -> Column:
+    """A lognormal clock; sigma is at least 0.3, the clock within 0.5 and 300."""
+    return F.least(F.greatest(F.exp(mu + F.greatest(sigma, F.lit(0.3)) * gauss(key)), F.lit(0.5)), F.lit(300.0))
 
 
-@F.pandas_udf(DoubleType())
-def simulated(key: pd.Series, base: pd.Series) -> pd.Series:
-    """The base time with noise that depends on nothing but its key, at least 0.5."""
-    return pd.Series([max(0.5, b * max(0.3, random.Random(k).gauss(1.0, 0.15))) for k, b in zip(key, base, strict=True)])
+def simulated(key: Column, base: Column) -> Column:
+    """The base time with noise of 15 %, at least three tenths of it and 0.5."""
+    return F.greatest(F.lit(0.5), base * F.greatest(F.lit(0.3), 1 + 0.15 * gauss(key)))

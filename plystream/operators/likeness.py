@@ -34,18 +34,21 @@ def bleu(df: DataFrame, key: str, pred: str, true: str, most: int = 4) -> DataFr
 
 def _distance(a, b) -> int:
     """Insertions, deletions, changes and swaps of neighbours; text may be edited between the swapped ones."""
-    last, far = {}, len(a) + len(b)
-    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    last: dict = {}
+    rows = [[*range(len(b) + 1)]]
     for i, x in enumerate(a, 1):
-        swap = 0
+        before, row, swap = rows[-1], [i], 0
         for j, y in enumerate(b, 1):
+            n = min(before[j - 1] + (x != y), before[j] + 1, row[j - 1] + 1)
             k = last.get(y, 0)
-            moved = d[k - 1, swap - 1] + (i - k - 1) + 1 + (j - swap - 1) if k and swap else far
-            d[i, j] = min(d[i - 1, j - 1] + (x != y), d[i - 1, j] + 1, d[i, j - 1] + 1, moved)
+            if k and swap:
+                n = min(n, rows[k - 1][swap - 1] + (i - k) + (j - swap) - 1)
+            row.append(n)
             if x == y:
                 swap = j
+        rows.append(row)
         last[x] = i
-    return d[len(a), len(b)]
+    return rows[-1][-1]
 
 
 @F.pandas_udf(LongType())
@@ -56,8 +59,12 @@ def damerau(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def similarity(df: DataFrame, pred: str, true: str, size=F.char_length) -> DataFrame:
     """One row: the mean of 1 - distance / longer length, and the share of equal pairs. Pairs with both sides empty or null
-    are left out; one empty side gives 0."""
+    are left out; one empty side gives 0. Only distinct pairs that differ are sent to Python."""
     p, t = (F.coalesce(size(F.col(c)), F.lit(0)) for c in (pred, true))
-    like = F.when((p > 0) & (t > 0), 1 - damerau(F.col(pred), F.col(true)) / F.greatest(p, t)).otherwise(0.0)
-    d = df.where((p > 0) | (t > 0)).select(like.alias("s"), F.coalesce(F.col(pred) == F.col(true), F.lit(False)).cast("int").alias("e"))
-    return d.agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("similarity"), F.coalesce(F.avg("e"), F.lit(0.0)).alias("exact"))
+    pairs = df.where((p > 0) | (t > 0)).groupBy(F.col(pred).alias("p"), F.col(true).alias("t")).agg(F.count("*").alias("n"))
+    equal = F.coalesce(F.col("p") == F.col("t"), F.lit(False)).cast("int")
+    p, t = (F.coalesce(size(F.col(c)), F.lit(0)) for c in "pt")
+    uneven = pairs.where((equal == 0) & (p > 0) & (t > 0)).select("n", (1 - damerau(F.col("p"), F.col("t")) / F.greatest(p, t)).alias("s"), F.lit(0).alias("e"))
+    easy = pairs.where((equal == 1) | (p == 0) | (t == 0)).select("n", equal.cast("double").alias("s"), equal.alias("e"))
+    mean = lambda c: F.coalesce(F.sum(F.col(c) * F.col("n")) / F.sum("n"), F.lit(0.0))
+    return uneven.unionByName(easy).agg(mean("s").alias("similarity"), mean("e").alias("exact"))

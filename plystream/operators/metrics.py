@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from math import pi, sqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
 def accuracy(hit: Column) -> Column:
@@ -18,8 +19,13 @@ def by_depth(df: DataFrame, depth: str, hit: str, deepest: int) -> DataFrame:
     return every.join(got, "depth", "left").select("depth", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "accuracy")
 
 
-def confusion(df: DataFrame, true: str, pred: str) -> DataFrame:
-    """Counts in long form, with each row's share."""
+def confusion(df: DataFrame, true: str, pred: str, classes: int | None = None) -> DataFrame:
+    """Counts in long form, with each row's share. With ``classes``, rows with a class of that number or more go, and negative
+    ones count from the end, as indexes of an array do."""
+    if classes is not None:
+        df = df.where((F.col(true) < classes) & (F.col(pred) < classes))
+        at = lambda c: F.when(F.col(c) < 0, F.col(c) + classes).otherwise(F.col(c))
+        df = df.withColumns({true: at(true), pred: at(pred)})
     c = df.groupBy(true, pred).agg(F.count("*").alias("n"))
     return c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(true)))
 
@@ -40,12 +46,17 @@ def top_k(scores: str, k: int) -> Column:
     return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda x: x["i"])
 
 
-def class_weights(df: DataFrame, label: str, classes: int, smooth: float = 1.0, most: float = 50.0) -> DataFrame:
-    """1 / sqrt(count + smooth), at most ``most``, divided by the count-weighted mean; classes without rows count too."""
+def class_weights(df: DataFrame, label: str, classes: int, smooth: float = 1.0, most: float = 50.0, scheme: str = "inverse_sqrt_freq") -> DataFrame:
+    """1 / sqrt(count + smooth), or 1 / (count + smooth) with ``inverse_freq``, at most ``most``, divided by the count-weighted
+    mean; classes without rows count too. Labels out of range are left out; without any other the job fails."""
+    if scheme not in ("inverse_sqrt_freq", "inverse_freq"):
+        raise ValueError(f"unknown scheme: {scheme}")
     got = df.where(F.col(label).between(0, classes - 1)).groupBy(F.col(label).cast("bigint").alias("class")).agg(F.count("*").alias("n"))
     w = df.sparkSession.range(classes).withColumnRenamed("id", "class").join(got, "class", "left").fillna(0, ["n"])
-    w = w.withColumn("raw", F.least(1 / F.sqrt(F.col("n") + smooth), F.lit(most)))
-    mean = w.agg((F.sum(F.col("raw") * F.col("n")) / F.sum("n")).alias("__mean"))
+    size = F.col("n") + smooth
+    w = w.withColumn("raw", F.least(1 / (F.sqrt(size) if scheme == "inverse_sqrt_freq" else size), F.lit(most)))
+    total = F.sum("n")
+    mean = w.agg(F.when(total > 0, F.sum(F.col("raw") * F.col("n")) / total).otherwise(F.raise_error(F.lit("no valid label")).cast("double")).alias("__mean"))
     return w.crossJoin(F.broadcast(mean)).select("class", "n", (F.col("raw") / F.col("__mean")).alias("weight"))
 
 
@@ -56,31 +67,72 @@ def contingency(df: DataFrame, stratum: str, a: str, b: str) -> DataFrame:
 
 
 def mcnemar(counts: DataFrame) -> DataFrame:
-    """The statistic of the discordant pairs: exact binomial p below 25 of them, else chi-squared with Yates' correction and
-    no p (see ``chi2_tail``); neither if there are none."""
+    """The statistic and p of the discordant pairs: exact binomial below 25 of them, else chi-squared with Yates' correction;
+    neither if there are none."""
     d, k = F.col("n01") + F.col("n10"), F.least("n01", "n10")
     # the sum over i up to k of C(d, i) / 2^d, term by term
     tail = F.aggregate(F.sequence(F.lit(0).cast("bigint"), k), F.struct(F.lit(0.0).alias("sum"), F.pow(F.lit(2.0), -d).alias("term")),
                        lambda acc, i: F.struct((acc["sum"] + acc["term"]).alias("sum"), (acc["term"] * (d - i) / (i + 1)).alias("term")), lambda acc: acc["sum"])
-    return counts.withColumn("discordant", d).withColumn("p_exact", F.when((d > 0) & (d < 25), F.least(F.lit(1.0), 2 * tail))).withColumn(
-        "chi2", F.when(d >= 25, F.pow(F.abs(F.col("n01") - F.col("n10")) - 1, F.lit(2.0)) / d))
+    exact = (d > 0) & (d < 25)
+    out = counts.withColumn("discordant", d).withColumn("chi2", F.when(d >= 25, F.pow(F.abs(F.col("n01") - F.col("n10")) - 1, F.lit(2.0)) / d))
+    out = out.withColumn("method", F.when(d == 0, "undefined").when(exact, "exact").otherwise("chi2"))
+    return out.withColumn("p", F.when(exact, F.least(F.lit(1.0), 2 * tail)).when(d >= 25, chi2_tail(F.col("chi2"))))
+
+
+def chi2_tail(x: Column, terms: int = 200) -> Column:
+    """The upper tail of chi-squared with one degree of freedom, 1 - erf(sqrt(x / 2)): the series of erf whose terms are all
+    positive, up to where erf is 1 in double precision."""
+    z = F.sqrt(F.least(x, F.lit(80.0)) / 2)
+    first = F.struct(z.alias("sum"), z.alias("term"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), first,
+                         lambda acc, n: F.struct((acc["sum"] + acc["term"] * 2 * z * z / (2 * n + 1)).alias("sum"), (acc["term"] * 2 * z * z / (2 * n + 1)).alias("term")), lambda acc: acc["sum"])
+    return F.greatest(1 - 2 / sqrt(pi) * F.exp(-z * z) * series, F.lit(0.0))
+
+
+def t_tails(t: Column, df: Column) -> Column:
+    """Both tails of Student's t with a whole number of degrees of freedom, by the finite sums in the cosine of
+    atan(t / sqrt(df)) for even and odd numbers."""
+    angle = F.atan(F.abs(t) / F.sqrt(df.cast("double")))
+    odd, sin, cos = df % 2 == 1, F.sin(angle), F.cos(angle)
+    steps = F.when(df > 3, F.sequence(F.lit(1).cast("bigint"), F.floor((df - 2) / 2))).otherwise(F.array().cast("array<bigint>"))
+    one = F.when(odd, cos).otherwise(F.lit(1.0))
+    ratio = lambda k: F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+    total = F.aggregate(steps, F.struct(one.alias("sum"), one.alias("term")),
+                        lambda acc, k: F.struct((acc["sum"] + acc["term"] * cos * cos * ratio(k)).alias("sum"), (acc["term"] * cos * cos * ratio(k)).alias("term")), lambda acc: acc["sum"])
+    inside = F.when(odd, 2 / pi * (angle + F.when(df > 1, sin * total).otherwise(0.0))).otherwise(sin * total)
+    return F.greatest(1 - inside, F.lit(0.0))
+
+
+def pairwise_t(df: DataFrame, group: str, value: str, alpha: float = 0.05) -> DataFrame:
+    """Student's t (pooled), its p, Cohen's d and stars (one for p < alpha / 2, two for p < alpha / 4) of each pair of groups
+    of two rows or more, from one row of moments for each group."""
+    m = df.groupBy(F.col(group).alias("g")).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var")).where("n > 1")
+    a, b = (m.select(*[F.col(c).alias(f"{c}_{s}") for c in m.columns]) for s in "ab")
+    pooled = F.sqrt(((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b")) / (F.col("n_a") + F.col("n_b") - 2))
+    d = (F.col("mean_a") - F.col("mean_b")) / pooled
+    out = a.join(b, F.col("g_a") < F.col("g_b")).select("g_a", "g_b", "n_a", "n_b", d.alias("cohens_d"), (d / F.sqrt(1 / F.col("n_a") + 1 / F.col("n_b"))).alias("t"))
+    out = out.withColumn("p", t_tails(F.col("t"), F.col("n_a") + F.col("n_b") - 2))
+    return out.withColumn("stars", F.when(F.col("p") < alpha / 4, "**").when(F.col("p") < alpha / 2, "*").otherwise(""))
 
 
-@F.pandas_udf(DoubleType())
-def chi2_tail(x):
-    """The upper tail of chi-squared with one degree of freedom."""
-    from math import erfc, sqrt
+def most_significant(pairs: DataFrame, most: int = 10) -> DataFrame:
+    """The starred pairs: more stars first, then smaller p and larger d, as they are written: p with three decimals of its
+    exponent form, d with two decimals."""
+    written = pairs.where("stars <> ''").withColumn("__p", F.format_string("%.3e", "p").cast("double")).withColumn("__d", F.round("cohens_d", 2))
+    return written.orderBy(F.desc(F.length("stars")), "__p", F.desc("__d"), "g_a", "g_b").limit(most).drop("__p", "__d")
 
-    return x.map(lambda v: None if v is None or v != v else erfc(sqrt(v / 2)))
 
+def correlations(df: DataFrame, kind: str, a: str, b: str, top: int = 3, least: int = 10) -> DataFrame:
+    """Pearson's r of all rows, with a null kind, and of the ``top`` commonest kinds that have more than ``least`` rows."""
+    g = df.groupBy(kind).agg(F.count("*").alias("n"), F.corr(a, b).alias("r")).orderBy(F.desc("n"), kind).limit(top).where(F.col("n") > least)
+    whole = df.agg(F.count("*").alias("n"), F.corr(a, b).alias("r")).select(F.lit(None).cast(df.schema[kind].dataType).alias(kind), "n", "r")
+    return whole.unionByName(g)
 
-def pairwise_t(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Student's t (pooled) and Cohen's d of each pair of groups, from one row of moments for each group."""
-    m = df.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"))
-    a, b = (m.select(*[F.col(c).alias(f"{c}_{s}") for c in m.columns]) for s in "ab")
-    pooled = F.sqrt(((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b")) / (F.col("n_a") + F.col("n_b") - 2))
-    d = (F.col("mean_a") - F.col("mean_b")) / pooled
-    return a.join(b, F.col("g_a") < F.col("g_b")).select("g_a", "g_b", d.alias("cohens_d"), (d / F.sqrt(1 / F.col("n_a") + 1 / F.col("n_b"))).alias("t"))
+
+def legal_top_k(scores: str, legal: str, target: str, k: int) -> Column:
+    """Whether the target is among the k legal ids with the largest scores; ties go to the lower id."""
+    pairs = F.transform(F.array_sort(F.col(legal)), lambda i: F.struct((-F.get(F.col(scores), i.cast("int"))).alias("s"), i.alias("i")))
+    return F.array_contains(F.transform(F.slice(F.array_sort(pairs), 1, k), lambda x: x["i"]), F.col(target))
 
 
 def with_alternatives(df: DataFrame, true: str, pred: str, legal: str, mate: str, after: str) -> DataFrame:

@@ -10,12 +10,13 @@ def shuffled(seed: str, key: str) -> Column:
     return F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string")).cast("binary"))
 
 
-def ranked(ids: DataFrame, key: str, strata: list[str], seed: str) -> DataFrame:
-    """Adds ``__r``, the rank from 1 in random order within the stratum, and ``__n``, the stratum's size.
+def positions(df: DataFrame, strata: list[str], cell: Column, order: list[str]) -> DataFrame:
+    """Adds ``__r``, the place from 1 of each row in its stratum, and ``__n``, the stratum's size.
 
-    The order is cut into 4096 ranges of the hash. Each range is ranked by itself and the small table of ranges gives each
-    its offset, so that a stratum with all of the rows is still many tasks."""
-    d = ids.withColumn("__h", shuffled(seed, key)).withColumn("__p", F.substring("__h", 1, 3))
+    ``cell`` cuts the order into ranges: of two rows in different cells, the one in the smaller cell comes first. Each
+    cell is ranked by itself and the small table of cells gives each its offset, so that a stratum with all of the rows
+    is still many tasks."""
+    d = df.withColumn("__p", cell)
     whole = Window.partitionBy(*strata)
     parts = d.groupBy(*strata, "__p").agg(F.count("*").alias("__c"))
     parts = parts.withColumn("__n", F.sum("__c").over(whole)).withColumn("__before", F.sum("__c").over(whole.orderBy("__p")) - F.col("__c")).drop("__c")
@@ -23,9 +24,23 @@ def ranked(ids: DataFrame, key: str, strata: list[str], seed: str) -> DataFrame:
     same = F.lit(True)
     for i, c in enumerate([*strata, "__p"]):
         same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
-    d = d.withColumn("__r", F.row_number().over(Window.partitionBy(*strata, "__p").orderBy("__h", key)))
+    d = d.withColumn("__r", F.row_number().over(Window.partitionBy(*strata, "__p").orderBy(*order)))
     d = d.join(parts, same).withColumn("__r", F.col("__r") + F.col("__before"))
-    return d.drop("__h", "__p", "__before", *[f"__k{i}" for i in range(len(strata) + 1)])
+    return d.drop("__p", "__before", *[f"__k{i}" for i in range(len(strata) + 1)])
+
+
+def ranked(ids: DataFrame, key: str, strata: list[str], seed: str) -> DataFrame:
+    """Places in random order within the stratum, in 4096 ranges of the hash."""
+    d = ids.withColumn("__h", shuffled(seed, key))
+    return positions(d, strata, F.substring("__h", 1, 3), ["__h", key]).drop("__h")
+
+
+def ranges(df: DataFrame, order: str, cells: int = 4096) -> Column:
+    """The number, from 0, of the range of equal width in which a number lies; its bounds are the only thing that the
+    driver sees. Nulls come first."""
+    lo, hi = df.agg(F.min(order).cast("double"), F.max(order).cast("double")).first()
+    width = ((hi or 0.0) - (lo or 0.0)) / cells or 1.0
+    return F.coalesce(F.floor((F.col(order).cast("double") - F.lit(lo or 0.0)) / F.lit(width)), F.lit(-1).cast("bigint"))
 
 
 def stratified(ids: DataFrame, key: str, strata: list[str], train: float, val: float, seed: str = "0") -> DataFrame:
@@ -44,8 +59,8 @@ def by_length(ids: DataFrame, key: str, length: str, bins: int, test: float, see
 
 
 def shards(df: DataFrame, part: list[str], order: str, size: int) -> DataFrame:
-    """Shards of ``size`` rows in order within each part."""
-    return df.withColumn("shard_idx", F.floor((F.row_number().over(Window.partitionBy(*part).orderBy(order)) - 1) / size))
+    """Shards of ``size`` rows in the order of a number or time within each part."""
+    return positions(df, part, ranges(df, order), [order]).withColumn("shard_idx", F.floor((F.col("__r") - 1) / size)).drop("__r", "__n")
 
 
 def manifest(sharded: DataFrame, part: list[str], size: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plystream.operators import batches, encode, guards, sequence
+from plystream.operators import batches, encode, guards, sequence, transformer
 from plystream.plans.event_log import DELTA, R
 from plystream.plans.registry import query
 from plystream.plans.sources import events, literals, table
@@ -44,6 +44,30 @@ def event_features(spark, sf):
     return f.select("event_id", *[F.col("f")[i].alias(f"f{i}") for i in range(3)])
 
 
+@query("event_features_end", """select user_id, count(*) + 1 as n, round(sum(value), 6) as total, cast(0 as double) as last from events group by 1""")
+def event_features_end(spark, sf):
+    """Feature rows of each case with an end row, all 0."""
+    g = events(spark, sf).groupBy("user_id").agg(batches.in_order("event_id", "value").alias("r"))
+    f = g.select("user_id", batches.with_end(F.transform("r", lambda x: F.array(F.lit(1.0), x["value"]))).alias("f"))
+    flat = F.flatten(F.transform("f", lambda x: F.slice(x, 2, 1)))
+    return f.select("user_id", F.size("f").cast("bigint").alias("n"), total(flat).alias("total"), F.element_at(F.element_at("f", -1), 1).alias("last"))
+
+
+@query("compress_types", "select l_orderkey, count(distinct l_linenumber % 3) as types, count(*) as edges, round(sum(l_linenumber % 3 * 2.5::double), 6) as total from lineitem group by 1")
+def compress_types(spark, sf):
+    """Times that depend on an edge's type alone are kept once for each type, and come back whole."""
+    e = F.struct((F.col("l_linenumber") % 3).alias("type"), (F.col("l_linenumber") % 3 * 2.5).alias("time"))
+    g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(e).alias("e")).withColumn("m", batches.time_of_types(F.col("e")))
+    return g.select("l_orderkey", F.size("m").cast("bigint").alias("types"), F.size("e").cast("bigint").alias("edges"), total(batches.times_back(F.col("e"), F.col("m"))).alias("total"))
+
+
+@query("total_join_split", """select o_orderkey, case when o_custkey % 10 < 8 then 'train' else 'test' end as split from orders""")
+def total_join_split(spark, sf):
+    """Every order has to find its customer's split."""
+    split = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.when(F.col("c_custkey") % 10 < 8, "train").otherwise("test").alias("split"))
+    return guards.total_join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), split, "o_custkey", "split").select("o_orderkey", "split")
+
+
 @query("case_features", """with m as (select min(c_acctbal) as lo, max(c_acctbal) as hi from customer)
 select c_custkey, (c_mktsegment = 'BUILDING')::double as f0, round((c_acctbal - lo) / (hi - lo), 8) as f1 from customer cross join m""")
 def case_features(spark, sf):
@@ -153,3 +177,26 @@ def spool_metadata(spark, sf):
 @query("metrics_align_header", "select event_id::varchar as event_id, coalesce(event_type, '') as event_type, '' as loss from events")
 def metrics_align_header(spark, sf):
     return guards.aligned(events(spark, sf), ["event_id", "event_type", "loss"])
+
+
+#: Days of the log and a case's first letter make statuses; times are those of the log.
+MODES_SQL = """with v as (select event_type, row_number() over (order by event_type) - 1 as id from (select distinct event_type from events union select 'EOS')),
+e as (select user_id, event_id, id, event_type, value, ts, lead(event_type) over w as nxt, lag(event_type) over w as prev, epoch_us(ts) as us from events join v using (event_type) window w as (partition by user_id order by event_id)),
+tr as (select tr, row_number() over (order by tr) - 1 as id from (select distinct event_type || '→' || nxt as tr from e where nxt is not null union select 'UNK')),
+d as (select user_id, event_id, us, lead(us) over (partition by user_id order by us, event_id) - us as gap, max(us) over (partition by user_id) as fin, min(us) over (partition by user_id) as beg, row_number() over (partition by user_id order by us desc, event_id desc) as back from e),
+m as (select min(gap) / 1e6 as lo, max(gap) / 1e6 as hi from d), b as (select min(value) as lo, max(value) as hi from events),
+t as (select user_id, sum((gap / 1e6 - lo) / (hi - lo)) as et, sum(case when back > 1 then (fin // 1000000 - us // 1000000) / (fin // 1000000 - beg // 1000000 + 1e-8) end) as nt from d cross join m group by 1),
+f as (select user_id, string_agg(e.id, ',' order by event_id) as event_ids, string_agg(coalesce(n.id, (select id from v where event_type = 'EOS')), ',' order by event_id) as labels, string_agg(tr.id, ',' order by event_id) as edge_types,
+sum((value - lo) / (hi - lo)) as fsum from e cross join b left join v n on n.event_type = nxt left join tr on tr.tr = e.event_type || '→' || nxt group by 1)
+select user_id, event_ids, labels, edge_types, round(et, 6) as edge_time, round(nt, 6) as node_time, round(fsum, 6) as features from f join t using (user_id)"""
+
+
+@query("transform_modes", MODES_SQL)
+def transform_modes(spark, sf):
+    """A fitted transformer over the log, in the mode that has everything."""
+    e = events(spark, sf)
+    config = transformer.resolve(case="user_id", event="event_type", time="ts", order="event_id", status="event_type", numbers=("value",), mode="time_decay_status")
+    g = transformer.LogTransformer(config).fit_transform(e)
+    added = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return g.select("user_id", *[F.array_join(n, ",").alias(n) for n in ("event_ids", "labels", "edge_types")], R(added(F.col("edge_times")), 6).alias("edge_time"),
+                    R(added(F.col("node_times")), 6).alias("node_time"), R(added(F.transform("features", lambda x: x[0])), 6).alias("features"))

@@ -46,10 +46,8 @@ def shard_manifest(spark, sf):
 
 @query("shard_epoch_order", "select doc_id, row_number() over (partition by lang order by md5('7:' || cast(doc_id as varchar)), doc_id) as position from documents")
 def shard_epoch_order(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("lang").orderBy(split.shuffled("7", "doc_id"), "doc_id")
-    return table(spark, sf, "documents").select("doc_id", F.row_number().over(w).cast("bigint").alias("position"))
+    d = split.ranked(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", ["lang"], "7")
+    return d.select("doc_id", F.col("__r").cast("bigint").alias("position"))
 
 
 @query("shard_worker_slice", "select doc_id, cast(((row_number() over (partition by lang order by doc_id) - 1) // 100) % 4 as bigint) as worker from documents")
@@ -84,14 +82,13 @@ def avg_time_by_bucket(spark, sf):
     return e.groupBy("bucket").agg(R(F.avg("value"), 6).alias("seconds"))
 
 
-@query("nearest_bucket", """with b as (select user_id * 10 as place, round(avg(value), 6) as seconds from events where user_id % 7 = 0 group by 1),
-c as (select event_id, event_id % 1500 as k from events),
-r as (select event_id, place as seconds_at, seconds, row_number() over (partition by event_id order by abs(place - k), place) as n from c cross join b)
-select event_id, seconds_at, seconds from r where n = 1""")
+@query("nearest_bucket", """with b as (select user_id * 10 as place, round(avg(value), 6) as seconds from events group by 1),
+r as (select k, place, seconds, row_number() over (partition by k order by abs(place - k), place) as n from (select distinct event_id % 15000 as k from events) cross join b)
+select event_id, place as seconds_at, seconds from events join r on k = event_id % 15000 where n = 1""")
 def nearest_bucket(spark, sf):
     e = events(spark, sf)
-    b = e.where("user_id % 7 = 0").groupBy((F.col("user_id") * 10).alias("at")).agg(R(F.avg("value"), 6).alias("seconds"))
-    c = e.select("event_id", (F.col("event_id") % 1500).alias("k"))
+    b = e.groupBy((F.col("user_id") * 10).alias("at")).agg(R(F.avg("value"), 6).alias("seconds"))
+    c = e.select("event_id", (F.col("event_id") % 15000).alias("k"))
     return clock.nearest(c, "k", b, "at", "seconds").select("event_id", "seconds_at", "seconds")
 
 
@@ -126,10 +123,11 @@ def accuracy_weighted(spark, sf):
     return d.agg(R(F.sum(F.col("n") * F.coalesce("accuracy", F.lit(0.0))) / F.sum("n")).alias("accuracy"))
 
 
-@query("confusion_matrix", """with c as (select event_id % 4 as a, user_id % 3 as b, count(*) as n from events group by 1, 2) select a, b, n, round(n / sum(n) over (partition by a), 8) as share from c""")
+@query("confusion_matrix", """with e as (select event_id % 6 as a, user_id % 7 - 1 as b from events), c as (select a, case when b < 0 then b + 4 else b end as b, count(*) as n from e where a < 4 and b < 4 group by 1, 2)
+select a, b, n, round(n / sum(n) over (partition by a), 8) as share from c""")
 def confusion_matrix(spark, sf):
-    e = events(spark, sf).select((F.col("event_id") % 4).alias("a"), (F.col("user_id") % 3).alias("b"))
-    return metrics.confusion(e, "a", "b").withColumn("share", R(F.col("share")))
+    e = events(spark, sf).select((F.col("event_id") % 6).alias("a"), (F.col("user_id") % 7 - 1).alias("b"))
+    return metrics.confusion(e, "a", "b", 4).withColumn("share", R(F.col("share")))
 
 
 @query("class_report", """with e as (select event_id % 4 as t, user_id % 3 as p from events), c as (select distinct t as class from e union select distinct p from e),
@@ -148,6 +146,12 @@ def class_weights(spark, sf):
     return metrics.class_weights(table(spark, sf, "embeddings"), "label", 12).withColumn("weight", R(F.col("weight")))
 
 
+@query("class_weights_inverse", """with w as (select c.class, coalesce(n, 0) as n, least(1 / (coalesce(n, 0) + 0.01), 50) as raw from (select unnest(range(0, 12)) as class) c left join (select label as class, count(*) as n from embeddings group by 1) g on g.class = c.class)
+select class, n, round(raw / (select sum(raw * n) / sum(n) from w), 8) as weight from w""")
+def class_weights_inverse(spark, sf):
+    return metrics.class_weights(table(spark, sf, "embeddings"), "label", 12, smooth=0.01, scheme="inverse_freq").withColumn("weight", R(F.col("weight")))
+
+
 RANKED = "(select vec_id, label, i - 1 as i, row_number() over (partition by vec_id order by s desc, i) as r from (select vec_id, label, unnest(embedding) as s, unnest(range(1, len(embedding) + 1)) as i from embeddings))"
 
 
@@ -197,24 +201,58 @@ def lr_schedule(spark, sf):
     return spark.range(120).select(F.col("id").alias("step"), R(graphops.learning_rate(F.col("id"), 10, 100, 0.1), 10).alias("lr"))
 
 
-@query("mcnemar", """with g as (select case when grouping(s) = 1 then null else s end as stratum, sum(case when q = 1 and t = 1 then 1 else 0 end) as n11, sum(case when q = 1 and t = 0 then 1 else 0 end) as n10,
- sum(case when q = 0 and t = 1 then 1 else 0 end) as n01, sum(case when q = 0 and t = 0 then 1 else 0 end) as n00 from (select doc_id % 5 as s, quality as q, toxic as t from labels) group by rollup (s))
-select stratum, cast(n11 as bigint) as n11, cast(n10 as bigint) as n10, cast(n01 as bigint) as n01, cast(n00 as bigint) as n00, round(case when n01 + n10 >= 25 then pow(abs(n01 - n10) - 1, 2) / (n01 + n10) end, 8) as chi2 from g""")
+#: 1 - erf(sqrt(x / 2)) by another form of its series, and both tails of t by gamma functions.
+CHI2_TAIL = "greatest(1 - exp(-{0} / 2) * list_sum(list_transform(range(0, 200), lambda i: exp((2 * i + 1) * ln(sqrt({0} / 2)) - lgamma(i + 1.5)))), 0)"
+
+
+@query("mcnemar", f"""with g as (select case when grouping(s) = 1 then null else s end as stratum, sum(case when q = 1 and t = 1 then 1 else 0 end) as n11, sum(case when q = 1 and t = 0 then 1 else 0 end) as n10,
+ sum(case when q = 0 and t = 1 then 1 else 0 end) as n01, sum(case when q = 0 and t = 0 then 1 else 0 end) as n00 from (select doc_id % 40 as s, quality as q, toxic as t from labels) group by rollup (s)),
+h as (select *, n01 + n10 as d, case when n01 + n10 >= 25 then pow(abs(n01 - n10) - 1, 2) / (n01 + n10) end as x from g)
+select stratum, cast(n11 as bigint) as n11, cast(n10 as bigint) as n10, cast(n01 as bigint) as n01, cast(n00 as bigint) as n00, round(x, 8) as chi2,
+case when d = 0 then 'undefined' when d < 25 then 'exact' else 'chi2' end as method,
+round(case when d = 0 then null when d < 25 then least(1, 2 * list_sum(list_transform(range(0, least(n01, n10)::bigint + 1), lambda i: exp(lgamma(d + 1) - lgamma(i + 1) - lgamma(d - i + 1) - d * ln(2)))))
+when x = 0 then 1 else {CHI2_TAIL.format("least(x, 80)")} end, 8) as p from h""")
 def mcnemar(spark, sf):
-    g = metrics.contingency(table(spark, sf, "labels").withColumn("stratum", F.col("doc_id") % 5), "stratum", "quality", "toxic")
-    return metrics.mcnemar(g).select("stratum", "n11", "n10", "n01", "n00", R(F.col("chi2")).alias("chi2"))
+    g = metrics.contingency(table(spark, sf, "labels").withColumn("stratum", F.col("doc_id") % 40), "stratum", "quality", "toxic")
+    return metrics.mcnemar(g).select("stratum", "n11", "n10", "n01", "n00", R(F.col("chi2")).alias("chi2"), "method", R(F.col("p")).alias("p"))
+
+
+GROUPS = "(select event_type || event_id % 7 as g, value as v from events where event_id % 11 < 5)"
+T_TAILS = """case when df % 2 = 1 then 1 - 2 / pi() * (a + sin(a) * list_sum(list_transform(range(0, (df - 1) // 2), lambda k: pow(cos(a), 2 * k + 1) * exp(lgamma(k + 1) + 0.5 * ln(pi()) - lgamma(k + 1.5)) / 2)))
+else 1 - sin(a) * list_sum(list_transform(range(0, df // 2), lambda k: pow(cos(a), 2 * k) * exp(lgamma(k + 0.5) - lgamma(k + 1) - 0.5 * ln(pi())))) end"""
+PAIRED = f"""with m as (select g, count(*) as n, avg(v) as mean, var_samp(v) as var from {GROUPS} group by 1 having count(*) > 1),
+d as (select a.g as g_a, b.g as g_b, a.n as n_a, b.n as n_b, a.n + b.n - 2 as df, (a.mean - b.mean) / sqrt(((a.n - 1) * a.var + (b.n - 1) * b.var) / (a.n + b.n - 2)) as d from m a join m b on a.g < b.g),
+t as (select *, d / sqrt(1 / n_a + 1 / n_b) as t from d), u as (select *, atan(abs(t) / sqrt(df)) as a from t),
+p as (select g_a, g_b, d, t, greatest({T_TAILS}, 0) as p from u), s as (select *, case when p < 0.0125 then '**' when p < 0.025 then '*' else '' end as stars from p)"""
+
+
+def _grouped(spark, sf):
+    return events(spark, sf).where("event_id % 11 < 5").select(F.concat("event_type", F.col("event_id") % 7).alias("g"), F.col("value").alias("v"))
 
 
-@query("pairwise_ttest", """with m as (select event_type as g, count(*) as n, avg(value) as mean, var_samp(value) as var from events group by 1)
-select a.g as g_a, b.g as g_b, round((a.mean - b.mean) / sqrt(((a.n - 1) * a.var + (b.n - 1) * b.var) / (a.n + b.n - 2)), 8) as cohens_d,
-round((a.mean - b.mean) / sqrt(((a.n - 1) * a.var + (b.n - 1) * b.var) / (a.n + b.n - 2)) / sqrt(1 / a.n + 1 / b.n), 6) as t from m a join m b on a.g < b.g""")
+@query("pairwise_ttest", f"{PAIRED} select g_a, g_b, round(d, 8) as cohens_d, round(t, 6) as t, round(p, 8) as p, stars from s")
 def pairwise_ttest(spark, sf):
-    return metrics.pairwise_t(events(spark, sf), "event_type", "value").select("g_a", "g_b", R(F.col("cohens_d")).alias("cohens_d"), R(F.col("t"), 6).alias("t"))
+    return metrics.pairwise_t(_grouped(spark, sf), "g", "v").select("g_a", "g_b", R(F.col("cohens_d")).alias("cohens_d"), R(F.col("t"), 6).alias("t"), R(F.col("p")).alias("p"), "stars")
 
 
-@query("edge_corr", "select event_type, round(corr(value, user_id), 8) as r from events group by 1")
+@query("top_significant_ranges", f"{PAIRED} select g_a, g_b, stars, round(p, 8) as p from s where stars <> '' order by length(stars) desc, printf('%.3e', p)::double, round(d, 2) desc, g_a, g_b limit 10")
+def top_significant_ranges(spark, sf):
+    return metrics.most_significant(metrics.pairwise_t(_grouped(spark, sf), "g", "v")).select("g_a", "g_b", "stars", R(F.col("p")).alias("p"))
+
+
+@query("edge_corr", """select cast(null as varchar) as event_type, count(*) as n, round(corr(value, user_id), 8) as r from events
+union all select event_type, n, r from (select event_type, count(*) as n, round(corr(value, user_id), 8) as r from events group by 1 order by n desc, event_type limit 3) where n > 10""")
 def edge_corr(spark, sf):
-    return events(spark, sf).groupBy("event_type").agg(R(F.corr("value", "user_id")).alias("r"))
+    return metrics.correlations(events(spark, sf), "event_type", "value", "user_id").withColumn("r", R(F.col("r")))
+
+
+@query("alt_mate_topk", f"""select count(*) as n, round(avg(hit3), 8) as top_3, round(avg(hit5), 8) as top_5 from (select vec_id, max(case when n <= 3 and i = label * 5 % 64 then 1 else 0 end) as hit3, max(case when n <= 5 and i = label * 5 % 64 then 1 else 0 end) as hit5
+from (select vec_id, label, i, row_number() over (partition by vec_id order by r) as n from {RANKED} where i % 5 = 0) group by 1)""")
+def alt_mate_topk(spark, sf):
+    """The share of targets among the best three and five legal ids."""
+    d = table(spark, sf, "embeddings").select("embedding", (F.col("label") * 5 % 64).alias("y"), F.sequence(F.lit(0), F.lit(63), F.lit(5)).alias("legal"))
+    hit = lambda k: R(metrics.accuracy(metrics.legal_top_k("embedding", "legal", "y", k)))
+    return d.agg(F.count("*").alias("n"), hit(3).alias("top_3"), hit(5).alias("top_5"))
 
 
 @query("move_codec", "select m, m // 320 as src, m // 5 % 64 as dst, m % 5 as promotion from (select unnest(range(0, 20480)) as m)")
@@ -223,8 +261,8 @@ def move_codec(spark, sf):
     return d.where(parse.encode_move(F.col("src"), F.col("dst"), F.col("promotion")) == F.col("m"))
 
 
-CLOCKS = """(values (1, '[%clk 0:03:00]'), (2, '{[%clk 1:02:58.5]} e5'), (3, '[%emt 0:00:01.25]'), (4, 'none'), (5, '[%clk 10:00:00][%emt 0:00:09]')) as t(i, s)"""
-CLK = r"case when regexp_matches(s, '\[%{0} +\d+:\d+:\d') then cast(regexp_extract(s, '\[%{0} +(\d+):', 1) as double) * 3600 + cast(regexp_extract(s, '\[%{0} +\d+:(\d+):', 1) as double) * 60 + cast(regexp_extract(s, '\[%{0} +\d+:\d+:([\d.]+)', 1) as double) end"
+CLOCKS = """(values (1, '[%clk 0:03:00]'), (2, '{[%clk 1:02:58.5]} e5'), (3, '[%emt 0:00:01.25]'), (4, 'none'), (5, '[%clk 10:00:00][%emt 0:00:09]'), (6, '[ %clk  0:01:00 ] [ %emt 0:00:02.5 ]'), (7, '[%clk 1:2]')) as t(i, s)"""
+CLK = r"case when regexp_matches(s, '\[\s*%{0}\s+\d+:\d+:\d+(\.\d+)?\s*\]') then cast(regexp_extract(s, '\[\s*%{0} +(\d+):', 1) as double) * 3600 + cast(regexp_extract(s, '\[\s*%{0} +\d+:(\d+):', 1) as double) * 60 + cast(regexp_extract(s, '\[\s*%{0} +\d+:\d+:([\d.]+)', 1) as double) end"
 
 
 @query("parse_clk_emt", f"select i, {CLK.format('clk')} as clk, {CLK.format('emt')} as emt from {CLOCKS}")
@@ -276,14 +314,32 @@ def sanitize_name(spark, sf):
     return table(spark, sf, "documents").select("source", parse.sanitised_name(F.concat("source", F.lit(" a/b"))).alias("name")).distinct()
 
 
-HEADERS = "(select o_orderkey, o_orderstatus as result, case when o_orderkey % 9 = 0 then null else o_orderkey % 2000 end as white, case when o_orderkey % 6 = 0 then null else o_custkey % 2500 end as black from orders) t"
+HEADERS = "(select o_orderkey, o_orderstatus as result, case when o_orderpriority = '5-LOW' then 'Time forfeit' when o_orderkey % 4 > 0 then 'Normal' end as termination, case when o_orderkey % 9 = 0 then null else o_orderkey % 2000 end as white, case when o_orderkey % 6 = 0 then null else o_custkey % 2500 end as black from orders) t"
 
 
-@query("filter_header_eligible", f"select o_orderkey from {HEADERS} where result in ('F', 'O') and (coalesce(white, black) is null or (greatest(white, black) >= 900 and least(white, black) <= 1800))")
+@query("filter_header_eligible", f"select o_orderkey from {HEADERS} where result in ('F', 'O') and coalesce(termination, '') not like '%Time forfeit%' and (coalesce(white, black) is null or (greatest(white, black) >= 900 and least(white, black) <= 1800))")
 def filter_header_eligible(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("result"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderkey") % 2000).alias("white"), F.when(F.col("o_orderkey") % 6 != 0, F.col("o_custkey") % 2500).alias("black"))
-    best, worst = F.greatest("white", "black"), F.least("white", "black")
-    return o.where(F.col("result").isin("F", "O") & (best.isNull() | ((best >= 900) & (worst <= 1800)))).select("o_orderkey")
+    o = _headers(spark, sf)
+    ok = parse.headers_eligible(F.col("result"), F.col("termination"), F.col("white"), F.col("black"), 900, 1800, decisive=("F", "O"))
+    return o.where(ok).select("o_orderkey")
+
+
+def _headers(spark, sf):
+    i = F.col("o_orderkey")
+    ended = F.when(F.col("o_orderpriority") == "5-LOW", "Time forfeit").when(i % 4 > 0, "Normal")
+    return table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("result"), ended.alias("termination"), F.when(i % 9 != 0, i % 2000).alias("white"), F.when(i % 6 != 0, F.col("o_custkey") % 2500).alias("black"))
+
+
+@query("filter_time_forfeit", f"select o_orderkey from {HEADERS} where coalesce(termination, '') not like '%Time forfeit%'")
+def filter_time_forfeit(spark, sf):
+    return _headers(spark, sf).where(~parse.time_forfeit(F.col("termination"))).select("o_orderkey")
+
+
+@query("filter_game_hard", f"select o_orderkey from {HEADERS} join (select l_orderkey, count(*) as plies from lineitem group by 1) on l_orderkey = o_orderkey where result is not null and plies >= 3 and white > 0 and black > 0")
+def filter_game_hard(spark, sf):
+    plies = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("plies"))
+    o = _headers(spark, sf).join(plies, "o_orderkey")
+    return o.where(parse.game_hard_eligible(F.col("result"), F.col("plies"), 3, F.col("white"), F.col("black"))).select("o_orderkey")
 
 
 @query("window_all_forced", "select l_orderkey, bool_and(l_linenumber <= 2) as forced from lineitem group by 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plystream.operators import encode, sequence
+from plystream.operators import encode, guards, sequence
 from plystream.plans.registry import query
 from plystream.plans.sources import events, table
 
@@ -174,10 +174,11 @@ def filter_case_min_events(spark, sf):
     return c.join(c.groupBy("conv_id").count().where("count >= 5"), "conv_id", "left_semi").select("conv_id", "turn")
 
 
-@query("dedupe_within_case", """select doc_id from (select doc_id, row_number() over (partition by source, left(text, 40) order by doc_id) as n from documents) where n = 1""")
+@query("dedupe_within_case", """select doc_id from (select doc_id, row_number() over (partition by source, text order by doc_id) as n from documents) where n = 1""")
 def dedupe_within_case(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", F.substring("text", 1, 40).alias("head"))
-    return d.groupBy("source", "head").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    """Equal texts of a source are told by their digest, so that no text is shuffled."""
+    d = table(spark, sf, "documents").select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    return d.groupBy("source", "digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
 @query("dedupe_keep_nulls", """with e as (select event_id, case when event_id % 4 = 0 then null else user_id * 10 + event_id % 3 end as k from events)
@@ -223,7 +224,7 @@ def json_props(spark, sf):
 
 @query("first_n_strict", "select event_id, user_id from events order by event_id limit 50")
 def first_n_strict(spark, sf):
-    return events(spark, sf).orderBy("event_id").limit(50).select("event_id", "user_id")
+    return guards.first_n(events(spark, sf).select("event_id", "user_id"), "event_id", 50)
 
 
 @query("run_counters", "select event_type, user_id % 3 as source, count(*) as n from events group by grouping sets ((event_type), (user_id % 3))")

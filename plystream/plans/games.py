@@ -240,3 +240,13 @@ select seq, bool_and(hit) as all_hit from h group by 1""")
 def seq_topk_accuracy(spark, sf):
     d = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 4).cast("bigint").alias("seq"), F.array_contains(metrics.top_k("embedding", 20), F.col("label").cast("int")).alias("hit"))
     return d.groupBy("seq").agg(F.bool_and("hit").alias("all_hit"))
+
+
+@query("flat_cap", "select doc_id from documents order by doc_id limit 25")
+def flat_cap(spark, sf):
+    return cases.flat_cap(table(spark, sf, "documents").select("doc_id"), "doc_id", 25)
+
+
+@query("filter_forced_position", "select l_orderkey, l_linenumber from lineitem where l_linenumber <> 1")
+def filter_forced_position(spark, sf):
+    return cases.not_forced(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), "l_linenumber")

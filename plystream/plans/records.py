@@ -57,6 +57,33 @@ def fen_node_features(spark, sf):
     return nodes.groupBy("i").agg(F.sum("x.mover").alias("mover"), F.sum("x.opponent").alias("opponent"))
 
 
+@query("fen_mating_material", f"""with m as (select i, split_part(fen, ' ', 2) = 'w' as white, {N('P')} + 3 * {N('NB')} + 5 * {N('R')} + 9 * {N('Q')} as w, {N('p')} + 3 * {N('nb')} + 5 * {N('r')} + 9 * {N('q')} as b from {FENS})
+select i from m where case when white then w >= 5 and w - b >= 2 else b >= 5 and b - w >= 2 end""")
+def fen_mating_material(spark, sf):
+    return literals(spark, FENS).where(parse.mating_material(F.col("fen"), 5, 2)).select("i")
+
+
+WDL = "(values (1, '7k/8/8/8/8/8/8/K6R w - - 0 1', 2), (2, '7k/8/8/8/8/8/8/KN5b b - -', 0), (3, 'r3k2r/8/8/8/8/8/8/4K3 b kq -', -2), (4, '7k/8/8/8/8/8/8/K7 w', -1), (5, '7k/8/8/8/8/8/8/K6N b - -', null)) as t(i, fen, wdl)"
+
+
+@query("tablebase_no_mate", f"select i, case when regexp_matches(split_part(fen, ' ', 3), '[KQkq]') then false else coalesce(wdl <= 0, false) end as none from {WDL}")
+def tablebase_no_mate(spark, sf):
+    return literals(spark, WDL).select("i", parse.tablebase_no_mate(F.col("fen"), F.col("wdl")).alias("none"))
+
+
+@query("move_prompt", f"select i, 'Find the move.' || chr(10) || chr(10) || 'FEN: ' || fen || chr(10) || 'Best move (UCI):' as prompt from {FENS}")
+def move_prompt(spark, sf):
+    return literals(spark, FENS).select("i", parse.move_prompt(F.col("fen"), "Find the move.").alias("prompt"))
+
+
+SAID = "(values (1, 'I play Nf3+, not O-O-O or exd8=Q#'), (2, 'Rook to e4: Re4'), (3, 'none'), (4, null), (5, 'Qh4xe1 then a1')) as t(i, s)"
+
+
+@query("extract_san", f"select i, array_to_string(regexp_extract_all(s, '{parse.SAN}', 1), ' ') as moves from {SAID}")
+def extract_san(spark, sf):
+    return literals(spark, SAID).select("i", F.array_join(parse.san_candidates(F.col("s")), " ").alias("moves"))
+
+
 MOVES = "(values (1, 'I play E2E4 now'), (2, 'a7a8q wins'), (3, 'no move: e9e4'), (4, null), (5, 'xe2e4 then d2d4')) as t(i, s)"
 
 

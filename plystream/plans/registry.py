@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("batches", "event_log", "evaluation", "games", "records", "scores")
+_MODULES = ("batches", "event_log", "evaluation", "games", "records", "scores", "streams")
 
 
 def query(name: str, sql: str | None = None):

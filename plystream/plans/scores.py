@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plystream.operators import clock, importance, likeness, metrics
+from plystream.operators import clock, importance, likeness, metrics, models
+from plystream.operators.transformer import LogConfig
 from plystream.plans.evaluation import BUCKET
 from plystream.plans.event_log import R
 from plystream.plans.registry import query
@@ -116,14 +117,32 @@ def clock_lookup_fallback(spark, sf):
     return got.select("rating", "mate", R(F.col("mu"), 6).alias("mu"))
 
 
-@query("clock_sample")
+GAUSS = "sqrt(-2 * ln((('0x' || substr(h, 1, 13))::bigint + 0.5) / pow(2.0, 52))) * cos(2 * pi() * (('0x' || substr(h, 14, 13))::bigint + 0.5) / pow(2.0, 52))"
+KEYED = "(select event_id, value, md5(user_id || ':' || event_id) as h from events)"
+
+
+@query("clock_sample", f"select event_id, round(least(greatest(exp(ln(value + 1) + 0.5 * {GAUSS}), 0.5), 300.0), 6) as clock from {KEYED}")
 def clock_sample(spark, sf):
-    """Seeded draws; SQL has no such generator."""
     key = F.concat_ws(":", "user_id", "event_id")
-    return events(spark, sf).select("event_id", clock.draw(key, F.ln(F.col("value") + 1), F.lit(0.5)).alias("clock"))
+    return events(spark, sf).select("event_id", R(clock.draw(key, F.ln(F.col("value") + 1), F.lit(0.5)), 6).alias("clock"))
 
 
-@query("clock_simulated")
+@query("clock_simulated", f"select event_id, round(greatest(0.5, value * greatest(0.3, 1 + 0.15 * {GAUSS})), 6) as clock from {KEYED}")
 def clock_simulated(spark, sf):
     key = F.concat_ws(":", "user_id", "event_id")
-    return events(spark, sf).select("event_id", clock.simulated(key, F.col("value").cast("double")).alias("clock"))
+    return events(spark, sf).select("event_id", R(clock.simulated(key, F.col("value").cast("double")), 6).alias("clock"))
+
+
+NEXT = """(select user_id, event_id, event_type as k, coalesce(lead(event_type) over (partition by user_id order by event_id), 'EOS') as y from events)"""
+TRAIN = "(select user_id from (select user_id, row_number() over (order by md5('0:' || cast(user_id as varchar)), user_id) as r, count(*) over () as n from (select distinct user_id from events)) where r <= floor(n * 0.8::double))"
+
+
+@query("next_event_model", f"""with t as (select k, y, count(*) as n from {NEXT} where user_id in {TRAIN} group by 1, 2),
+b as (select k, y from (select k, y, row_number() over (partition by k order by n desc, y) as r from t) where r = 1),
+a as (select y from t group by 1 order by sum(n) desc, y limit 1)
+select count(*) as n, round(avg((x.y = coalesce(b.y, (select y from a)))::int), 8) as accuracy from {NEXT} x left join b on b.k = x.k where user_id not in {TRAIN}""")
+def next_event_model(spark, sf):
+    """A model by name, fitted on four fifths of the cases and scored on the rest."""
+    config = LogConfig(case="user_id", event="event_type", time="ts", order="event_id")
+    e = events(spark, sf)
+    return models.Run("next_event", config).fit(e).evaluate(e).select("n", R(F.col("accuracy")).alias("accuracy"))

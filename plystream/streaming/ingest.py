@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ingest(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, files: int = 100) -> None:
-    """Appends the new files of a folder of Parquet to ``sink``, exactly once; a second call takes only what came since."""
+def ingest(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, files: int = 100, every: str | None = None) -> None:
+    """Appends the new files of a folder of Parquet to ``sink``, exactly once; a second call takes only what came since.
+
+    ``files`` bounds what a batch holds, and so what is lost if one fails. With ``every``, a time such as '30 seconds', the
+    query goes on and flushes in that interval; the caller stops it."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
-    stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    append(stream, sink, checkpoint, every)
+
+
+def append(stream: DataFrame, sink: str, checkpoint: str, every: str | None = None):
+    """Runs a stream into a Parquet folder until what there is is taken, or goes on by an interval and returns the query."""
+    writer = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+    if every is not None:
+        return writer.trigger(processingTime=every).start()
+    return writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a stream's output or progress, in ``spark.checkpoint.dir``; only without one, on one machine, a
+    temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set")
+        shared = "file://" + tempfile.mkdtemp(prefix="plystream-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def first_of_key(stream: DataFrame, ts: str, keys: list[str], late: str) -> DataFrame:

@@ -88,10 +88,10 @@ def test_clocks_fall_back(spark):
 
 def test_draws_depend_on_keys_alone(spark):
     d = spark.range(200).select(F.col("id").cast("string").alias("k"), F.lit(3.0).alias("mu"), F.lit(0.1).alias("sigma"))
-    draw = lambda x: {r[0]: r[1] for r in x.select("k", clock.draw("k", "mu", "sigma")).collect()}
+    draw = lambda x: {r[0]: r[1] for r in x.select("k", clock.draw(F.col("k"), F.col("mu"), F.col("sigma"))).collect()}
     a, b = draw(d), draw(d.repartition(7))
     assert a == b and len(set(a.values())) > 190 and all(0.5 <= v <= 300 for v in a.values())
-    assert all(r[0] >= 0.5 for r in d.select(clock.simulated("k", F.lit(0.1).cast("double"))).collect())
+    assert all(r[0] >= 0.5 for r in d.select(clock.simulated(F.col("k"), F.lit(0.1).cast("double"))).collect())
 
 
 def test_quantile_bins_of_nothing_and_ties(spark):
