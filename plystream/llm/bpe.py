@@ -2,7 +2,8 @@
 
 Texts are cut into words, the matches of a pattern, and the distinct words of a lot of documents are merged together: an inverted index leads from each mergeable token pair to all its places in all words,
 pairs are taken in rank order, and each merge updates the two neighbours it touches. Words don't affect each other, so
-lots, remembered words and their order change no result.
+lots, remembered words and their order change no result. Memory is bounded by a lot and the longest text; a word of
+1.6 million letters took 384 MB.
 """
 
 from __future__ import annotations

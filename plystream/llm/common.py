@@ -64,11 +64,14 @@ def release(spark: SparkSession) -> None:
     _delete(spark, list(_STAGED))
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
-        at = jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(conf).delete(at, True)
+        delete(spark, p)
         _STAGED.remove(p)
 
 

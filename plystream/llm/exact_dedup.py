@@ -13,7 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plystream.llm.common import SPACE, join_groups, parallelism, staged
+from plystream.llm.common import SPACE, delete, join_groups, parallelism, shared_dir, staged
+
 
 def normalised(text: str = "text"):
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " ")
@@ -25,15 +26,17 @@ def digest(text: str = "text"):
 
 
 class DigestIndex:
-    """A table (digest, keep_id) clustered by digest; with ``path`` it outlives the session that made it."""
+    """A table (digest, keep_id) clustered by digest, in the shared folder; with a ``path`` of its own it outlives the session
+    that made it."""
 
     def __init__(self, spark: SparkSession, name: str, path: str | None = None, buckets: int | None = None):
         self.spark, self.name = spark, name
         self.buckets = buckets or parallelism(spark)
-        at = f" LOCATION '{path}'" if path else ""
+        self.own = path is None
+        self.path = path or f"{shared_dir(spark)}/{name}"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {name} (digest STRING, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS{at}"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
     def table(self) -> DataFrame:
@@ -52,7 +55,10 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
 
     def drop(self) -> None:
+        """Forgets the table; its files go too, if they are in the shared folder."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if self.own:
+            delete(self.spark, self.path)
 
     def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """Deduplicates a batch and appends its new digests.
