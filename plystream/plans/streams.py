@@ -1,10 +1,11 @@
-"""Queries that run as streams until all there is is taken, and read what they have written."""
+"""Queries on streams and sources: they write to the shared folder and read what they have written."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from plystream.plans.registry import query
+from plystream.sources import listed
 from plystream.streaming import cases, ingest
 
 
@@ -35,3 +36,17 @@ def stream_case_state(spark, sf):
     out = ingest.folder(spark, "cases")
     ingest.append(cases.accepted(e, "user_id", "event_id", "k", "side", "c", 60.0, 2.0, 12), out, ingest.folder(spark, "progress"))
     return spark.read.parquet(out).select("user_id", F.col("order").alias("event_id"), F.round("spent", 6).alias("spent"))
+
+
+@query("read_sources", """select case when source like '%1' then 'a' else 'b' end as tag, doc_id as event, row_number() over (partition by source like '%1' order by doc_id) as local_id from documents""")
+def read_sources(spark, sf):
+    """A list of two files of games, one for each of two sources, written from the documents and read back."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.when(F.col("source").like("%1"), "a").otherwise("b").alias("tag"))
+    entries = []
+    for tag in "ab":
+        path = ingest.folder(spark, f"games-{tag}")
+        text = F.format_string('[Event "%d"]\n\n1. e4 *', "doc_id")
+        d.where(F.col("tag") == tag).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select(text).write.text(path)
+        entries.append({"path": path, "tag": tag})
+    got = listed.read_all(spark, listed.listed(entries))
+    return got.select(F.col("source_tag").alias("tag"), F.regexp_extract("pgn", 'Event "([0-9]+)"', 1).cast("bigint").alias("event"), F.col("local_id").cast("bigint").alias("local_id"))
