@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: The white space that the text contracts name.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of ids up to which they are broadcast.
+BROADCAST = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +81,16 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def without(docs: DataFrame, doc_id: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that have an id which is not among those of ``gone``, a table of one column of ids. They are
+    counted: up to BROADCAST bytes are broadcast, so that texts stay where they are; more are joined by shuffle."""
+    gone = staged(gone.toDF("__gone").where("__gone is not null").distinct(), "gone")
+    if gone.count() * 16 <= BROADCAST:
+        gone = F.broadcast(gone)
+    own = docs[doc_id].cast("bigint")
+    return docs.where(own.isNotNull()).join(gone, own == F.col("__gone"), "left_anti")
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot: int = 1000) -> DataFrame:
     """Inner join of rows with their groups (one row for each key; ``size`` is its number of rows), safe for hot keys.
 

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plystream.llm.common import SPACE, delete, join_groups, parallelism, shared_dir, staged
+from plystream.llm.common import SPACE, delete, join_groups, parallelism, shared_dir, staged, without
 
 
 def normalised(text: str = "text"):
@@ -99,8 +99,7 @@ def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     found = deduplicated(docs, doc_id, text)
     ids = staged(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept")), "digest-ids")
-    own = ids.where("n = 1 and kept and doc_id is not null").select(F.col("doc_id").alias("__id"))
-    kept = docs.join(own, docs[doc_id].cast("bigint") == F.col("__id"), "left_semi")
+    kept = without(docs, doc_id, ids.where("n > 1 or not kept").select("doc_id"))
     odd = ids.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__id"))
     if odd.isEmpty():
         return kept

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plystream.llm.common import staged
+from plystream.llm.common import BROADCAST, staged
 from plystream.llm.components import connected_components
 
 SHINGLE, WINDOW, SPAN, SHORT, BANDS, ROWS, SIMILAR = 5, 20, 6, 50, 6, 2, 0.8
@@ -30,8 +30,6 @@ SHINGLE, WINDOW, SPAN, SHORT, BANDS, ROWS, SIMILAR = 5, 20, 6, 50, 6, 2, 0.8
 BLOCK = 1 << 20
 #: Bits of the filter that carries bands that two documents share to the second reading of the texts.
 FILTER = 1 << 27
-#: Bytes of colliding paragraphs' ids up to which they are broadcast; beyond, they are joined by shuffle.
-BROADCAST = 32 << 20
 #: Members of a band that are compared at once; of a larger band, all pairs of such lots are tasks of their own.
 LOT = 256
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)

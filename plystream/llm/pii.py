@@ -23,15 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plystream.llm.common import staged
+from plystream.llm.common import BROADCAST, staged
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on either side of an entity, and the thresholds of disclosure.
 NEAR, GENERALISE, REMOVE = 8, 0.5, 0.9
 #: Slots of the filter that carries candidate terms to the counting of documents.
 SLOTS = 1 << 22
-#: Bytes of repeated rows' keys up to which they are broadcast; beyond, they are joined by shuffle.
-BROADCAST = 32 << 20
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")

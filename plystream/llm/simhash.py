@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plystream.llm.common import join_groups, staged
+from plystream.llm.common import join_groups, staged, without
 from plystream.llm.components import connected_components
 
 SEED, WIDTH, BITS = 42, 3, 2
@@ -145,8 +145,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     """The documents that are the smallest of their component, with all their columns. Rows with a null id link no others;
     those that link to no document with an id stay, one for each component of such rows."""
     near = near_duplicates(docs, doc_id, text, width, bits)
-    found = near.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(found, docs[doc_id].cast("bigint") == F.col("__id"), "left_semi")
+    gone = near.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"))
+    kept = without(docs, doc_id, gone.where("gone").select("doc_id"))
     unnamed = docs.where(docs[doc_id].cast("bigint").isNull()).withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     if unnamed.isEmpty():
         return kept
