@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -81,3 +82,20 @@ def test_long_chain_is_one_component(spark):
     edges = spark.range(300).selectExpr("id as u", "id + 1 as v").unionAll(spark.sql("select 1000L as u, 1000L as v"))
     got = dict(map(tuple, connected_components(edges).collect()))
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000}
+
+
+def test_lists_are_the_guaranteed_minimum():
+    """Two fingerprints meet in the list of some 6 positions exactly if they share 6 positional bytes or more, as all within two
+    bits do; a tally over the lists of single bytes counts the same."""
+    from itertools import combinations
+
+    rng = random.Random(6)
+    masks = [sum(0xFF << 8 * i for i in kept) for kept in combinations(range(8), 6)]
+    for _ in range(2000):
+        a = rng.getrandbits(64)
+        b = a
+        for _ in range(rng.randint(0, 4)):
+            b ^= 1 << rng.randrange(64)
+        tally = sum((a >> 8 * i & 0xFF) == (b >> 8 * i & 0xFF) for i in range(8))
+        assert any(a & m == b & m for m in masks) == (tally >= 6)
+        assert (a ^ b).bit_count() > 2 or tally >= 6
