@@ -104,3 +104,26 @@ def test_collate_and_reindex(spark):
     assert sorted(map(tuple, ((r.b, tuple(r.l)) for r in batches.collate(c, "b", "l").collect()))) == [(0, (1, -1)), (0, (2, 3)), (1, ())]
     e = spark.createDataFrame([(1, 70, 20), (1, 20, 20), (2, 5, 9)], "g int, s bigint, d bigint")
     assert sorted((r.g, r.s, r.d) for r in batches.reindex(e, "g", "s", "d").collect()) == [(1, 0, 0), (1, 1, 0), (2, 0, 1)]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double", "timestamp"])
+def test_shards_go_by_order(spark, kind):
+    """Ranges of equal width, of which some hold most rows: places are those of one sorted list in each part."""
+    values = [None, -5, 0, 1, 1, 2, 3, 10**9, *range(100, 160)]
+    d = spark.createDataFrame([(i, "ab"[i % 2], v) for i, v in enumerate(values)], "k int, p string, v bigint").withColumn("v", F.col("v").cast(kind))
+    got = split.shards(d.repartition(5), ["p"], "v", 7).collect()
+    for part in "ab":
+        rows = sorted((r for r in got if r.p == part), key=lambda r: r.shard_idx)
+        assert [r.shard_idx for r in rows] == [i // 7 for i in range(len(rows))]
+        lots = [[values[r.k] if values[r.k] is not None else -(10**18) for r in rows if r.shard_idx == s] for s in range(rows[-1].shard_idx + 1)]
+        assert all(max(a) <= min(b) for a, b in zip(lots, lots[1:], strict=False))
+    assert split.shards(d.where("false"), ["p"], "v", 7).count() == 0
+
+
+def test_nearest_against_all_rows(spark):
+    rng = __import__("random").Random(3)
+    table = sorted({rng.choice([rng.randint(-50, 50), rng.randint(0, 10**7)]) for _ in range(200)})
+    keys = [rng.choice([rng.randint(-60, 60), rng.randint(-10, 10**7 + 10)]) for _ in range(400)]
+    t = spark.createDataFrame([(a, f"v{a}") for a in table], "at bigint, v string")
+    got = clock.nearest(spark.createDataFrame(list(enumerate(keys)), "i int, k bigint"), "k", t, "at", "v").collect()
+    assert {r.i: r.v_at for r in got} == {i: min(table, key=lambda a: (abs(a - k), a)) for i, k in enumerate(keys)} and all(r.v == f"v{r.v_at}" for r in got)
