@@ -29,7 +29,7 @@ DIRECT, DIGITS = 62, 64
 #: A text is rejected if it has LEAST symbols or more and its parse needs MOST times the bits of a uniform code of its letters,
 #: or more; texts half in one learned language and half in another need up to 1.0 times.
 LEAST, MOST = 256, 1.25
-SEGMENT, LOT = 1024, 1 << 22
+SEGMENT, LOT = 1024, 1 << 21
 UNKNOWN = "und"
 
 
@@ -98,9 +98,9 @@ class Parser:
     """Automata of some languages, over one alphabet: 0 for a gap, 1 for a letter that no sample has, then the letters."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        lower = [c.lower() if len(c.lower()) == 1 else c for c in map(chr, range(0x110000))]
-        letter = np.fromiter((c.isalpha() for c in map(chr, range(0x110000))), bool, 0x110000)
-        common = Counter(lower[ord(c)] for texts in samples.values() for t in texts for c in t if c.isalpha())
+        lower = lambda c: x if len(x := c.lower()) == 1 else c
+        letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+        common = Counter(lower(c) for texts in samples.values() for t in texts for c in t if c.isalpha())
         ranked = {c: k for k, (c, _) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0])))}
         direct, places = (len(ranked), 0) if len(ranked) <= 2 * DIRECT else (DIRECT, 2)
         while places and DIGITS**places < len(ranked) - direct:
@@ -110,7 +110,7 @@ class Parser:
         self.code = np.full((0x110000, max(places, 1)), -1, np.int16)
         self.code[:, 0] = letter
         for i in np.flatnonzero(letter).tolist():
-            if (k := ranked.get(lower[i])) is None:
+            if (k := ranked.get(lower(chr(i)))) is None:
                 continue
             if k < direct:
                 self.code[i, 0] = 2 + k

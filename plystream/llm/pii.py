@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plystream.llm.common import BROADCAST, staged
+from plystream.llm.common import BROADCAST, sliced, staged
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on either side of an entity, and the thresholds of disclosure.
@@ -120,7 +120,7 @@ def scan(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("term", pa.string())]))
         at = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(1).to_pylist()
             found = [base_spans(t) for t in texts]
             both = [contexts(t, s) for t, s in zip(texts, found, strict=True)]
@@ -159,13 +159,13 @@ def document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         want = np.unpackbits(given.value.view(np.uint8), bitorder="little").astype(bool)
-        for b in batches:
+        for b in sliced(batches):
             count: defaultdict[str, float] = defaultdict(float)
             for t, weight in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 for w in {w.lower() for w in set(_TERM.findall(t.as_py()))}:
-                    count[w] += weight
-            kept = [w for w in count if want[crc32(w.encode("utf-8", "surrogatepass")) % SLOTS]]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([count[w] for w in kept], pa.float64())], ["term", "n"])
+                    if want[crc32(w.encode("utf-8", "surrogatepass")) % SLOTS]:
+                        count[w] += weight
+            yield pa.RecordBatch.from_arrays([pa.array([*count], pa.string()), pa.array([*count.values()], pa.float64())], ["term", "n"])
 
     counted = texts.select("text", "weight").mapInArrow(run, "term string, n double")
     return counted.groupBy("term").agg(F.round(F.sum("n")).cast("bigint").alias("n_term")).join(terms, "term", "left_semi")
