@@ -90,11 +90,9 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
 
 
 def without(docs: DataFrame, doc_id: str, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that have an id which is not among those of ``gone``, a table of one column of ids. They are
-    counted: up to BROADCAST bytes are broadcast, so that texts stay where they are; more are joined by shuffle."""
-    gone = staged(gone.toDF("__gone").where("__gone is not null").distinct(), "gone")
-    if gone.count() * 16 <= BROADCAST:
-        gone = F.broadcast(gone)
+    """The rows of ``docs`` that have an id which is not among those of ``gone``, a table of one column of ids: one
+    sort-merge anti-join, alike at every size."""
+    gone = gone.toDF("__gone").where("__gone is not null").distinct().hint("merge")
     own = docs[doc_id].cast("bigint")
     return docs.where(own.isNotNull()).join(gone, own == F.col("__gone"), "left_anti")
 
