@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from plystream.llm import bpe, chat, exact_dedup, html_text, langid, packing, paragraphs, pii, simhash, syncmers
+from plystream.llm import bpe, centroids, chat, embedding_dedup, exact_dedup, filter_audit, html_text, langid, packing, paragraphs, pii, simhash, syncmers
 from plystream.llm.common import table
 
 
@@ -88,6 +88,81 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+with recursive orders as (
+  select f.l as o from (values ('A'), ('B'), ('C'), ('D'), ('E')) f(l)
+  union all select o || f.l from orders, (values ('A'), ('B'), ('C'), ('D'), ('E')) f(l) where length(o) < 5 and not contains(o, f.l)),
+t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+firsts as (select text, min(doc_id) as first_id from t group by text),
+lab as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels where doc_id is not null group by doc_id),
+d as (
+  select t.part, coalesce(lab.good, 0) as good, coalesce(lab.toxic, 0) as toxic, count(*) as n,
+    case when len(words) < 50 then 'A' else '' end || case when 100 * len(list_distinct(words)) < 65 * len(words) then 'B' else '' end
+    || case when 100 * len(regexp_extract_all(t.text, '[A-Z]')) > 5 * length(t.text) then 'C' else '' end
+    || case when regexp_matches(t.text, '[#$%&*|]') then 'D' else '' end || case when t.doc_id > f.first_id then 'E' else '' end as fails
+  from t join firsts f using (text) left join lab on lab.doc_id = t.doc_id group by all),
+steps as (select o, cast(s as int) as step, o[s] as f, o[1:s-1] as before from orders, range(1, 6) r(s) where length(o) = 5),
+x as (
+  select part, o, step, n, good, toxic, fails, contains(fails, f) as hit,
+    len(list_filter(string_split(before, ''), lambda l: l <> '' and contains(fails, l))) > 0 as gone, f from d, steps),
+y as (
+  select part, o, step, f, sum(case when not gone and not hit then n else 0 end) as kept, sum(case when hit and not gone then n else 0 end) as removed,
+    sum(case when hit and gone then n else 0 end) as redundant, sum(case when fails = f then n else 0 end) as unique_fails,
+    sum(case when hit and not gone then n * good else 0 end) as good_lost, sum(case when hit and not gone then n * toxic else 0 end) as toxic_lost
+  from x group by part, o, step, f),
+s as (select part, f, sum(removed) as shapley from y group by part, f)
+select y.part, o as filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+  good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, shapley::bigint as shapley
+from y join s on s.part = y.part and s.f = y.f
+"""
+
+
+def op12_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = r"""
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda e: e::double) as x from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0
+    and len(list_filter(embedding, lambda e: e <> 0)) > 0),
+l as (
+  select a.vec_id as u, b.vec_id as v from v a join v b on a.label = b.label and len(a.x) = len(b.x) and a.vec_id <> b.vec_id
+  where list_dot_product(a.x, b.x) >= 0.93 * sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))),
+reach as (select u, v from l union select r.u, l.v from reach r join l on r.v = l.u)
+select e.vec_id, (select count(*) from l where u = e.vec_id) as n_links, least(e.vec_id, coalesce(c.m, e.vec_id)) as component_id, least(e.vec_id, coalesce(c.m, e.vec_id)) = e.vec_id as kept
+from embeddings e left join (select u, min(v) as m from reach group by u) c on c.u = e.vec_id
+"""
+
+
+def op13_drake_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql() -> str:
+    """Every round spelt out: assignment to the nearest centroid, then floors of the means."""
+    distance = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    nearest = "select v.vec_id, v.x, arg_min(c.k, {d} * 8 + c.k) as k, min({d})::bigint as d from v, c{r} c group by v.vec_id, v.x".replace("{d}", distance)
+    steps = ["""v as materialized (
+  select vec_id, list_transform(embedding, lambda e: floor(1024 * e::double)::bigint) as x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+c0 as materialized (select row_number() over (order by sha256('3:' || vec_id), x) - 1 as k, x from v qualify k < 8)"""]
+    for r in range(10):
+        steps.append(f"a{r} as materialized ({nearest.format(r=r)})")
+        steps.append(f"""c{r + 1} as materialized (
+  select c.k, coalesce(m.x, c.x) as x from c{r} c left join (
+    select k, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as x from (
+      select k, i, sum(x[i])::bigint as s, count(*) as n from a{r}, range(1, 65) t(i) group by k, i) group by k) m using (k))""")
+    return "with " + ",\n".join([*steps, f"a as materialized ({nearest.format(r=10)})"]) + """
+select vec_id, k::int as cluster, d as distance, sum(d) over (partition by k)::bigint as cluster_inertia, sum(d) over ()::bigint as inertia,
+  sha256(array_to_string(c.x, ',')) as centroid_sha256 from a join c10 c using (k)
+"""
+
+
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_syncmer_fingerprints": (op1_syncmer_fingerprints, None),
     "op2_chat_format": (op2_chat_format, OP2_SQL),
@@ -99,6 +174,9 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_language_id": (op9_language_id, None),
     "op10_html_text": (op10_html_text, None),
+    "op11_filter_audit": (op11_filter_audit, OP11_SQL),
+    "op12_rotated_codes": (op12_rotated_codes, OP12_SQL),
+    "op13_drake_centroids": (op13_drake_centroids, _op13_sql()),
 }
 
 
