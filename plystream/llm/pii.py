@@ -72,7 +72,7 @@ def base_spans(text: str) -> list[Span]:
     """(start, end, kind, value) of entities, by start, then kind as listed."""
     out = [(a, b, "email", text[a:b].lower()) for a, b in emails(text)]
     if _DIGIT.search(text):
-        out += [(m.start(), m.end(), "ip", m[0]) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+        out += [(m.start(), m.end(), "ip", m[0]) for m in _IP.finditer(text) if all(len(y := x.lstrip("0")) <= 3 and int(y or "0") <= 255 for x in m[0].split("."))]
         for m in _CARD.finditer(text):
             d = _only_digits(m[0]) if m.end() - m.start() <= 40 else ""
             if 14 <= len(d) <= 19 and luhn(d):
@@ -189,7 +189,8 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: flo
     """Returns, for each row: doc_id, text_hash, n_email, n_ip, n_card, n_phone, base_sha256, spans, terms (array of start,
     end, disclosure of the terms to treat: the largest of the entities that the document has them near).
 
-    Null texts count as empty; repeated rows give repeated rows and count once in the corpus; rows of one id with different
+    Terms are words of three letters or more, up to NEAR words from an entity; a stretch of a writing without spaces is one
+    word, and names of two letters are none. Null texts count as empty; repeated rows give repeated rows and count once in the corpus; rows of one id with different
     texts are different documents; other columns are ignored; an empty table gives no rows. No entity is lost for
     want of context: base spans never depend on the corpus. The texts are read twice and never shuffled, unless more
     rows are repeated than can be broadcast.
