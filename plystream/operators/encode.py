@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plystream.operators import quantiles
+
 MISSING = -1.0
 
 
@@ -17,8 +19,8 @@ def minmax_masked(df: DataFrame, value: str, out: str) -> DataFrame:
 
 
 def minmax_median(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Nulls take the median; then scaled over all rows."""
-    fit = df.agg(F.median(value).alias("__m"), F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    """Nulls take the exact median, found in bounded memory; then scaled over all rows."""
+    fit = df.agg(F.lit(quantiles.median(df, value)).cast("double").alias("__m"), F.min(value).alias("__lo"), F.max(value).alias("__hi"))
     x = F.coalesce(F.col(value), F.col("__m"))
     return df.crossJoin(F.broadcast(fit)).withColumn(out, F.when(F.col("__hi") > F.col("__lo"), (x - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(0.0)).drop("__m", "__lo", "__hi")
 

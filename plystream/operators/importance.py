@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plystream.operators import quantiles
+
 
 def length_bin(length: Column, width: int) -> Column:
     """The lower end of the range of ``width`` lengths."""
@@ -33,9 +37,10 @@ def window_metrics(df: DataFrame, seq: str, pos: str, value: str) -> DataFrame:
 
 def quantile_bins(df: DataFrame, length: str, bins: int) -> DataFrame:
     """Ranges (bin, lo, hi), both ends included, between exact quantiles of the lengths, rounded outwards; they may overlap."""
-    at = df.agg(F.percentile(F.col(length), F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("q"))
-    each = at.select("q", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return each.select("bin", F.floor(F.col("q")[F.col("bin")]).alias("lo"), F.ceil(F.col("q")[F.col("bin") + 1]).alias("hi"))
+    at = quantiles.exact(df, length, [i / bins for i in range(bins + 1)])
+    if at[0] is None:
+        return df.sparkSession.createDataFrame([], "bin int, lo bigint, hi bigint")
+    return df.sparkSession.createDataFrame([(i, floor(at[i]), ceil(at[i + 1])) for i in range(bins)], "bin int, lo bigint, hi bigint")
 
 
 def critical(df: DataFrame, seq: str, pos: str, value: str, length: str, ranges: list[tuple[int, int]], most: int = 3) -> DataFrame:

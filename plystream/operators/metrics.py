@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import pi, sqrt
+from math import log, pi
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,46 +79,72 @@ def mcnemar(counts: DataFrame) -> DataFrame:
     return out.withColumn("p", F.when(exact, F.least(F.lit(1.0), 2 * tail)).when(d >= 25, chi2_tail(F.col("chi2"))))
 
 
-def chi2_tail(x: Column, terms: int = 200) -> Column:
-    """The upper tail of chi-squared with one degree of freedom, 1 - erf(sqrt(x / 2)): the series of erf whose terms are all
-    positive, up to where erf is 1 in double precision."""
-    z = F.sqrt(F.least(x, F.lit(80.0)) / 2)
-    first = F.struct(z.alias("sum"), z.alias("term"))
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), first,
-                         lambda acc, n: F.struct((acc["sum"] + acc["term"] * 2 * z * z / (2 * n + 1)).alias("sum"), (acc["term"] * 2 * z * z / (2 * n + 1)).alias("term")), lambda acc: acc["sum"])
-    return F.greatest(1 - 2 / sqrt(pi) * F.exp(-z * z) * series, F.lit(0.0))
+def _falling(scale: Column, ratio, steps: int = 200) -> Column:
+    """ln of 1 / (1 + k1 scale / (1 + k2 scale / (1 + ...))) with k from ``ratio``: all terms are positive, so the fixed number of
+    steps, taken from the last, loses no digits."""
+    return -F.ln(F.aggregate(F.sequence(F.lit(steps), F.lit(1), F.lit(-1)), F.lit(1.0), lambda rest, n: 1 + ratio(n.cast("double")) * scale / rest))
+
+
+def _rising(y: Column, ratio, steps: int = 120) -> Column:
+    """1 + r1 y + r1 r2 y^2 + ..."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term")),
+                       lambda acc, n: F.struct((acc["sum"] + acc["term"] * ratio(n.cast("double")) * y).alias("sum"), (acc["term"] * ratio(n.cast("double")) * y).alias("term")), lambda acc: acc["sum"])
+
+
+def _log_half_step(a: Column, shift: int = 16) -> Column:
+    """ln(Gamma(a + 1/2) / Gamma(a)), by its asymptotic series after ``shift`` steps up, so that no large logarithms cancel."""
+    z = a + shift
+    back = sum((F.ln((a + i) / (a + i + 0.5)) for i in range(shift)), F.lit(0.0))
+    return back + F.ln(z) / 2 - 1 / (8 * z) + 1 / (192 * z**3) - 1 / (640 * z**5) + 17 / (14336 * z**7)
+
+
+def log_t_tails(t: Column, df: Column) -> Column:
+    """ln of both tails of Student's t: the regularised incomplete beta function I_x(df / 2, 1 / 2), x = df / (df + t^2).
+
+    From t^2 = 2 on it is computed as a tail, by the continued fraction of its hypergeometric function in -df / t^2, which
+    needs as many steps for 10^9 degrees of freedom as for few; nearer to 0, where it is large, from the series of the rest.
+    Null degrees of freedom mean infinitely many, the normal distribution. 0 for t = 0; null for t null or no number."""
+    t2, v = (t * t).cast("double"), df.cast("double")
+    half = v / 2
+    density = F.coalesce(_log_half_step(half) - F.ln(v * pi) / 2 - (v + 1) / 2 * F.log1p(t2 / v), -F.ln(F.lit(2 * pi)) / 2 - t2 / 2)
+    # the tail is density * (df + t^2) / (df t) * F(1/2, 1; df/2 + 1; -df / t^2)
+    limit = F.coalesce(F.log1p(t2 / v), F.lit(0.0))
+    ratio = lambda n: F.coalesce(n / 2 * (half + (n - 1) / 2) / ((half + n - 1) * (half + n)) * v, n)
+    tail = F.ln(F.lit(2.0)) + density + limit - F.ln(t2) / 2 + _falling(1 / t2, ratio)
+    y = F.coalesce(t2 / (v + t2), t2)
+    near = 2 * F.exp(density) * F.sqrt(t2) * _rising(y, lambda n: F.coalesce((half + n - 0.5) / (n + 0.5), 1 / (2 * n + 1)))
+    return F.when(t2 >= 2, tail).when(t2 > 0, F.log1p(-near)).when(t2 == 0, F.lit(0.0))
 
 
 def t_tails(t: Column, df: Column) -> Column:
-    """Both tails of Student's t with a whole number of degrees of freedom, by the finite sums in the cosine of
-    atan(t / sqrt(df)) for even and odd numbers."""
-    angle = F.atan(F.abs(t) / F.sqrt(df.cast("double")))
-    odd, sin, cos = df % 2 == 1, F.sin(angle), F.cos(angle)
-    steps = F.when(df > 3, F.sequence(F.lit(1).cast("bigint"), F.floor((df - 2) / 2))).otherwise(F.array().cast("array<bigint>"))
-    one = F.when(odd, cos).otherwise(F.lit(1.0))
-    ratio = lambda k: F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
-    total = F.aggregate(steps, F.struct(one.alias("sum"), one.alias("term")),
-                        lambda acc, k: F.struct((acc["sum"] + acc["term"] * cos * cos * ratio(k)).alias("sum"), (acc["term"] * cos * cos * ratio(k)).alias("term")), lambda acc: acc["sum"])
-    inside = F.when(odd, 2 / pi * (angle + F.when(df > 1, sin * total).otherwise(0.0))).otherwise(sin * total)
-    return F.greatest(1 - inside, F.lit(0.0))
+    return F.exp(log_t_tails(t, df))
+
+
+def chi2_tail(x: Column) -> Column:
+    """The upper tail of chi-squared with one degree of freedom: both tails of a normal sqrt(x)."""
+    return F.exp(log_t_tails(F.sqrt(x), F.lit(None)))
 
 
 def pairwise_t(df: DataFrame, group: str, value: str, alpha: float = 0.05) -> DataFrame:
-    """Student's t (pooled), its p, Cohen's d and stars (one for p < alpha / 2, two for p < alpha / 4) of each pair of groups
-    of two rows or more, from one row of moments for each group."""
+    """Student's t (pooled), its p and log10 of that, which doesn't end at 1e-308, Cohen's d and stars (one for p < alpha / 2, two for
+    p < alpha / 4) of each pair of groups of two rows or more, from one row of moments for each group. Work for a pair is
+    the same however many rows its groups have."""
     m = df.groupBy(F.col(group).alias("g")).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var")).where("n > 1")
     a, b = (m.select(*[F.col(c).alias(f"{c}_{s}") for c in m.columns]) for s in "ab")
     pooled = F.sqrt(((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b")) / (F.col("n_a") + F.col("n_b") - 2))
     d = (F.col("mean_a") - F.col("mean_b")) / pooled
     out = a.join(b, F.col("g_a") < F.col("g_b")).select("g_a", "g_b", "n_a", "n_b", d.alias("cohens_d"), (d / F.sqrt(1 / F.col("n_a") + 1 / F.col("n_b"))).alias("t"))
-    out = out.withColumn("p", t_tails(F.col("t"), F.col("n_a") + F.col("n_b") - 2))
+    out = out.withColumn("log10_p", log_t_tails(F.col("t"), F.col("n_a") + F.col("n_b") - 2) / log(10)).withColumn("p", F.pow(F.lit(10.0), "log10_p"))
     return out.withColumn("stars", F.when(F.col("p") < alpha / 4, "**").when(F.col("p") < alpha / 2, "*").otherwise(""))
 
 
 def most_significant(pairs: DataFrame, most: int = 10) -> DataFrame:
     """The starred pairs: more stars first, then smaller p and larger d, as they are written: p with three decimals of its
-    exponent form, d with two decimals."""
-    written = pairs.where("stars <> ''").withColumn("__p", F.format_string("%.3e", "p").cast("double")).withColumn("__d", F.round("cohens_d", 2))
+    exponent form, d with two decimals. p is taken from its logarithm, so that the smallest are told apart too."""
+    power = F.floor("log10_p")
+    digits = F.round(F.pow(F.lit(10.0), F.col("log10_p") - power), 3)
+    written = pairs.where("stars <> ''").withColumn("__p", F.struct(F.when(digits >= 10, power + 1).otherwise(power).alias("power"), F.when(digits >= 10, 1.0).otherwise(digits).alias("digits")))
+    written = written.withColumn("__d", F.round("cohens_d", 2))
     return written.orderBy(F.desc(F.length("stars")), "__p", F.desc("__d"), "g_a", "g_b").limit(most).drop("__p", "__d")
 
 

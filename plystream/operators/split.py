@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plystream.sources import files
+
 
 def shuffled(seed: str, key: str) -> Column:
     return F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string")).cast("binary"))
@@ -35,12 +39,24 @@ def ranked(ids: DataFrame, key: str, strata: list[str], seed: str) -> DataFrame:
     return positions(d, strata, F.substring("__h", 1, 3), ["__h", key]).drop("__h")
 
 
-def ranges(df: DataFrame, order: str, cells: int = 4096) -> Column:
-    """The number, from 0, of the range of equal width in which a number lies; its bounds are the only thing that the
-    driver sees. Nulls come first."""
-    lo, hi = df.agg(F.min(order).cast("double"), F.max(order).cast("double")).first()
-    width = ((hi or 0.0) - (lo or 0.0)) / cells or 1.0
-    return F.coalesce(F.floor((F.col(order).cast("double") - F.lit(lo or 0.0)) / F.lit(width)), F.lit(-1).cast("bigint"))
+def ranges(df: DataFrame, order: str, cells: int = 512, spread: int = 64) -> Column:
+    """The number of the range in which a number lies, nulls first. Bounds are quantiles of the column, from a sketch that one
+    pass merges, so that ranges hold about equally many rows whatever outliers there are; the driver sees ``cells`` numbers.
+    A value that is several bounds, as so many rows have it, is dealt over as many ranges by the hash of the whole row, and
+    nulls over ``spread``: among equals any order will do."""
+    x = F.col(order).cast("double")
+    bounds = df.agg(F.percentile_approx(x, [i / cells for i in range(1, cells)], 20 * cells)).first()[0] or []
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    at = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>")
+
+    def below(inside) -> Column:
+        """How many bounds are ``inside``, a first part of them: a binary search."""
+        return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda n, step: F.when((n + step <= len(bounds)) & F.coalesce(inside(F.get(at, n + step - 1)), F.lit(False)), n + step).otherwise(n)) if bounds else F.lit(0)
+
+    hash_ = F.xxhash64(*[F.col(c) for c in df.columns])
+    pair = F.transform(F.array(F.struct(below(lambda b: b < x).alias("lo"), below(lambda b: b <= x).alias("hi"))),
+                       lambda p: F.when(p["hi"] - p["lo"] > 1, p["lo"] + 1 + F.pmod(hash_, p["hi"] - p["lo"])).otherwise(p["hi"]).cast("bigint"))
+    return F.when(x.isNull(), -1 - F.pmod(hash_, F.lit(spread))).otherwise(F.get(pair, F.lit(0)))
 
 
 def stratified(ids: DataFrame, key: str, strata: list[str], train: float, val: float, seed: str = "0") -> DataFrame:
@@ -67,5 +83,34 @@ def manifest(sharded: DataFrame, part: list[str], size: int) -> DataFrame:
     return sharded.groupBy(*part).agg(F.count_distinct("shard_idx").alias("num_shards"), F.count("*").alias("total")).withColumn("shard_size", F.lit(size).cast("bigint"))
 
 
-def write_shards(sharded: DataFrame, path: str, part: list[str]) -> None:
-    sharded.repartition(*part, "shard_idx").write.partitionBy(*part, "shard_idx").parquet(path)
+def epoch_order(sharded: DataFrame, part: list[str], key: str, epoch: int, workers: int, seed: str = "0") -> DataFrame:
+    """Adds worker, turn and place: the shards of a part are permuted by seed and epoch, worker w takes every ``workers``-th of
+    them from the w-th on, in turns, and the rows of a shard are permuted by seed, epoch and worker. The table of shards is
+    permuted by itself; rows are dealt by shard once and sorted there, and never ranked over the whole."""
+    by = [*part, "shard_idx"]
+    at = F.row_number().over(Window.partitionBy(*part).orderBy(F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.col("shard_idx").cast("string")).cast("binary")), "shard_idx")) - 1
+    order = sharded.select(*by).distinct().withColumn("__at", at)
+    order = order.select(*by, (F.col("__at") % workers).alias("worker"), F.floor(F.col("__at") / workers).alias("turn"))
+    mixed = F.md5(F.concat_ws(":", F.lit(seed), F.lit(str(epoch)), F.col("worker").cast("string"), F.col(key).cast("string")).cast("binary"))
+    return sharded.join(order, by).withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(mixed, key)))
+
+
+#: What a shard has at least, so that a folder does not fill with small files.
+LEAST = 15_000
+
+
+def write_shards(df: DataFrame, path: str, part: str, order: str, size: int, least: int = LEAST) -> dict[str, dict]:
+    """Writes each part, a split, as a folder of shards of max(``least``, ``size``) rows in the order of ``order``, with a
+    ``manifest.json`` of num_shards, shard_size and total. Everything is written beside and renamed, the manifests last, so a
+    part either has all of its shards and a manifest or is what it was. Returns the manifests."""
+    spark, size = df.sparkSession, max(least, size)
+    new = files.beside(spark, path)
+    sharded = shards(df, [part], order, size)
+    sharded.repartition(part, "shard_idx").sortWithinPartitions(part, "shard_idx", order).write.partitionBy(part, "shard_idx").parquet(new)
+    written = spark.read.parquet(new).groupBy(part).agg(F.count_distinct("shard_idx").alias("n"), F.count("*").alias("total"))
+    out = {str(r[part]): {"num_shards": r["n"], "shard_size": size, "total": r["total"]} for r in written.collect()}  # a row for each split
+    for name, facts in out.items():
+        files.replace(spark, f"{new}/{part}={name}", f"{path}/{name}")
+        files.publish(spark, f"{path}/{name}/manifest.json", json.dumps(facts))
+    files.delete(spark, new)
+    return out

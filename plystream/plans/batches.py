@@ -110,8 +110,10 @@ def drop_padding(spark, sf):
     return c.select("conv_id", F.posexplode(padded).alias("pos", "y")).where("y <> -1").select("conv_id", F.col("pos").cast("bigint").alias("pos"), F.col("y").cast("bigint").alias("y"))
 
 
-@query("edge_reindex", """with v as (select l_orderkey as g, l_partkey as v from lineitem union select l_orderkey, l_suppkey from lineitem), i as (select g, v, row_number() over (partition by g order by v) - 1 as i from v)
-select l_orderkey, l_linenumber, a.i as src, b.i as dst from lineitem join i a on a.g = l_orderkey and a.v = l_partkey join i b on b.g = l_orderkey and b.v = l_suppkey""")
+@query("edge_reindex", """with e as materialized (select row_number() over () as e, l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem),
+v as (select e, l_orderkey, l_linenumber, 's' as kind, l_partkey as v from e union all select e, l_orderkey, l_linenumber, 'd', l_suppkey from e),
+i as (select e, l_orderkey, l_linenumber, kind, dense_rank() over (partition by l_orderkey order by v) - 1 as i from v)
+select l_orderkey, l_linenumber, max(case when kind = 's' then i end) as src, max(case when kind = 'd' then i end) as dst from i group by e, l_orderkey, l_linenumber""")
 def edge_reindex(spark, sf):
     e = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
     return batches.reindex(e, "l_orderkey", "src", "dst").select("l_orderkey", "l_linenumber", "src", "dst")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plystream.functions import parse
-from plystream.operators import clock, graphops, metrics, split
+from plystream.operators import clock, graphops, intervals, metrics, quantiles, split
 from plystream.plans.registry import query
 from plystream.plans.sources import events, literals, table
 
@@ -55,6 +55,43 @@ def shard_worker_slice(spark, sf):
     return shard_assign(spark, sf).select("doc_id", (F.col("shard_idx") % 4).alias("worker"))
 
 
+@query("shard_two_level", """with s as (select doc_id, lang, (row_number() over (partition by lang order by doc_id) - 1) // 20 as shard_idx from documents),
+o as (select lang, shard_idx, row_number() over (partition by lang order by md5('0:3:' || shard_idx), shard_idx) - 1 as k from (select distinct lang, shard_idx from s))
+select s.doc_id, s.lang, s.shard_idx, k % 4 as worker, k // 4 as turn, row_number() over (partition by s.lang, s.shard_idx order by md5('0:3:' || k % 4 || ':' || s.doc_id), s.doc_id) as place
+from s join o on s.lang = o.lang and s.shard_idx = o.shard_idx""")
+def shard_two_level(spark, sf):
+    """What each of four workers reads in epoch 3: its shards in turns, and their rows in places."""
+    sharded = split.shards(table(spark, sf, "documents").select("doc_id", "lang"), ["lang"], "doc_id", 20)
+    return split.epoch_order(sharded, ["lang"], "doc_id", 3, 4)
+
+
+@query("range_first_wins", """with d as (select doc_id, length(text) as n from documents), r as (select p_partkey, p_size * 40 as lo, p_size * 40 + p_partkey % 500 + 1 as hi from part)
+select d.doc_id, n, min(p_partkey) as p_partkey from d left join r on lo <= n and n < hi group by d.doc_id, n""")
+def range_first_wins(spark, sf):
+    """The first of many overlapping ranges of length that holds a document's."""
+    d = table(spark, sf, "documents").select("doc_id", F.char_length("text").cast("bigint").alias("n"))
+    return intervals.first_range(d, "n", _ranges(spark, sf), "p_partkey").select("doc_id", "n", "p_partkey")
+
+
+def _ranges(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", (F.col("p_size") * 40).cast("bigint").alias("lo"), (F.col("p_size") * 40 + F.col("p_partkey") % 500 + 1).alias("hi"))
+
+
+@query("range_all_matches", """with d as (select doc_id, length(text) as n from documents), r as (select p_partkey, p_size * 40 as lo, p_size * 40 + p_partkey % 500 + 1 as hi from part)
+select p_partkey, count(*) as n, min(doc_id) as first_doc from d join r on lo <= n and n < hi group by 1""")
+def range_all_matches(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.char_length("text").cast("bigint").alias("n"))
+    return intervals.all_ranges(d, "n", _ranges(spark, sf)).groupBy("p_partkey").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query("exact_quantiles", """select unnest([0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0])::double as p, round(unnest(q), 6) as q
+from (select quantile_cont(l_extendedprice, [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]) as q from lineitem)""")
+def exact_quantiles(spark, sf):
+    at = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
+    found = quantiles.exact(table(spark, sf, "lineitem"), "l_extendedprice", at)
+    return spark.createDataFrame([(p, round(q, 6)) for p, q in zip(at, found, strict=True)], "p double, q double")
+
+
 @query("stratum_conflicts", "select l_orderkey from lineitem group by 1 having count(distinct l_returnflag) > 1")
 def stratum_conflicts(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_returnflag").alias("n")).where("n > 1").select("l_orderkey")
@@ -201,8 +238,11 @@ def lr_schedule(spark, sf):
     return spark.range(120).select(F.col("id").alias("step"), R(graphops.learning_rate(F.col("id"), 10, 100, 0.1), 10).alias("lr"))
 
 
-#: 1 - erf(sqrt(x / 2)) by another form of its series, and both tails of t by gamma functions.
-CHI2_TAIL = "greatest(1 - exp(-{0} / 2) * list_sum(list_transform(range(0, 200), lambda i: exp((2 * i + 1) * ln(sqrt({0} / 2)) - lgamma(i + 1.5)))), 0)"
+#: The integral of a density from t on over the density at t, by the double exponential rule for half-infinite ranges: a way to tails
+#: that shares nothing with the continued fraction. {0}: t; {1}: ln of the density at t + s over that at t.
+BEYOND = """list_sum(list_transform(range(-225, 251), lambda k: 0.02 * (1 + exp(-k * 0.02)) * exp(k * 0.02 - exp(-k * 0.02)) / greatest({0}, 1)
+  * exp(list_extract(list_transform([exp(k * 0.02 - exp(-k * 0.02)) / greatest({0}, 1)], lambda s: {1}), 1))))"""
+CHI2_TAIL = "2 / sqrt(2 * pi()) * exp(-{0} / 2) * " + BEYOND.format("sqrt({0})", "-sqrt({0}) * s - s * s / 2")
 
 
 @query("mcnemar", f"""with g as (select case when grouping(s) = 1 then null else s end as stratum, sum(case when q = 1 and t = 1 then 1 else 0 end) as n11, sum(case when q = 1 and t = 0 then 1 else 0 end) as n10,
@@ -211,33 +251,33 @@ h as (select *, n01 + n10 as d, case when n01 + n10 >= 25 then pow(abs(n01 - n10
 select stratum, cast(n11 as bigint) as n11, cast(n10 as bigint) as n10, cast(n01 as bigint) as n01, cast(n00 as bigint) as n00, round(x, 8) as chi2,
 case when d = 0 then 'undefined' when d < 25 then 'exact' else 'chi2' end as method,
 round(case when d = 0 then null when d < 25 then least(1, 2 * list_sum(list_transform(range(0, least(n01, n10)::bigint + 1), lambda i: exp(lgamma(d + 1) - lgamma(i + 1) - lgamma(d - i + 1) - d * ln(2)))))
-when x = 0 then 1 else {CHI2_TAIL.format("least(x, 80)")} end, 8) as p from h""")
+when x = 0 then 1 else {CHI2_TAIL.format("x")} end, 8) as p from h""")
 def mcnemar(spark, sf):
     g = metrics.contingency(table(spark, sf, "labels").withColumn("stratum", F.col("doc_id") % 40), "stratum", "quality", "toxic")
     return metrics.mcnemar(g).select("stratum", "n11", "n10", "n01", "n00", R(F.col("chi2")).alias("chi2"), "method", R(F.col("p")).alias("p"))
 
 
-GROUPS = "(select event_type || event_id % 7 as g, value as v from events where event_id % 11 < 5)"
-T_TAILS = """case when df % 2 = 1 then 1 - 2 / pi() * (a + sin(a) * list_sum(list_transform(range(0, (df - 1) // 2), lambda k: pow(cos(a), 2 * k + 1) * exp(lgamma(k + 1) + 0.5 * ln(pi()) - lgamma(k + 1.5)) / 2)))
-else 1 - sin(a) * list_sum(list_transform(range(0, df // 2), lambda k: pow(cos(a), 2 * k) * exp(lgamma(k + 0.5) - lgamma(k + 1) - 0.5 * ln(pi())))) end"""
-PAIRED = f"""with m as (select g, count(*) as n, avg(v) as mean, var_samp(v) as var from {GROUPS} group by 1 having count(*) > 1),
+LOG_TAILS = ("(lgamma((df + 1) / 2.0::double) - lgamma(df / 2.0::double) - 0.5 * ln(df * pi()) - (df + 1) / 2.0 * ln(1 + t * t / df) + ln(2 * "
+             + BEYOND.format("abs(t)", "-(df + 1) / 2.0 * ln(1 + (2 * abs(t) * s + s * s) / (df + t * t))") + ")) / ln(10)")
+PAIRED = f"""with m as (select event_type || event_id % 7 as g, count(*) as n, avg(value) as mean, var_samp(value) as var from events group by 1 having count(*) > 1),
 d as (select a.g as g_a, b.g as g_b, a.n as n_a, b.n as n_b, a.n + b.n - 2 as df, (a.mean - b.mean) / sqrt(((a.n - 1) * a.var + (b.n - 1) * b.var) / (a.n + b.n - 2)) as d from m a join m b on a.g < b.g),
-t as (select *, d / sqrt(1 / n_a + 1 / n_b) as t from d), u as (select *, atan(abs(t) / sqrt(df)) as a from t),
-p as (select g_a, g_b, d, t, greatest({T_TAILS}, 0) as p from u), s as (select *, case when p < 0.0125 then '**' when p < 0.025 then '*' else '' end as stars from p)"""
+t as (select *, d / sqrt(1 / n_a + 1 / n_b) as t from d), p as (select g_a, g_b, d, t, {LOG_TAILS} as l from t),
+s as (select *, pow(10, l) as p, case when l < log10(0.0125) then '**' when l < log10(0.025) then '*' else '' end as stars from p)"""
 
 
 def _grouped(spark, sf):
-    return events(spark, sf).where("event_id % 11 < 5").select(F.concat("event_type", F.col("event_id") % 7).alias("g"), F.col("value").alias("v"))
+    return events(spark, sf).select(F.concat("event_type", F.col("event_id") % 7).alias("g"), F.col("value").alias("v"))
 
 
-@query("pairwise_ttest", f"{PAIRED} select g_a, g_b, round(d, 8) as cohens_d, round(t, 6) as t, round(p, 8) as p, stars from s")
+@query("pairwise_ttest", f"{PAIRED} select g_a, g_b, round(d, 8) as cohens_d, round(t, 6) as t, round(l, 6) as log10_p, stars from s")
 def pairwise_ttest(spark, sf):
-    return metrics.pairwise_t(_grouped(spark, sf), "g", "v").select("g_a", "g_b", R(F.col("cohens_d")).alias("cohens_d"), R(F.col("t"), 6).alias("t"), R(F.col("p")).alias("p"), "stars")
+    pairs = metrics.pairwise_t(_grouped(spark, sf), "g", "v")
+    return pairs.select("g_a", "g_b", R(F.col("cohens_d")).alias("cohens_d"), R(F.col("t"), 6).alias("t"), R(F.col("log10_p"), 6).alias("log10_p"), "stars")
 
 
-@query("top_significant_ranges", f"{PAIRED} select g_a, g_b, stars, round(p, 8) as p from s where stars <> '' order by length(stars) desc, printf('%.3e', p)::double, round(d, 2) desc, g_a, g_b limit 10")
+@query("top_significant_ranges", f"{PAIRED} select g_a, g_b, stars, round(l, 6) as log10_p from s where stars <> '' order by length(stars) desc, printf('%.3e', p)::double, round(d, 2) desc, g_a, g_b limit 10")
 def top_significant_ranges(spark, sf):
-    return metrics.most_significant(metrics.pairwise_t(_grouped(spark, sf), "g", "v")).select("g_a", "g_b", "stars", R(F.col("p")).alias("p"))
+    return metrics.most_significant(metrics.pairwise_t(_grouped(spark, sf), "g", "v")).select("g_a", "g_b", "stars", R(F.col("log10_p"), 6).alias("log10_p"))
 
 
 @query("edge_corr", """select cast(null as varchar) as event_type, count(*) as n, round(corr(value, user_id), 8) as r from events

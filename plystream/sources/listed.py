@@ -167,7 +167,7 @@ def manifest(spark: SparkSession, path: str) -> dict:
 
 def shards(spark: SparkSession, path: str, schema: str, label: str | None = None) -> DataFrame:
     """The rows of a folder of Parquet shards; unreadable ones are skipped. A row whose ``label`` is null fails the job."""
-    found = spark.read.option("ignoreCorruptFiles", True).schema(schema).parquet(path)
+    found = spark.read.options(ignoreCorruptFiles=True, pathGlobFilter="*.parquet").schema(schema).parquet(path)
     if label is None:
         return found
     kind = found.schema[label].dataType

@@ -1,3 +1,5 @@
+import math
+
 import bz2
 import json
 import zipfile
@@ -167,9 +169,46 @@ def test_tails_of_t(spark, t, df, p):
     assert spark.range(1).select(metrics.t_tails(F.lit(t), F.lit(df).cast("bigint"))).first()[0] == pytest.approx(p, rel=1e-5)
 
 
+def exact_log10(t, df):
+    """Both tails for an even number of degrees of freedom, by the finite sum in decimals of 700 digits."""
+    from decimal import Decimal, localcontext
+
+    with localcontext() as ctx:
+        ctx.prec = 700
+        t, df = Decimal(str(t)), Decimal(df)
+        c2 = df / (df + t * t)
+        term = total = Decimal(1)
+        for k in range(1, int(df) // 2):
+            term *= c2 * (2 * k - 1) / (2 * k)
+            total += term
+        return float((1 - (1 - c2).sqrt() * total).log10())
+
+
+@pytest.mark.parametrize(("t", "df"), [(0.001, 2), (0.3, 4), (0.999, 2), (0.999, 600), (1.0, 2), (1.001, 600), (7.5, 200), (9.0, 1000), (10.0, 5000), (30.0, 2000), (45.0, 4000), (1e6, 2), (1e9, 40)])
+def test_tails_of_t_keep_their_digits(spark, t, df):
+    """Down to 1e-300 and below, where 1 - inside has none."""
+    got = spark.range(1).select(metrics.log_t_tails(F.lit(-t), F.lit(df).cast("bigint"))).first()[0] / math.log(10)
+    assert got == pytest.approx(exact_log10(t, df), rel=1e-10, abs=1e-12)
+
+
+@pytest.mark.parametrize("t", [1e-6, 0.5, 0.99, 1.0, 2.0, 6.0, 20.0, 37.0])
+def test_tails_of_a_normal(spark, t):
+    """The limit of many degrees of freedom, by erfc."""
+    got = spark.range(1).select(metrics.log_t_tails(F.lit(t), F.lit(None)).alias("a"), metrics.log_t_tails(F.lit(t), F.lit(10**14)).alias("b"), metrics.chi2_tail(F.lit(t * t)).alias("c")).first()
+    want = math.erfc(t / math.sqrt(2))
+    assert got.a == pytest.approx(math.log(want), rel=1e-12, abs=1e-14) and got.c == pytest.approx(want, rel=1e-11)
+    assert got.b == pytest.approx(math.log(want), rel=1e-8, abs=1e-12)
+
+
+def test_the_most_significant_are_told_apart(spark):
+    """p below the smallest double is still ordered."""
+    pairs = spark.createDataFrame([("a", "b", "**", -400.5, 1.0), ("a", "c", "**", -500.5, 1.0), ("a", "d", "*", -600.0, 1.0), ("b", "c", "**", -400.5, 2.0), ("b", "d", "", -1.0, 0.0)], "g_a string, g_b string, stars string, log10_p double, cohens_d double")
+    assert [(r.g_a, r.g_b) for r in metrics.most_significant(pairs, 4).collect()] == [("a", "c"), ("b", "c"), ("a", "b"), ("a", "d")]
+
+
 @pytest.mark.parametrize(("x", "p"), [(0.0, 1.0), (3.841458820694124, 0.05), (10.827566170662733, 0.001), (50.0, 1.5374597944280347e-12)])
 def test_tail_of_chi_squared(spark, x, p):
-    assert spark.range(1).select(metrics.chi2_tail(F.lit(x))).first()[0] == pytest.approx(p, rel=1e-3, abs=1e-15)
+    assert spark.range(1).select(metrics.chi2_tail(F.lit(x))).first()[0] == pytest.approx(p, rel=1e-9)
 
 
 def test_clock_statistics_are_written(spark, tmp_path):
