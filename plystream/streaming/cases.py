@@ -4,40 +4,91 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-STATE = "seen array<string>, clock0 double, clock1 double, accepted bigint"
-OUT = "order bigint, spent double"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DAY = 24 * 3600 * 1000
 
 
-def accepted(stream: DataFrame, case: str, order: str, position: str, side: str, clock: str, base: float, increment: float, most: int) -> DataFrame:
+class Cases(StatefulProcessor):
+    """The state of one case: a list of its positions, to which a batch only appends its new ones and whose entries expire by
+    themselves; and one value with the last clock of each side, the number of rows let through and when it was last seen. A
+    case without rows for ``forget`` milliseconds is cleared by its timer, and if its next rows come before that, by them."""
+
+    def __init__(self, base: float, increment: float, most: int, forget: int):
+        self.base, self.increment, self.most, self.forget = base, increment, most, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getListState("seen", "position string", ttlDurationMs=self.forget)
+        self.last = handle.getValueState("last", "clock0 double, clock1 double, accepted bigint, at bigint")
+
+    def _clear(self) -> None:
+        self.seen.clear()
+        self.last.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now, known = timerValues.getCurrentProcessingTimeInMs(), self.last.get()
+        if known is not None and now - known[3] > self.forget:
+            self._clear()
+            known = None
+        *clocks, n = known[:3] if known is not None else (None, None, 0)
+        batch = pd.concat(list(rows)).sort_values("o", kind="stable").drop_duplicates("p")
+        if known is not None:
+            batch = batch[~batch["p"].isin({p for p, *_ in self.seen.get()})]
+        if len(batch):
+            self.seen.appendList([(p,) for p in batch["p"]])
+        place, spent = np.arange(len(batch)), np.full(len(batch), np.nan)
+        for side in (0, 1):
+            at = place[(batch["s"].to_numpy() == side) & batch["c"].notna().to_numpy()]
+            if len(at):
+                clock = batch["c"].to_numpy(float)[at]
+                before = self.base if clocks[side] is None else clocks[side]
+                spent[at] = np.maximum(0.0, np.concatenate([[before], clock[:-1]]) - clock + self.increment)
+                clocks[side] = float(clock[-1])
+        room = max(self.most - n, 0)
+        if known is None:
+            self.handle.registerTimer(now + self.forget)
+        self.last.update((*clocks, n + min(len(batch), room), now))
+        if min(len(batch), room):
+            out = pd.DataFrame({"k": [key[0]] * len(batch), "order": batch["o"].to_numpy(), "spent": spent})[:room]
+            yield out.astype({"spent": object}).where(out.notna(), None)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A case that had rows since its timer was set waits for its new time."""
+        known = self.last.get()
+        due = known[3] + self.forget if known is not None else 0
+        if due > timerValues.getCurrentProcessingTimeInMs():
+            self.handle.registerTimer(due)
+        else:
+            self._clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def durable(spark: SparkSession) -> None:
+    """Keeps the state of streams in RocksDB, which holds more than memory does, with changelogs as checkpoints."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def accepted(stream: DataFrame, case: str, order: str, position: str, side: str, clock: str, base: float, increment: float, most: int, forget: int = 30 * DAY) -> DataFrame:
     """(case, order, spent) of the rows of a stream that are let through: of equal positions of a case the first, and ``most``
     rows of each case at most. ``spent`` is the side's last clock, at first ``base``, less the new one, plus the increment, at
     least 0; null where the clock is null.
 
     Repeated positions are dropped before clocks are looked at, so that the next duration spans them. Within a batch rows are
-    taken by ``order``; later batches have to hold later rows of a case. A case's state holds its distinct positions.
+    taken by ``order``; later batches have to hold later rows of a case. Memory holds a case's rows of one batch and its
+    distinct positions; what stays between batches is in the state store, and a batch writes no more than is new. A case is forgotten ``forget`` milliseconds after its last row. Null
+    cases are one case; null positions are one position.
     """
+    durable(stream.sparkSession)
     kind = stream.schema[case].dataType.simpleString()
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen, *clocks, n = state.get if state.exists else ([], None, None, 0)
-        known, out = set(seen), []
-        for x in pd.concat(list(frames)).sort_values("o").itertuples():
-            if x.p in known:
-                continue
-            known.add(x.p)
-            spent = None
-            if x.c == x.c and x.c is not None:
-                last = base if clocks[x.s] is None else clocks[x.s]
-                spent, clocks[x.s] = max(0.0, last - x.c + increment), float(x.c)
-            if n < most:
-                n += 1
-                out.append((key[0], x.o, spent))
-        state.update((sorted(known), *clocks, n))
-        yield pd.DataFrame(out, columns=["k", "order", "spent"])
-
-    rows = stream.selectExpr(f"{case} as k", f"{order} as o", f"cast({position} as string) as p", f"cast({side} as int) as s", f"cast({clock} as double) as c")
-    out = rows.groupBy("k").applyInPandasWithState(update, f"k {kind}, {OUT}", STATE, "append", "NoTimeout")
+    rows = stream.selectExpr(f"{case} as k", f"cast({order} as bigint) as o", f"coalesce(cast({position} as string), '') as p", f"cast({side} as int) as s", f"cast({clock} as double) as c")
+    out = rows.groupBy("k").transformWithStateInPandas(Cases(base, increment, most, forget), f"k {kind}, order bigint, spent double", "Append", "ProcessingTime")
     return out.withColumnRenamed("k", case)

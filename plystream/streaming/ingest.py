@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 
 def ingest(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, files: int = 100, every: str | None = None) -> None:
@@ -20,10 +20,22 @@ def ingest(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
 
 def append(stream: DataFrame, sink: str, checkpoint: str, every: str | None = None):
     """Runs a stream into a Parquet folder until what there is is taken, or goes on by an interval and returns the query."""
-    writer = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+    return started(stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint), stream.sparkSession, every)
+
+
+def started(writer: DataStreamWriter, spark: SparkSession, every: str | None = None):
+    """Until what there is is taken, only batches with data run: timers by the clock would ask for empty ones for ever, and are
+    looked at with the next data. By an interval they run in their time."""
     if every is not None:
         return writer.trigger(processingTime=every).start()
-    return writer.trigger(availableNow=True).start().awaitTermination()
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        query = writer.trigger(availableNow=True).start()  # has a copy of the settings from here on
+    finally:
+        spark.conf.set(name, before)
+    query.awaitTermination()
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -35,12 +47,3 @@ def folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir is not set")
         shared = "file://" + tempfile.mkdtemp(prefix="plystream-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def first_of_key(stream: DataFrame, ts: str, keys: list[str], late: str) -> DataFrame:
-    """The first row of each key; a key is forgotten once the watermark has passed it, so state stays bounded."""
-    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
-
-
-def windowed_counts(stream: DataFrame, ts: str, keys: list[str], length: str, late: str) -> DataFrame:
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, length), *keys).count()

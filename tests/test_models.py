@@ -239,3 +239,21 @@ def test_state_of_cases_goes_on_over_batches(spark, tmp_path):
         ingest.append(s, f"{tmp_path}/out", f"{tmp_path}/mark")
     got = {(r.g, r.order): r.spent for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {("a", 0): 42.0, ("a", 1): 44.0, ("b", 0): None, ("a", 4): 17.0, ("b", 2): 72.0}  # ply 2 repeats p, ply 5 is the fourth
+
+
+def test_idle_cases_are_forgotten(spark, tmp_path):
+    """By their timers, whoever else has rows; what was seen before counts no more."""
+    import time
+
+    from plystream.streaming import cases
+
+    schema = "g string, ply long, pos string, side int, clk double"
+    for k, part in enumerate([[("a", 0, "p", 0, 60.0)], [("b", 0, "p", 0, 60.0)], [("a", 9, "p", 0, 50.0)]]):
+        spark.createDataFrame([*part], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        s = cases.accepted(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "g", "ply", "pos", "side", "clk", 100.0, 2.0, 1, forget=500)
+        ingest.append(s, f"{tmp_path}/out", f"{tmp_path}/mark")
+        kept = spark.read.format("statestore").option("stateVarName", "last").load(f"{tmp_path}/mark").selectExpr("key.k").collect()
+        assert [r.k for r in kept] == [["a"], ["b"], ["a"]][k]
+        time.sleep(0.6)
+    got = {(r.g, r.order): r.spent for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {("a", 0): 42.0, ("b", 0): 42.0, ("a", 9): 52.0}
