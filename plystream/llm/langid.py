@@ -21,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The bounds of the sample: languages (the most frequent labels), rows of each (those with the smallest hashes of their
-#: ids), and code points of each language, of whole rows.
-LANGS, ROWS, CHARS = 256, 64, 1 << 15
+#: The bounds of the sample: rows of each language (those with the smallest hashes of their ids), code points of each language, of
+#: whole rows, and code points of all languages together, which they share alike: so the automata of four languages or of a
+#: thousand take at most about 400 MB of a worker, and 60 MB where letters are few.
+ROWS, CHARS, TOTAL = 64, 1 << 15, 1 << 17
 #: Symbols of the most frequent letters, and in each place of the others' codes.
 DIRECT, DIGITS = 62, 64
-#: A text is rejected if it has LEAST symbols or more and its parse needs MOST times the bits of a uniform code of its letters,
-#: or more; texts half in one learned language and half in another need up to 1.0 times.
-LEAST, MOST = 256, 1.25
+#: A text of n symbols is rejected if its parse needs MOST * (1 + WIDE / n) times the bits of a uniform code of its letters, or more:
+#: one rule for all lengths, under which what few symbols show weighs little. Texts half in one learned language and half in
+#: another need up to 1.0 times.
+MOST, WIDE = 1.25, 64
 SEGMENT, LOT = 1024, 1 << 21
 UNKNOWN = "und"
 
@@ -37,18 +39,18 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("bigint").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", langs: int = LANGS, rows: int = ROWS, chars: int = CHARS) -> dict[str, list[str]]:
-    """Labelled text by language: of the ``langs`` most frequent labels, rows in the order of their ids' hashes, as long
-    as they fit into ``chars`` code points together; of a longer row, a stretch of that length at a hashed place. Rows
+def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS, chars: int = CHARS, total: int = TOTAL) -> dict[str, list[str]]:
+    """Labelled text by language, for every label: rows in the order of their ids' hashes, as long as they fit together into
+    ``chars`` code points or the label's share of ``total``; of a longer row, a stretch of that length at a hashed place. Rows
     without an id, text or label, and held-out ones, are left out; repeated rows count once."""
     use = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     use = use.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-    labels = use.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs)
+    chars = max(1, min(chars, total // max(1, use.select("lang").distinct().count())))
     order, size = F.xxhash64("doc_id"), F.char_length("text")
     begin = F.when(size > chars, F.pmod(order, size - chars + 1)).otherwise(0) + 1
     use = use.select("lang", "doc_id", order.alias("order"), F.substr("text", begin.cast("int"), F.lit(chars)).alias("text"))
     w = Window.partitionBy("lang").orderBy("order", "doc_id", "text")
-    use = use.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= rows).join(F.broadcast(labels), "lang", "left_semi")
+    use = use.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= rows)
     found: dict[str, list[str]] = {}
     left: dict[str, int] = {}
     for r in use.orderBy("lang", "rank").collect():
@@ -161,7 +163,7 @@ class Parser:
 
     def predict(self, texts: list[str]) -> list[tuple[str, float, float]]:
         """The winner, the alphabetically first among equals; its share in the two best, 1 - best / (best + second); and
-        bits of its parse over those of a uniform code, 0 for texts of less than LEAST symbols."""
+        bits of its parse over those of a uniform code, times n / (n + WIDE) for n symbols."""
         codes = [self.normalised(t) for t in texts]
         count = self.phrases(codes)
         out = []
@@ -171,7 +173,7 @@ class Parser:
                 continue
             best = int(np.argmin(count[:, k]))
             both = count[best, k] + np.delete(count[:, k], best).min() if len(self.langs) > 1 else np.inf
-            out.append((self.langs[best], float(1 - count[best, k] / both), float(count[best, k] * self.bits / len(c) / log2(self.letters)) if len(c) >= LEAST else 0.0))
+            out.append((self.langs[best], float(1 - count[best, k] / both), float(count[best, k] * self.bits / (len(c) + WIDE) / log2(self.letters))))
         return out
 
 
@@ -217,9 +219,9 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], doc_id: str = "doc_
 
 def identified(docs: DataFrame, samples: dict[str, list[str]], text: str = "text", lang: str = "lang", most: float = MOST) -> DataFrame:
     """The rows of ``docs`` whose language is identified, with all their columns, and the language in ``lang``, if there
-    is such a column. Rows with a null text and those without a letter go, and texts of LEAST symbols or more whose
-    parse in the best language needs ``most`` times the bits of a uniform code of the letters, or more: no language
-    explains them. Repeated rows share a decision. If no language was learned, rows with a letter stay as they are.
+    is such a column. Rows with a null text and those without a letter go, and texts of n symbols whose
+    parse in the best language needs ``most`` * (1 + WIDE / n) times the bits of a uniform code of the letters, or more: no
+    language explains them. Repeated rows share a decision. If no language was learned, rows with a letter stay as they are.
     Texts of any length are parsed whole. No exchange."""
     if not samples:
         return docs.where(F.col(text).rlike(r"\p{L}"))

@@ -62,7 +62,7 @@ def test_predictions_against_brute_force():
             assert lang == cost[0][1] and abs(score - (1 - cost[0][0] / (cost[0][0] + cost[1][0]))) < 1e-12
             size = max(len(decode(" ".join(samples[k]))) for k in samples)
             letters = len({c.lower() for k in samples for x in samples[k] for c in x if c.isalpha()})
-            want = cost[0][0] * math.log2(size + 2) / len(decode(t)) / math.log2(letters) if len(decode(t)) >= li.LEAST else 0.0
+            want = cost[0][0] * math.log2(size + 2) / (len(decode(t)) + li.WIDE) / math.log2(letters)
             assert abs(rate - want) < 1e-12
 
 
@@ -134,3 +134,17 @@ def test_edge_cases(spark):
 def test_labels_of_held_out_rows_play_no_part(spark):
     df = spark.createDataFrame([(i, "some text", "aa" if zlib.crc32(str(i).encode()) % 4 == 2 else "bb", None, None) for i in range(60)], SCHEMA)
     assert set(li.sample(df)) == {"bb"}
+
+
+def test_three_hundred_labels(spark):
+    """No label is left out, and their automata stay within bounds."""
+    rng = random.Random(11)
+    words = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 6))) for _ in range(30)] for k in range(300)}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(200)), k) for i, k in enumerate(list(words) * 4)]
+    df = spark.createDataFrame([(i, t, k, "s", 1) for i, t, k in rows], SCHEMA)
+    learnt = li.sample(df)
+    assert len(learnt) >= 295 and sum(len(t) for texts in learnt.values() for t in texts) <= li.TOTAL  # some labels have held-out rows only
+    parser = li.Parser(learnt)
+    assert sum(t.nbytes for t in parser.tables) < 500 << 20
+    some = [(k, " ".join(rng.choice(words[k]) for _ in range(60))) for k in sorted(learnt)[::10]]
+    assert [x for x, *_ in parser.predict([t for _, t in some])] == [k for k, _ in some]
