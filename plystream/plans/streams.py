@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plystream.plans.registry import query
-from plystream.sources import listed
+from plystream.sources import listed, store
 from plystream.streaming import cases, ingest
 
 
@@ -50,3 +50,36 @@ def read_sources(spark, sf):
         entries.append({"path": path, "tag": tag})
     got = listed.read_all(spark, listed.listed(entries))
     return got.select(F.col("source_tag").alias("tag"), F.regexp_extract("pgn", 'Event "([0-9]+)"', 1).cast("bigint").alias("event"), F.col("local_id").cast("bigint").alias("local_id"))
+
+
+SPLIT = "case when r <= floor(n * 0.8::double) then 'train' when r <= floor(n * 0.8::double) + floor(n * 0.1::double) then 'val' else 'test' end"
+LINES = "(select l_orderkey, list_sort(list(l_partkey)) as items from lineitem group by 1)"
+
+
+def _stored(spark, sf):
+    """Orders with their lines as windows, taken as a stream in which every fifth batch is followed by a checkpoint."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list("l_partkey")).alias("items"))
+    source = ingest.folder(spark, "windows")
+    spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderpriority", "o_custkey").join(lines, "o_orderkey", "left").repartition(8, "o_orderkey").write.parquet(source)
+    kept = store.WindowStore(spark, ingest.folder(spark, "store"), "o_orderkey", "o_orderpriority", "items")
+    windows = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 3).parquet(source)
+    take = store.sink(kept, store.furthest("o_orderpriority", "o_orderkey"), every=5)
+    ingest.started(windows.writeStream.foreachBatch(take).option("checkpointLocation", ingest.folder(spark, "progress")), spark)
+    kept.checkpoint()
+    return kept
+
+
+@query("checkpoint_store", f"""select o_orderkey, o_orderpriority, {SPLIT} as split, k as items from (
+  select o_orderkey, o_orderpriority, len(items) as k, row_number() over (partition by o_orderpriority order by md5('0:' || o_orderkey), o_orderkey) as r, count(*) over (partition by o_orderpriority) as n
+  from orders join {LINES} on l_orderkey = o_orderkey)""")
+def checkpoint_store(spark, sf):
+    return _stored(spark, sf).splits().select("o_orderkey", "o_orderpriority", "split", F.size("items").cast("bigint").alias("items"))
+
+
+@query("resume_points", f"select o_orderpriority as source, max(o_orderkey) as done from orders join {LINES} on l_orderkey = o_orderkey group by 1")
+def resume_points(spark, sf):
+    """How far each source was taken, as the last commit says."""
+    kept = _stored(spark, sf)
+    found = kept.windows().groupBy("o_orderpriority").agg(F.max("o_orderkey").alias("done"))
+    said = spark.createDataFrame(list(kept.state()["offsets"].items()), "source string, point bigint")
+    return found.join(said, (F.col("source") == F.col("o_orderpriority")) & (F.col("point") >= F.col("done"))).select("source", "done")
