@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
 from dataclasses import dataclass, replace
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plystream.sources import games
+from plystream.sources import frames, games
 
 #: What a list calls its kinds: compressed and plain text of games, and tables with a game in a column.
 KINDS = ("lichess", "fics", "csv")
@@ -31,24 +30,29 @@ class Source:
         return f"{self.kind}:{self.path}"
 
 
+#: The names that an entry of a list uses, and what each is where it is not given.
+FIELDS = {"path": None, "tag": None, "kind": None, "pgn_col": "pgn", "skip_games": 0, "max_games": None}
+
+
+def kind_of(path: str) -> str:
+    return {"zst": "lichess", "csv": "csv", "zip": "csv"}.get(path.lower().rpartition(".")[2], "fics")
+
+
 def listed(entries: list[dict], done: dict[str, int] | None = None) -> list[Source]:
     """Sources of a list of {path, tag, kind?, pgn_col?, skip_games?, max_games?}. Paths and tags are required and tags unique,
-    as ids of games begin with them. What ``done`` says of a source's key is skipped too."""
-    if not entries:
-        raise ValueError("the list of sources is empty")
-    out: list[Source] = []
-    for i, e in enumerate(entries):
-        for name in ("path", "tag"):
-            if not e.get(name):
-                raise ValueError(f"sources[{i}]: {name} is missing")
-        if e["tag"] in {s.tag for s in out}:
-            raise ValueError(f"sources[{i}]: tag {e['tag']} is there twice")
-        kind = e.get("kind") or ("lichess" if e["path"].lower().endswith(".zst") else "csv" if e["path"].lower().endswith((".csv", ".zip")) else "fics")
-        if kind not in KINDS:
-            raise ValueError(f"sources[{i}]: unknown kind {kind}")
-        source = Source(e["path"], e["tag"], kind, e.get("pgn_col", "pgn"), e.get("skip_games", 0), e.get("max_games"))
-        out.append(replace(source, skip=source.skip + (done or {}).get(source.key, 0)))
-    return out
+    as ids of games begin with them; all that is wrong with a list is said at once. What ``done`` says of a source's key is
+    skipped too."""
+    full = [FIELDS | {k: v for k, v in e.items() if v not in (None, "")} for e in entries]
+    kinds = [e["kind"] or kind_of(e["path"] or "") for e in full]
+    tags = Counter(e["tag"] for e in full if e["tag"])
+    faults = [] if entries else ["the list of sources is empty"]
+    faults += [f"source {i}: {name} is missing" for i, e in enumerate(full) for name in ("path", "tag") if not e[name]]
+    faults += [f"tag {tag} is there {'twice' if n == 2 else f'{n} times'}" for tag, n in tags.items() if n > 1]
+    faults += [f"source {i}: unknown kind {kind}" for i, kind in enumerate(kinds) if kind not in KINDS]
+    if faults:
+        raise ValueError("; ".join(faults))
+    out = [Source(e["path"], e["tag"], kind, e["pgn_col"], e["skip_games"], e["max_games"]) for e, kind in zip(full, kinds, strict=True)]
+    return [replace(s, skip=s.skip + (done or {}).get(s.key, 0)) for s in out]
 
 
 def unused(entries: list[Source], done: dict[str, int]) -> list[str]:
@@ -56,80 +60,16 @@ def unused(entries: list[Source], done: dict[str, int]) -> list[str]:
     return sorted(set(done) - {s.key for s in entries})
 
 
-def _text_games(text: Iterator[str]) -> Iterator[str]:
-    """Games of lines: a new one begins at a line that starts with ``[Event `` once there is something."""
-    now: list[str] = []
-    for line in text:
-        if line.startswith("[Event ") and "".join(now).strip():
-            yield "".join(now)
-            now = []
-        now.append(line)
-    if "".join(now).strip():
-        yield "".join(now)
-
-
-def zst_games(spark: SparkSession, path: str) -> DataFrame:
-    """(path, local_id, pgn) of zstd files, a task for each, with bad bytes replaced. A file is decompressed as a stream, but
-    its compressed bytes are one row, so it has to be under 2 GB; larger ones are split beforehand."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-
-        import zstandard
-
-        for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content.as_py()), read_across_frames=True) as raw:
-                    lot: list[str] = []
-                    n = 0
-                    for game in _text_games(io.TextIOWrapper(raw, "utf-8", errors="replace", newline="")):
-                        lot.append(game)
-                        if len(lot) == 1000:
-                            yield _batch(name, n, lot)
-                            n, lot = n + len(lot), []
-                    if lot:
-                        yield _batch(name, n, lot)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, local_id bigint, pgn string")
-
-
-def _batch(name: str, n: int, lot: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([name] * len(lot)), pa.array(range(n + 1, n + 1 + len(lot)), pa.int64()), pa.array(lot, pa.string())], ["path", "local_id", "pgn"])
+def zst_games(spark: SparkSession, path: str, split: int = frames.SPLIT) -> DataFrame:
+    """(path, local_id, pgn) of zstd files, with bad bytes replaced: a game begins at a line that starts with ``[Event ``. Files are
+    split by frames."""
+    return frames.numbered(frames.zstd(spark, path, "[Event ", split)).withColumnRenamed("value", "pgn")
 
 
 def zip_games(spark: SparkSession, path: str, column: str = "pgn") -> DataFrame:
     """(path, local_id, pgn) of the first ``.csv`` member of zip files, a task for each; rows without a game go before they are
     numbered. Without such a member or column the job fails."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import csv
-        import io
-        import zipfile
-
-        csv.field_size_limit(1 << 30)
-        for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
-                    member = next((m for m in z.namelist() if m.lower().endswith(".csv")), None)
-                    if member is None:
-                        raise ValueError(f"{name} has no csv member")
-                    with z.open(member) as raw:
-                        rows = csv.DictReader(io.TextIOWrapper(raw, "utf-8", errors="replace", newline=""))
-                        if column not in (rows.fieldnames or []):
-                            raise ValueError(f"{name} has no column {column}")
-                        lot: list[str] = []
-                        n = 0
-                        for r in rows:
-                            if not r[column]:
-                                continue
-                            lot.append(r[column])
-                            if len(lot) == 1000:
-                                yield _batch(name, n, lot)
-                                n, lot = n + len(lot), []
-                        if lot:
-                            yield _batch(name, n, lot)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, local_id bigint, pgn string")
+    return frames.numbered(frames.zipped(spark, path, column)).withColumnRenamed("value", "pgn")
 
 
 def read(spark: SparkSession, source: Source) -> DataFrame:
