@@ -1,127 +1,31 @@
-"""Named models over event logs, and the run that fits, scores, saves and loads one. Models are tables; neural training is
+"""Runs of models of ``operators.estimators``: fitted on a part of the cases of a log and scored on the others. Neural training is
 out of scope."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml import Estimator, Model
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plystream.operators import metrics, sequence, split
-from plystream.operators.transformer import LogConfig
-
-
-class Registry:
-    def __init__(self):
-        self._known: dict[str, type] = {}
-
-    def register(self, name: str) -> Callable[[type], type]:
-        def add(cls: type) -> type:
-            self._known[name] = cls
-            return cls
-
-        return add
-
-    def get(self, name: str) -> type:
-        if name not in self._known:
-            raise KeyError(f"no model is named {name}")
-        return self._known[name]
-
-    def available(self) -> dict[str, type]:
-        return dict(self._known)
-
-
-models = Registry()
-
-
-class _Counted:
-    """A model that is a table (key, prediction): the most frequent next event after each key; ties go to the smaller token,
-    and keys that were not seen to the most frequent event of all, under a null key."""
-
-    def __init__(self, table: DataFrame | None = None):
-        self.table = table
-
-    def _key(self, config: LogConfig):
-        raise NotImplementedError
-
-    def fit(self, df: DataFrame, config: LogConfig) -> _Counted:
-        rows = sequence.next_event(df, config.case, config.order, config.event).select(self._key(config).alias("key"), F.col("next_event").alias("prediction"))
-        counts = rows.groupBy("key", "prediction").agg(F.count("*").alias("n"))
-        both = counts.unionByName(counts.groupBy("prediction").agg(F.sum("n").alias("n")).withColumn("key", F.lit(None).cast("string")))
-        best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "prediction"))
-        self.table = both.withColumn("r", best).where("r = 1").select("key", "prediction")
-        return self
-
-    def predict(self, df: DataFrame, config: LogConfig) -> DataFrame:
-        """``df`` with the predicted next event of each row. One row of the table is broadcast, the rest joined by key."""
-        if self.table is None:
-            raise RuntimeError("fit or load the model first")
-        rest = self.table.where("key is null").select(F.col("prediction").alias("__all"))
-        keyed = self.table.where("key is not null").select(F.col("key").alias("__key"), F.col("prediction").alias("__own"))
-        out = df.withColumn("__k", self._key(config)).join(keyed, F.col("__k") == F.col("__key"), "left").crossJoin(F.broadcast(rest))
-        return out.withColumn("prediction", F.coalesce("__own", "__all")).drop("__k", "__key", "__own", "__all")
-
-    def save(self, path: str) -> None:
-        self.table.write.parquet(path)
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> _Counted:
-        return cls(spark.read.parquet(path))
-
-
-@models.register("most_frequent")
-class MostFrequent(_Counted):
-    def _key(self, config: LogConfig):
-        return F.lit(None).cast("string")
-
-
-@models.register("next_event")
-class NextEvent(_Counted):
-    def _key(self, config: LogConfig):
-        return F.col(config.event).cast("string")
-
-
-class Run:
-    """Fits a model by name on four fifths of the cases of a log and scores it on the others."""
-
-    def __init__(self, model: str, config: LogConfig, train: float = 0.8, seed: str = "0"):
-        self.name, self.config, self.train, self.seed = model, config, train, seed
-        self.model = None
-
-    def build(self) -> None:
-        self.model = models.get(self.name)()
-
-    def _split(self, df: DataFrame, part: str) -> DataFrame:
-        ids = split.stratified(df.select(self.config.case).distinct(), self.config.case, [], self.train, 1 - self.train, self.seed)
-        return df.join(ids.where(F.col("split").isin("train") if part == "train" else ~F.col("split").isin("train")).select(self.config.case), self.config.case, "left_semi")
-
-    def fit(self, df: DataFrame) -> Run:
-        if self.model is None:
-            self.build()
-        self.model.fit(self._split(df, "train"), self.config)
-        return self
-
-    def _built(self):
-        if self.model is None:
-            raise RuntimeError("build, fit or load a model first")
-        return self.model
 
-    def evaluate(self, df: DataFrame) -> DataFrame:
-        """One row: how many events were predicted and the share of right ones."""
-        c, model = self.config, self._built()
-        rows = sequence.next_event(self._split(df, "test"), c.case, c.order, c.event)
-        return model.predict(rows, c).agg(F.count("*").alias("n"), metrics.accuracy(F.col("prediction") == F.col("next_event")).alias("accuracy"))
 
-    def predict(self, df: DataFrame) -> DataFrame:
-        return self._built().predict(df, self.config)
+def held_out(df: DataFrame, case: str, train: float = 0.8, seed: str = "0") -> tuple[DataFrame, DataFrame]:
+    """The rows of ``train`` of the cases, and those of the others. Both halves of one exchange of the cases."""
+    ids = split.stratified(df.select(case).distinct(), case, [], train, 1 - train, seed)
+    dealt = df.join(ids.select(case, (F.col("split") == "train").alias("__train")), case)
+    return dealt.where("__train").drop("__train"), dealt.where("not __train").drop("__train")
 
-    def save(self, path: str) -> None:
-        self._built().save(path)
 
-    def load(self, spark: SparkSession, path: str) -> Run:
-        self.model = models.get(self.name).load(spark, path)
-        return self
+def evaluated(estimator: Estimator, df: DataFrame, train: float = 0.8, seed: str = "0") -> tuple[Model, DataFrame]:
+    """A fitted model and one row: how many events of the other cases were predicted, the share of right ones, and the mean natural
+    logarithm of the probability that they were given, at least 1e-15."""
+    case, order, event = (estimator.getOrDefault(n) for n in ("caseCol", "orderCol", "eventCol"))
+    known, other = held_out(df, case, train, seed)
+    model = estimator.fit(known)
+    rows = model.transform(sequence.next_event(other, case, order, event))
+    given = F.coalesce(F.try_element_at("probabilities", F.col("next_event").cast("string")), F.lit(0.0))
+    return model, rows.agg(F.count("*").alias("n"), metrics.accuracy(F.col("prediction") == F.col("next_event")).alias("accuracy"), F.avg(F.ln(F.greatest(given, F.lit(1e-15)))).alias("log_likelihood"))
 
 
 def projected(df: DataFrame, vector: str, k: int = 2) -> DataFrame:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plystream.operators import clock, importance, likeness, metrics, models
-from plystream.operators.transformer import LogConfig
+from plystream.operators import clock, estimators, importance, likeness, metrics, models
 from plystream.plans.evaluation import BUCKET
 from plystream.plans.event_log import R
 from plystream.plans.registry import query
@@ -142,7 +141,28 @@ b as (select k, y from (select k, y, row_number() over (partition by k order by
 a as (select y from t group by 1 order by sum(n) desc, y limit 1)
 select count(*) as n, round(avg((x.y = coalesce(b.y, (select y from a)))::int), 8) as accuracy from {NEXT} x left join b on b.k = x.k where user_id not in {TRAIN}""")
 def next_event_model(spark, sf):
-    """A model by name, fitted on four fifths of the cases and scored on the rest."""
-    config = LogConfig(case="user_id", event="event_type", time="ts", order="event_id")
-    e = events(spark, sf)
-    return models.Run("next_event", config).fit(e).evaluate(e).select("n", R(F.col("accuracy")).alias("accuracy"))
+    """A model fitted on four fifths of the cases and scored on the rest."""
+    found = estimators.NextEvent(caseCol="user_id", eventCol="event_type", orderCol="event_id")
+    return models.evaluated(found, events(spark, sf))[1].select("n", R(F.col("accuracy")).alias("accuracy"))
+
+
+@query("predict_proba", f"""with x as (select user_id, event_id, event_type as k, lag(event_type) over (partition by user_id order by event_id) as before,
+  coalesce(lead(event_type) over (partition by user_id order by event_id), 'EOS') as y from events),
+c as (select before, k, y, count(*) as n from x group by all), r as (select *, sum(n) over (partition by before, k) as seen, row_number() over (partition by before, k order by n desc, y) as r from c)
+select event_id, r.y as prediction, round(n / seen, 8) as probability from x join r on x.before is not distinct from r.before and x.k = r.k and r.r = 1""")
+def predict_proba(spark, sf):
+    """The likeliest next event after each two events of a case, and its probability."""
+    e = events(spark, sf).select("user_id", "event_id", "event_type")
+    got = estimators.NextEvent(caseCol="user_id", eventCol="event_type", orderCol="event_id", history=2).fit(e).transform(e)
+    return got.select("event_id", "prediction", R(F.element_at("probabilities", F.col("prediction"))).alias("probability"))
+
+
+@query("sparse_encoder", """with v as (select c, t, row_number() over (order by c, t) as i from (select distinct 'l_partkey' as c, l_partkey::varchar as t from lineitem union select distinct 'l_shipdate', left(l_shipdate::varchar, 10) from lineitem))
+select l_orderkey, l_linenumber, l_partkey, p.i::bigint as part_at, d.i::bigint as day_at, round((l_quantity - (select min(l_quantity) from lineitem)) / (select max(l_quantity) - min(l_quantity) from lineitem), 8) as quantity
+from lineitem join v p on p.c = 'l_partkey' and p.t = l_partkey::varchar join v d on d.c = 'l_shipdate' and d.t = left(l_shipdate::varchar, 10)""")
+def sparse_encoder(spark, sf):
+    """Vocabularies as large as the tables of their keys, as places in one sparse vector."""
+    d = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", F.substring(F.col("l_shipdate").cast("string"), 1, 10).alias("l_shipdate"), "l_quantity")
+    got = estimators.SparseEncoder(categories=["l_partkey", "l_shipdate"], numbers=["l_quantity"]).fit(d).transform(d)
+    at = lambda k: F.get("features.indices", F.lit(k))
+    return got.select("l_orderkey", "l_linenumber", "l_partkey", at(1).alias("part_at"), at(2).alias("day_at"), R(F.get("features.values", F.lit(0))).alias("quantity"))

@@ -6,8 +6,7 @@ import zipfile
 
 import numpy as np
 import pytest
-from plystream.operators import batches, clock, guards, metrics, models
-from plystream.operators.transformer import LogConfig
+from plystream.operators import batches, clock, estimators, guards, metrics, models
 from plystream.sources import listed, steps
 from plystream.streaming import ingest
 from pyspark.sql import functions as F
@@ -71,56 +70,74 @@ def test_manifest_and_shards(spark, tmp_path):
 
 
 def test_steps_run_once_and_again_when_asked(spark, tmp_path):
-    s, out, calls = steps.Steps(spark, f"{tmp_path}/state"), f"{tmp_path}/out", []
+    tried, out, calls = steps.Attempts(spark, f"{tmp_path}/attempts"), f"{tmp_path}/out", []
 
     def make():
         calls.append(1)
         return spark.range(len(calls))
 
-    assert not s.done("a") and s.run("a", make, out).count() == 1 and s.run("a", make, out).count() == 1
-    assert s.done("a") and not s.done("a", force=True) and s.run("a", make, out, force=True).count() == 2
+    assert tried.unfinished({"a": out}) == ["a"] and tried.output("a", make, out).count() == 1 and tried.output("a", make, out).count() == 1
+    assert tried.unfinished({"a": out, "b": out}) == ["b"] and tried.output("a", make, out, again=True).count() == 2
     (tmp_path / "out" / "_SUCCESS").unlink()  # an output that is not whole is made again
-    assert not steps.ready(spark, out) and s.run("a", make, out).count() == 3
+    assert not steps.ready(spark, out) and tried.output("a", make, out).count() == 3
     assert steps.ready(spark, out) and not steps.ready(spark, out, least=10**9)
     with pytest.raises(ZeroDivisionError):
-        s.run("b", lambda: spark.range(1 // 0), f"{tmp_path}/b")
-    assert not s.done("b") and "division" in s.state("b")["error"]
+        tried.output("b", lambda: spark.range(1 // 0), f"{tmp_path}/b", wait=[0.0, 0.0])
+    assert [(r.step, r.attempt, r.outcome) for r in tried.table().orderBy("step", "attempt").collect()] == [("a", k, "written") for k in (1, 2, 3)] + [("b", k, "failed") for k in (1, 2, 3)]
+    assert "division" in tried.last("b").error and tried.unfinished({"b": out}) == ["b"]
 
 
-def test_retry_waits_twice_as_long_each_time():
-    waits, tries = [], []
+def test_a_job_is_tried_again_after_pauses(spark, tmp_path):
+    left = [OSError("no"), OSError("no")]
 
-    @steps.retry(attempts=3, delay=2.0, errors=(OSError,), wait=waits.append)
-    def flaky(n):
-        tries.append(n)
-        if len(tries) < n:
-            raise OSError("no")
-        return n
+    def flaky():
+        if left:
+            raise left.pop()
+        return spark.range(7)
 
-    assert flaky(3) == 3 and waits == [2.0, 4.0]
-    tries.clear()
-    with pytest.raises(RuntimeError, match="flaky failed 3 times") as e:
-        flaky(9)
-    assert isinstance(e.value.__cause__, OSError)
-    with pytest.raises(TypeError):
-        flaky()
+    tried = steps.Attempts(spark, f"{tmp_path}/attempts")
+    assert tried.output("a", flaky, f"{tmp_path}/a", wait=steps.pauses(0.01, 2)).count() == 7 and tried.last("a").attempt == 3
+    assert steps.pauses(2.0, 5) == [2.0, 4.0, 8.0, 16.0, 32.0] and steps.pauses(400.0, 2) == [400.0, 600.0]
 
 
 def test_models_are_fitted_saved_and_loaded(spark, tmp_path):
-    rows = [(c, i, e) for c in range(20) for i, e in enumerate("abcab" if c % 3 else "aab")]
-    log = spark.createDataFrame(rows, "case_id int, ord int, event string").withColumn("time", F.timestamp_seconds("ord"))
-    assert set(models.models.available()) == {"most_frequent", "next_event"}
-    with pytest.raises(KeyError, match="odd"):
-        models.models.get("odd")
-    run = models.Run("next_event", LogConfig())
-    with pytest.raises(RuntimeError):
-        run.evaluate(log)
-    run.fit(log).save(f"{tmp_path}/m")
-    again = models.Run("next_event", LogConfig()).load(spark, f"{tmp_path}/m")
-    assert again.evaluate(log).first() == run.evaluate(log).first() and run.evaluate(log).first().accuracy > 0.5
-    assert {r.prediction for r in again.predict(log.withColumn("event", F.lit("new"))).collect()} == {"b"}
-    plain = models.Run("most_frequent", LogConfig()).fit(log)
-    assert {r.prediction for r in plain.predict(log).collect()} == {"b"} and plain.predict(log).count() == len(rows)
+    from pyspark.ml import Pipeline, PipelineModel
+
+    rows = [(c, i, e, float(i)) for c in range(20) for i, e in enumerate("abcab" if c % 3 else "aab")]
+    log = spark.createDataFrame(rows, "case_id int, ord int, event string, x double")
+    model, score = models.evaluated(estimators.NextEvent(), log)
+    assert score.first().accuracy > 0.5 and score.first().n == sum(5 if c % 3 else 3 for c in range(20)) - model.tables["contexts"].where("context is null").first().seen
+    chain = Pipeline(stages=[estimators.SparseEncoder(categories=["event"], numbers=["x"]), estimators.NextEvent(history=2)])
+    fitted = chain.fit(log)
+    fitted.save(f"{tmp_path}/chain")
+    again = PipelineModel.load(f"{tmp_path}/chain")
+    want, got = (sorted(map(str, m.transform(log).collect())) for m in (fitted, again))
+    assert got == want and again.stages[1].getOrDefault("history") == 2
+    classes = [r["class"] for r in again.stages[1].classes().collect()]
+    assert classes == ["EOS", "a", "b", "c"]
+    proba = again.stages[1].predict_proba(log, classes)
+    assert all(abs(sum(r.probability) - 1) < 1e-12 and r.prediction == classes[max(range(4), key=lambda k: (r.probability[k], -k))] for r in proba.collect())
+    first = proba.where("case_id = 1").orderBy("ord").collect()
+    assert [r.prediction for r in first] == ["b", "EOS", "a", "b", "EOS"] and first[0].probability == pytest.approx([0, 7 / 20, 13 / 20, 0])
+    new = log.withColumn("event", F.lit("new"))
+    assert {r.prediction for r in estimators.NextEvent().fit(log).transform(new).collect()} == {"b"}
+    plain = estimators.NextEvent(history=0).fit(log)
+    assert {r.prediction for r in plain.transform(log).collect()} == {"b"} and plain.transform(log).count() == len(rows)
+
+
+def test_sparse_features(spark, tmp_path):
+    rows = [("x", "p", 1.0), ("y", None, -1.0), ("x", "q", 3.0), (None, "p", None)]
+    df = spark.createDataFrame(rows, "a string, b string, n double")
+    model = estimators.SparseEncoder(categories=["a", "b"], numbers=["n"]).fit(df)
+    assert sorted((r.column, r.token, r.id) for r in model.tables["tokens"].collect()) == [("a", "x", 0), ("a", "y", 1), ("b", "p", 2), ("b", "q", 3)] and model.size() == 5
+    got = {(r.a, r.b): (r.features.indices, r.features["values"]) for r in model.transform(df.union(spark.createDataFrame([("odd", "q", 2.0)], df.schema))).collect()}
+    assert got == {("x", "p"): ([0, 1, 3], [0.0, 1.0, 1.0]), ("y", None): ([0, 2], [-1.0, 1.0]), ("x", "q"): ([0, 1, 4], [1.0, 1.0, 1.0]), (None, "p"): ([0, 3], [-1.0, 1.0]), ("odd", "q"): ([0, 4], [0.5, 1.0])}
+    many = estimators.SparseEncoder(categories=["t"]).fit(spark.range(30_000).select(F.concat(F.lit("t"), "id").alias("t")))  # more than any list of literals
+    ids = many.tables["tokens"].orderBy("token").toPandas()
+    assert ids.id.tolist() == list(range(30_000))
+    many.save(f"{tmp_path}/m")
+    assert estimators.SparseEncoderModel.load(f"{tmp_path}/m").size() == 30_000
+
 
 
 def test_projection(spark):
