@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from plystream.operators import sequence
+from plystream.operators import quantiles, sequence
 
 #: What each mode puts into a graph, beside labels and features.
 MODES = {"basic": ("edge_times", "node_times"), "time_decay": ("node_times",), "status": ("edge_times", "edge_types"), "time_decay_status": ("edge_times", "edge_types", "node_times")}
@@ -58,7 +58,7 @@ class LogTransformer:
     events: list[str] = field(default_factory=list)
     transitions: list[str] = field(default_factory=list)
     categories: dict[str, list[str]] = field(default_factory=dict)
-    fits: dict[str, Row] = field(default_factory=dict)
+    fits: dict[str, Row | dict] = field(default_factory=dict)
     fitted: bool = False
 
     def __post_init__(self):
@@ -86,12 +86,15 @@ class LogTransformer:
             steps = sequence.transitions(df.select(c.case, c.order, F.col(c.status).cast("string").alias(c.status)), c.case, c.order, c.status)
             self.transitions = sorted([*self._tokens(steps.select("transition")), UNKNOWN])
         valid = lambda n: F.when(F.col(n) != -1, F.col(n).cast("double"))
-        fits = lambda names: [f(valid(n)).alias(f"{k}_{n}") for n in names for k, f in (("lo", F.min), ("hi", F.max), ("mid", F.median))]
+        fits = lambda names: [f(valid(n)).alias(f"{k}_{n}") for n in names for k, f in (("lo", F.min), ("hi", F.max))]
         cases = self._cases(df)
         for rows, categories, numbers in ((df, c.categories, c.numbers), (cases, c.case_categories, c.case_numbers)):
             self.categories |= {n: self._tokens(rows.select(F.col(n).cast("string"))) for n in categories}
             if numbers:
-                self.fits |= {n: r for r in [rows.agg(*fits(numbers)).first()] for n in numbers}
+                self.fits |= {n: r.asDict() for r in [rows.agg(*fits(numbers)).first()] for n in numbers}
+                if not c.mask:  # only then do medians stand in for what is missing
+                    for n in numbers:
+                        self.fits[n] |= {f"mid_{n}": quantiles.median(rows.select(valid(n).alias("v")), "v")}
         times = sequence.time_deltas(df, c.case, c.order, c.time).agg(F.min("delta_s").alias("lo_delta"), F.max("delta_s").alias("hi_delta"))
         self.fits["delta"] = times.first()
         self.fitted = True
@@ -103,24 +106,28 @@ class LogTransformer:
             return F.when(value.isNotNull(), 0.0)
         return (value - F.lit(lo)) / F.lit(hi - lo if hi > lo else 1.0)
 
-    def _features(self, categories: tuple[str, ...], numbers: tuple[str, ...]) -> list[Column]:
-        out = []
+    def _features(self, categories: tuple[str, ...], numbers: tuple[str, ...]) -> Column:
+        """One array: the indicators of each vocabulary, then the numbers. A vocabulary is one constant array, not a column for each token."""
+        none = F.array().cast("array<double>")
+        out = [none]
         for n in categories:
             v = F.coalesce(F.col(n).cast("string"), F.lit(MISSING))
-            for token in [t for t in self.categories[n] if not (self.config.mask and t == MISSING)]:
-                on = (v == token).cast("double")
-                out.append(F.when(v == MISSING, -1.0).otherwise(on) if self.config.mask else on)
+            tokens = [t for t in self.categories[n] if not (self.config.mask and t == MISSING)]
+            on = F.transform(F.array(*map(F.lit, tokens)), lambda t, v=v: (v == t).cast("double")) if tokens else none
+            out.append(F.when(v == MISSING, F.array_repeat(F.lit(-1.0), len(tokens))).otherwise(on) if self.config.mask else on)
         for n in numbers:
             v = F.when(F.col(n) != -1, F.col(n).cast("double"))
             if self.config.mask:
-                out.append(F.coalesce(self._scaled(v, n), F.lit(-1.0)))
+                out.append(F.array(F.coalesce(self._scaled(v, n), F.lit(-1.0))))
             else:
-                out.append(self._scaled(F.coalesce(v, F.lit(self.fits[n][f"mid_{n}"])), n))
-        return out
+                out.append(F.array(self._scaled(F.coalesce(v, F.lit(self.fits[n][f"mid_{n}"])), n)))
+        return F.concat(*out)
 
     @staticmethod
-    def _index(tokens: list[str]) -> Column:
-        return F.create_map(*[F.lit(x) for k, t in enumerate(tokens) for x in (t, k)])
+    def _looked_up(df: DataFrame, tokens: list[str], key: Column, out: str) -> DataFrame:
+        """Adds the place of a token in a fitted list, null for others; the list, of ``most`` tokens at most, is broadcast."""
+        table = df.sparkSession.createDataFrame(list(enumerate(tokens)), f"{out} int, {out}_token string")
+        return df.withColumn(f"{out}_key", key).join(F.broadcast(table), F.col(f"{out}_key") == F.col(f"{out}_token"), "left").drop(f"{out}_key", f"{out}_token")
 
     def transform(self, df: DataFrame) -> DataFrame:
         """One row for each case: event_ids and labels (the event that follows, at last the end token) in row order,
@@ -130,21 +137,22 @@ class LogTransformer:
             raise RuntimeError("fit first")
         c = self.config
         w = Window.partitionBy(c.case).orderBy(c.order)
-        ids = self._index(self.events)
-        known = F.coalesce(F.try_element_at(ids, F.col(c.event).cast("string")), F.raise_error(F.concat(F.lit("unknown event: "), F.coalesce(F.col(c.event).cast("string"), F.lit("null")))).cast("int"))
-        d = df.withColumn("__id", known).withColumn("__features", F.array(*self._features(c.categories, c.numbers)).cast("array<double>"))
+        d = self._looked_up(df, self.events, F.col(c.event).cast("string"), "__id")
+        unknown = F.raise_error(F.concat(F.lit("unknown event: "), F.coalesce(F.col(c.event).cast("string"), F.lit("null")))).cast("int")
+        d = d.withColumn("__id", F.coalesce("__id", unknown)).withColumn("__features", self._features(c.categories, c.numbers))
         kept = [c.case, c.order, c.time, "__id", "__features", F.lead("__id", 1, self.events.index(sequence.EOS)).over(w).alias("__next")]
         if c.status:
             step = F.concat(F.col(c.status).cast("string"), F.lit("→"), F.lead(F.col(c.status).cast("string")).over(w))
-            code = F.coalesce(F.try_element_at(self._index(self.transitions), step), F.lit(self.transitions.index(UNKNOWN)))
-            kept.append(F.when(F.lead(c.order).over(w).isNotNull(), code).alias("__step"))
+            d = d.select("*", F.lead(c.order).over(w).isNotNull().alias("__more"), step.alias("__named"))
+            d = self._looked_up(d, self.transitions, F.col("__named"), "__code")
+            kept.append(F.when(F.col("__more"), F.coalesce("__code", F.lit(self.transitions.index(UNKNOWN)))).alias("__step"))
         else:
             kept.append(F.lit(None).cast("int").alias("__step"))
         rows = F.sort_array(F.collect_list(F.struct(c.order, "__id", "__next", "__features", "__step")))
         times = F.sort_array(F.collect_list(F.struct(c.time, F.col(c.order).alias("__o"))))
         g = d.select(*kept).groupBy(c.case).agg(rows.alias("r"), F.transform(times, lambda t: F.unix_micros(t[c.time].cast("timestamp"))).alias("t"))
         if c.case_categories or c.case_numbers:
-            own = F.array(*self._features(c.case_categories, c.case_numbers)).cast("array<double>")
+            own = self._features(c.case_categories, c.case_numbers)
             g = g.join(self._cases(df).select(c.case, own.alias("__own")), c.case)
         else:
             g = g.withColumn("__own", F.array().cast("array<double>"))

@@ -29,7 +29,7 @@ def brute_distance(a, b):
 
 @pytest.mark.parametrize("a,b", [("", "ab"), ("ab", "ba"), ("ca", "abc"), ("abcd", "acbd"), ("abc", "abc"), ("aab", "bba")])
 def test_distance(a, b):
-    assert likeness._distance(a, b) == brute_distance(a, b)
+    assert likeness.distances([(a, b), (b, a)]).tolist() == [brute_distance(a, b)] * 2
 
 
 def test_bleu_and_similarity_of_edge_cases(spark):
