@@ -113,7 +113,7 @@ class LogTransformer:
         for n in categories:
             v = F.coalesce(F.col(n).cast("string"), F.lit(MISSING))
             tokens = [t for t in self.categories[n] if not (self.config.mask and t == MISSING)]
-            on = F.transform(F.array(*map(F.lit, tokens)), lambda t, v=v: (v == t).cast("double")) if tokens else none
+            on = self._indicators(v, tokens) if tokens else none
             out.append(F.when(v == MISSING, F.array_repeat(F.lit(-1.0), len(tokens))).otherwise(on) if self.config.mask else on)
         for n in numbers:
             v = F.when(F.col(n) != -1, F.col(n).cast("double"))
@@ -123,6 +123,10 @@ class LogTransformer:
                 out.append(F.array(self._scaled(F.coalesce(v, F.lit(self.fits[n][f"mid_{n}"])), n)))
         return F.concat(*out)
 
+    @staticmethod
+    def _indicators(value: Column, tokens: list[str]) -> Column:
+        return F.transform(F.array(*map(F.lit, tokens)), lambda t: (value == t).cast("double"))
+
     @staticmethod
     def _looked_up(df: DataFrame, tokens: list[str], key: Column, out: str) -> DataFrame:
         """Adds the place of a token in a fitted list, null for others; the list, of ``most`` tokens at most, is broadcast."""

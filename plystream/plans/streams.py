@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plystream.plans.registry import query
-from plystream.sources import frames, listed, store
+from plystream.sources import frames, games, listed, store
 from plystream.streaming import cases, ingest
 
 
@@ -106,3 +106,27 @@ def staged_table(spark, sf):
     for _ in range(2):  # the second time nothing is decompressed
         got = frames.staged_table(spark, path, target, "doc_id bigint, n_chars bigint, source string")
     return got
+
+
+@query("result_scan", """select doc_id as problem_id, quality = 1 as move_correct, case when doc_id % 3 > 0 then toxic end as mate_true, count(*) over () as n from labels""")
+def result_scan(spark, sf):
+    """Results as they are written, with ``None`` and empty fields, and read back."""
+    d = spark.read.parquet(f"{sf}/labels.parquet")
+    said = F.when(F.col("doc_id") % 3 == 0, F.when(F.col("doc_id") % 2 == 0, "None").otherwise("")).otherwise(F.col("toxic").cast("string"))
+    path = ingest.folder(spark, "results")
+    d.select(F.col("doc_id").alias("problem_id"), F.initcap((F.col("quality") == 1).cast("string")).alias("move_correct"), said.alias("mate_true"), F.lit("x").alias("other")).write.csv(path, header=True)
+    got = games.results(spark, path, "problem_id bigint, move_correct boolean, mate_true int, mate_pred int")
+    return got.crossJoin(F.broadcast(got.agg(F.count("*").alias("n")))).where("mate_pred is null").drop("mate_pred")
+
+
+@query("pending_merge", """with s as (select l_orderkey, case when max(l_linenumber) > 4 then 'train' else 'val' end as split from lineitem where l_linenumber > 2 group by 1)
+select o_orderkey, split from orders left join s on l_orderkey = o_orderkey""")
+def pending_merge(spark, sf):
+    """Rows that come in three batches, of which the last comes twice, and find their split or wait."""
+    d = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey")
+    dealt = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber > 2").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.when(F.max("l_linenumber") > 4, "train").otherwise("val").alias("split"))
+    pending = ingest.folder(spark, "pending")
+    for k in (0, 1, 2, 2):
+        both = store.merge_pending(spark, pending, d.where(F.pmod("o_orderkey", F.lit(3)) == k), k, dealt if k == 2 else None, "o_orderkey")
+    ready, waiting = both
+    return ready.unionByName(waiting.withColumn("split", F.lit(None).cast("string")))

@@ -49,3 +49,14 @@ def holdout_row(rules: list[str]) -> Column:
 def numbered(df: DataFrame, path: str, row: str) -> DataFrame:
     """Numbers the rows of each file from 1, after whatever filters came before."""
     return df.withColumn("local_id", F.row_number().over(Window.partitionBy(path).orderBy(row)).cast("bigint"))
+
+
+def results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV tables of results with a header line: empty fields and ``None`` are null, and so is what does not fit its type. Columns
+    are found by name; those that a file lacks are null, others are left out."""
+    from pyspark.sql.types import StructType
+
+    wanted = StructType.fromDDL(schema)
+    rows = spark.read.csv(path, header=True, escape='"', enforceSchema=False)
+    text = lambda c: F.nullif(F.nullif(F.trim(c), F.lit("")), F.lit("None"))
+    return rows.select(*[(text(F.col(f"`{f.name}`")).try_cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted])

@@ -43,7 +43,8 @@ def folder(spark: SparkSession, name: str) -> str:
     temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set")
         shared = "file://" + tempfile.mkdtemp(prefix="plystream-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

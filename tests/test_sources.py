@@ -50,3 +50,9 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
 def test_early_stop(spark, losses, stop):
     d = spark.createDataFrame([("r", i, x) for i, x in enumerate(losses)], "run string, epoch int, loss double")
     assert cases.early_stop(d, "run", "epoch", "loss", 2).first().stop == stop
+
+
+def test_results_with_nothing_in_them(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('problem_id,mate_pred,best_move_uci,move_correct\np1,None,"",True\np2,,e2e4,False\np3,-2," ",\np4,odd,None,true\n')
+    got = games.results(spark, str(tmp_path / "r.csv"), "problem_id string, move_correct boolean, mate_pred int, best_move_uci string, mate_n int")
+    assert sorted(tuple(r) for r in got.collect()) == [("p1", True, None, None, None), ("p2", False, None, "e2e4", None), ("p3", None, -2, None, None), ("p4", True, None, None, None)]
