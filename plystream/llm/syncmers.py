@@ -25,6 +25,8 @@ K, S, SKETCH = 16, 6, 128
 BLOCK = 1 << 19
 _EDGE = 0x110000  # no code point; K // 2 of them stand before and after a text, so that short texts have anchors
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Where a row without an id stands in the order: before all others.
+NO_ID = -(2**63)
 ANCHOR = np.dtype([("hash", np.uint64), ("at", np.int64)])
 
 
@@ -188,7 +190,7 @@ def in_order(docs: DataFrame, buckets: int, doc_id: str = "doc_id", text: str =
 
     Returns __bucket, __copy, doc_id, text. Only the ranges' bounds and first ids, as many as buckets, go to the driver.
     """
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(2**63))).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ids = rows.select("doc_id")
     bounds = ids.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.25 / buckets) if buckets > 1 else []
     bounds = np.unique(np.array([int(x) for x in bounds], np.int64))
@@ -217,8 +219,8 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     as many of the next document's first ones, or all it has; the document after the last is the first.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Rows that share an
-    id follow each other by text. A lone document follows itself. Null texts count as empty; null ids come first, as
-    the smallest number. An empty table gives no rows. The texts cross one exchange.
+    id follow each other by text. A lone document follows itself. Null texts count as empty; null ids come first
+    and stay null. An empty table gives no rows. The texts cross one exchange.
     """
     from hashlib import sha256
 
@@ -245,7 +247,7 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
             edited = [(t := a[0][3])[: len(t) - len(t) // 4] + b[0][3][: len(t) // 4] for a, b in pairs]
             after = sketches(edited)
             yield pa.RecordBatch.from_arrays([
-                pa.array([a[0][2] for a, _ in pairs], pa.int64()), pa.array([len(a[0][3]) for a, _ in pairs], pa.int64()),
+                pa.array([None if a[0][2] == NO_ID else a[0][2] for a, _ in pairs], pa.int64()), pa.array([len(a[0][3]) for a, _ in pairs], pa.int64()),
                 pa.array([sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited], pa.string()),
                 pa.array([to_text(a[1]) for a, _ in pairs], pa.string()), pa.array([to_text(x) for x in after], pa.string()),
                 pa.array([likeness(a[1], x) for (a, _), x in zip(pairs, after, strict=True)], pa.float64()),
