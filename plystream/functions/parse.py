@@ -72,9 +72,13 @@ def san_candidates(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(SAN), 1)
 
 
+#: What a prompt says around a position.
+BEFORE_POSITION, AFTER_POSITION = "\n\nFEN: ", "\nBest move (UCI):"
+
+
 def move_prompt(fen: Column, instruction: str) -> Column:
     """A prompt that asks for the best move of a position: the instruction, the position, and the line to be completed."""
-    return F.concat(F.lit(instruction + "\n\nFEN: "), fen, F.lit("\nBest move (UCI):"))
+    return F.concat(F.lit(instruction + BEFORE_POSITION), fen, F.lit(AFTER_POSITION))
 
 
 def mating_material(fen: Column, least: int, ahead: int) -> Column:
