@@ -73,6 +73,26 @@ def test_overlapping_ranges(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_ranges_are_counted_without_pairs(spark):
+    rng = np.random.default_rng(4)
+    values = [(i, float(v)) for i, v in enumerate(np.concatenate([rng.uniform(-50, 50, 300), rng.integers(-50, 50, 300), np.full(300, 7.0)]))] + [(900, None), (901, 1e300), (902, -1e12), (903, float("nan")), (904, float("inf"))]
+    ranges = [(k, float(lo), float(lo + w)) for k, (lo, w) in enumerate(zip(rng.integers(-60, 60, 200), rng.choice([5e-324, 0.25, 1, 3, 4, 17, 64, 1000, 1e13], 200), strict=True))] + [(500, 7.0, 7.0), (501, 9.0, 3.0), (502, None, 3.0), (503, 0.0, 5e-324)]
+    whole = [(i, int(v * 10**16)) for i, v in values if v is not None and abs(v) < 100] + [(950, 2**63 - 1), (951, -(2**63))]
+    wide = [(k, int(lo * 10**16), int(lo * 10**16) + w) for k, (lo, w) in enumerate(zip(rng.integers(-50, 50, 200), [1, 2, 3, 5, 10**15, 10**16, 10**18, 3 * 10**18] * 25, strict=True))] + [(500, -(2**63), 2**63 - 1), (501, 2**63 - 2, 2**63 - 1)]
+    for v, r, kind in ((values, ranges, "double"), (whole, wide, "long")):
+        df, many = spark.createDataFrame(v, f"id long, v {kind}").repartition(3), spark.createDataFrame(r + r[:9], f"k int, lo {kind}, hi {kind}")
+        got = sorted((x.k, x.n, x.least) for x in intervals.range_counts(df, "v", many, "id").collect())
+        held = [(k, [i for i, x in v if x is not None and lo <= x < hi]) for k, lo, hi in r + r[:9] if lo is not None]
+        assert got == sorted((k, len(h), min(h)) for k, h in held if h)
+    assert intervals.range_counts(df, "v", many.limit(0), "id").count() == 0
+    # two thousand ranges that all hold two thousand values: nothing makes their pairs
+    df, many = spark.range(2000).selectExpr("id", "id as v"), spark.range(2000).selectExpr("id as k", "-id as lo", "2000 + id as hi")
+    found = intervals.range_counts(df, "v", many, "id")
+    assert found.groupBy("n", "least").count().collect() == [(2000, 0, 2000)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "NestedLoop" not in plan  # of ranges with what was counted for them
+
+
 def test_shard_files(spark, tmp_path):
     df = spark.range(1000).select("id", F.when(F.col("id") < 700, "train").otherwise("test").alias("split"))
     path = f"{tmp_path}/shards"
