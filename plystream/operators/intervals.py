@@ -78,8 +78,16 @@ def range_counts(df: DataFrame, value: str, ranges: DataFrame, least: str, lo: s
 
 def first_range(df: DataFrame, value: str, ranges: DataFrame, order: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Every row with the columns of the first range by ``order`` that holds its value, or nulls. Distinct values are matched, and
-    rows joined with what they found, so a value that very many rows have is matched once."""
+    rows joined with what they found, so a value that very many rows have is matched once. Of equal ranges only the first goes on, and
+    the first of all that hold a value comes from running minima over the ranges of its cells, so no pair is made. Ranges are finite."""
     columns = ranges.columns
-    values = df.select(F.col(value).alias("__value")).distinct()
-    found = _matches(values, "__value", ranges, lo, hi).groupBy("__value").agg(F.min_by(F.struct(*columns), F.struct(order, lo, hi)).alias("__range"))
+    first = (F.struct(*columns), F.struct(order, lo, hi))
+    each = ranges.groupBy(F.col(lo).alias("__lo"), F.col(hi).alias("__hi")).agg(F.min_by(*first).alias("__range"), F.min(first[1]).alias("__order"))
+    below = F.when(F.col("__part").isin(SUFFIX, WHOLE), F.col("__order"))
+    above = F.when(F.col("__part") == PREFIX, F.col("__order"))
+    values = df.select(F.col(value).alias("__value"), F.col(value).alias("__x")).distinct()
+    swept = _swept(values, each, {"__by_up": F.min(below), "__up": F.min_by("__range", below)}, {"__by_down": F.min(above), "__down": F.min_by("__range", above)}).where("__part is null")
+    either = F.array(F.struct(F.col("__by_up").alias("by"), F.col("__up").alias("range")), F.struct(F.col("__by_down").alias("by"), F.col("__down").alias("range")))
+    found = swept.select("__value", F.explode(either).alias("__best")).where("__best.by is not null")
+    found = found.groupBy("__value").agg(F.min_by("__best.range", "__best.by").alias("__range"))
     return df.join(found, F.col(value) == F.col("__value"), "left").select(*df.columns, *[F.col(f"__range.{c}").alias(c) for c in columns])

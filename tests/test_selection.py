@@ -84,6 +84,8 @@ def test_ranges_are_counted_without_pairs(spark):
         got = sorted((x.k, x.n, x.least) for x in intervals.range_counts(df, "v", many, "id").collect())
         held = [(k, [i for i, x in v if x is not None and lo <= x < hi]) for k, lo, hi in r + r[:9] if lo is not None]
         assert got == sorted((k, len(h), min(h)) for k, h in held if h)
+        first = {x.id: x.k for x in intervals.first_range(df, "v", many, "k").collect()}
+        assert first == {i: min((k for k, h in held if i in h), default=None) for i, _ in v}
     assert intervals.range_counts(df, "v", many.limit(0), "id").count() == 0
     # two thousand ranges that all hold two thousand values: nothing makes their pairs
     df, many = spark.range(2000).selectExpr("id", "id as v"), spark.range(2000).selectExpr("id as k", "-id as lo", "2000 + id as hi")
@@ -91,6 +93,10 @@ def test_ranges_are_counted_without_pairs(spark):
     assert found.groupBy("n", "least").count().collect() == [(2000, 0, 2000)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") == 1 and "NestedLoop" not in plan  # of ranges with what was counted for them
+    found = intervals.first_range(df, "v", many, "k")
+    assert found.groupBy("k").count().collect() == [(0, 2000)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "NestedLoop" not in plan  # of rows with what was found for them
 
 
 def test_shard_files(spark, tmp_path):
