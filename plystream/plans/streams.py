@@ -87,22 +87,21 @@ def resume_points(spark, sf):
 
 @query("zst_frames", "select doc_id, md5(coalesce(text, '')) as digest, row_number() over (order by doc_id) as local_id from documents")
 def zst_frames(spark, sf):
-    """Whole texts as games in one zstd file of many frames, read back by runs of frames."""
+    """Whole texts as games in zstd files of many frames, read back by runs of frames and numbered across the files."""
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.format_string('[Event "%d"]\n\n%s\n', "doc_id", F.coalesce("text", F.lit(""))).alias("game"))
     path = ingest.folder(spark, "zst")
-    frames.write_zstd(d.repartition(1).sortWithinPartitions("doc_id"), path, "game", 50)
-    got = listed.zst_games(spark, path, split=1 << 16)
+    frames.write_zstd(frames.by_order(d, "doc_id"), path, "game", 50)
+    got = listed.zst_games(spark, path, split=1 << 16, across=True)
     text = F.regexp_extract("pgn", r'(?s)^\[Event "[0-9]+"\]\n\n(.*)\n$', 1)
     return got.select(F.regexp_extract("pgn", r'^\[Event "([0-9]+)"', 1).cast("bigint").alias("doc_id"), F.md5(F.encode(text, "UTF-8")).alias("digest"), F.col("local_id").cast("bigint").alias("local_id"))
 
 
 @query("staged_table", "select doc_id, n_chars, source from documents")
 def staged_table(spark, sf):
-    """A compressed CSV table, staged as Parquet once and then read."""
-    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat_ws(",", "doc_id", "n_chars", "source").alias("line"))
-    lines = d.unionByName(spark.sql("select -1L as doc_id, 'doc_id,n_chars,source' as line")).select("doc_id", F.concat("line", F.lit("\n")).alias("line"))
+    """A compressed CSV table in files with a header each, staged as Parquet once and then read."""
+    lines = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat(F.concat_ws(",", "doc_id", "n_chars", "source"), F.lit("\n")).alias("line"))
     path, target = ingest.folder(spark, "csv"), ingest.folder(spark, "staged")
-    frames.write_zstd(lines.repartition(1).sortWithinPartitions("doc_id"), path, "line", 100)
+    frames.write_zstd(frames.by_order(lines, "doc_id"), path, "line", 100, "doc_id,n_chars,source\n")
     for _ in range(2):  # the second time nothing is decompressed
         got = frames.staged_table(spark, path, target, "doc_id bigint, n_chars bigint, source string")
     return got

@@ -24,8 +24,8 @@ from plystream.sources import files
 #: Fixed values of the format: the numbers that frames begin with, and the sizes of a header's fields by its flags.
 FRAME, SKIPPABLE = 0xFD2FB528, 0x184D2A50
 DICTIONARY, CONTENT = (0, 1, 2, 4), (0, 2, 4, 8)
-#: Compressed bytes of a partition, and bytes that are read at once.
-SPLIT, CHUNK = 64 << 20, 1 << 20
+#: Compressed bytes of a partition, bytes that are read at once, and those of what follows a partition, of which a record's rest is needed.
+SPLIT, CHUNK, REST = 64 << 20, 1 << 20, 1 << 16
 
 
 def opened(path: str):
@@ -161,7 +161,7 @@ class _ZstdReader(DataSourceReader):
                 own = _Limited(file, part.end - part.begin)
                 for source, mine in ((own, True), (file, False)):
                     with zstandard.ZstdDecompressor().stream_reader(source, read_across_frames=True, closefd=False) as raw:
-                        while got := raw.read(CHUNK):
+                        while got := raw.read(CHUNK if mine else REST):
                             yield got, mine
 
         lot, size, n = [], 0, 0
@@ -242,9 +242,17 @@ class _ZipReader(DataSourceReader):
                     yield _batch(part.path, 0, n, lot)
 
 
-def write_zstd(df: DataFrame, path: str, value: str, rows: int = 1000) -> int:
+def by_order(df: DataFrame, order: str) -> DataFrame:
+    """Rows in ranges of ``order``, one for each file that is written, which follow each other as the files' names do. There are as many as
+    shuffles have partitions, and at least as many as the input has, so that a task's share does not grow with the table."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    return df.repartitionByRange(n, order).sortWithinPartitions(order)
+
+
+def write_zstd(df: DataFrame, path: str, value: str, rows: int = 1000, header: str = "") -> int:
     """Writes a text column as zstd files, one for each partition, with a frame for each ``rows`` rows. Files are named by partition and
-    renamed when they are whole, so a task that runs again writes over its own. Returns the number of frames."""
+    renamed when they are whole, so a task that runs again writes over its own. Each file with rows begins with ``header``, a frame of its own.
+    Returns the number of frames."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -259,6 +267,9 @@ def write_zstd(df: DataFrame, path: str, value: str, rows: int = 1000) -> int:
         with system.open_output_stream(new) as out:
             for b in batches:
                 texts = b.column(0).to_pylist()
+                if header and texts and not n:
+                    out.write(zstandard.compress(header.encode()))
+                    n += 1
                 for lo in range(0, len(texts), rows):
                     out.write(zstandard.compress("".join(t or "" for t in texts[lo : lo + rows]).encode("utf-8", "surrogatepass")))
                     n += 1
@@ -279,11 +290,19 @@ def zipped(spark: SparkSession, path: str, column: str) -> DataFrame:
     return spark.read.format("zip_column").options(path=path, column=column).load()
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """(path, local_id, value): the records of each file counted from 1. The small table of parts gives each its offset."""
+def numbered(rows: DataFrame, across: bool = False) -> DataFrame:
+    """(path, local_id, value): the records of each file counted from 1, or, if ``across``, those of all files in the order of their
+    names. The small table of parts gives each its offset, and
+    a row for each file the files' offsets."""
     parts = rows.groupBy("path", "part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(parts.select("path", "part", before.alias("before")), ["path", "part"]).select("path", (F.col("before") + F.col("row") + 1).alias("local_id"), "value")
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select("path", "part", "n", earlier(Window.partitionBy("path").orderBy("part")).alias("before"))
+    if across:  # in one row for each file, so that no file is read once more
+        of_file = offsets.groupBy("path").agg(F.sum("n").alias("n"), F.collect_list(F.struct("part", "before")).alias("parts"))
+        of_part = of_file.select("path", "parts", earlier(Window.orderBy("path")).alias("files")).select("path", "files", F.inline("parts"))
+        offsets = of_part.withColumn("before", F.col("before") + F.col("files"))
+    offsets = offsets.select("path", "part", "before")
+    return rows.join(offsets, ["path", "part"]).select("path", (F.col("before") + F.col("row") + 1).alias("local_id"), "value")
 
 
 def staged_table(spark: SparkSession, source: str, target: str, schema: str, split: int = SPLIT) -> DataFrame:

@@ -60,10 +60,10 @@ def unused(entries: list[Source], done: dict[str, int]) -> list[str]:
     return sorted(set(done) - {s.key for s in entries})
 
 
-def zst_games(spark: SparkSession, path: str, split: int = frames.SPLIT) -> DataFrame:
+def zst_games(spark: SparkSession, path: str, split: int = frames.SPLIT, across: bool = False) -> DataFrame:
     """(path, local_id, pgn) of zstd files, with bad bytes replaced: a game begins at a line that starts with ``[Event ``. Files are
-    split by frames."""
-    return frames.numbered(frames.zstd(spark, path, "[Event ", split)).withColumnRenamed("value", "pgn")
+    split by frames, and games numbered in each, or ``across`` all of a folder."""
+    return frames.numbered(frames.zstd(spark, path, "[Event ", split), across).withColumnRenamed("value", "pgn")
 
 
 def zip_games(spark: SparkSession, path: str, column: str = "pgn") -> DataFrame:

@@ -2,9 +2,11 @@
 
 import random
 import zipfile
+from pathlib import Path
 
 import pytest
 import zstandard
+from plystream.plans import streams
 from plystream.sources import files, frames, listed
 
 
@@ -89,6 +91,29 @@ def test_a_table_is_staged_once(spark, tmp_path):
     assert frames.staged_table(spark, str(tmp_path / "t.csv.zst"), target, "id int, name string").count() == 500  # what was not finished is not
 
 
+def test_many_files_are_one_count(spark, tmp_path):
+    """Files are written by as many tasks as shuffles have, each with a share of the rows, and numbered on across them."""
+    df = spark.range(1000).selectExpr("id", """'[Event "' || id || '"]\n\n1. e4\n' as game""").repartition(3)
+    dealt = frames.by_order(df, "id")
+    sizes = dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) >= 8 and max(sizes) < 400
+    path = f"file://{tmp_path}/games"
+    frames.write_zstd(dealt, path, "game", 50)
+    got = listed.zst_games(spark, path, 1, across=True).orderBy("local_id").collect()
+    assert [(r.local_id, r.pgn) for r in got] == [(i + 1, f'[Event "{i}"]\n\n1. e4\n') for i in range(1000)]
+    assert len({r.path for r in got}) >= 8
+    assert listed.zst_games(spark, path).where("local_id = 1").count() == len({r.path for r in got})  # each file by itself
+    for few in (1, 1000):  # ranges without rows are files without a header
+        lines, path, target = df.where(f"id < {few}").selectExpr("id", "id || ',n' || id || '\n' as line"), f"file://{tmp_path}/csv{few}", f"file://{tmp_path}/staged{few}"
+        frames.write_zstd(frames.by_order(lines, "id"), path, "line", 10, "id,name\n")
+        assert sorted(map(tuple, frames.staged_table(spark, path, target, "id int, name string", 10).collect())) == [(i, f"n{i}") for i in range(few)]
+
+
+def test_plans_write_by_many_tasks(spark):
+    """No query deals all of a table to one task."""
+    assert "repartition(1)" not in Path(streams.__file__).read_text()
+
+
 def test_zip_members_are_streamed(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "z.zip", "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("t.csv", "pgn\n" + "".join(f'"game {i}\nmore"\n' for i in range(3000)))
