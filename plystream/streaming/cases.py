@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -30,32 +29,35 @@ class Cases(StatefulProcessor):
         self.seen.clear()
         self.last.clear()
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         now, known = timerValues.getCurrentProcessingTimeInMs(), self.last.get()
         if known is not None and now - known[3] > self.forget:
             self._clear()
             known = None
         *clocks, n = known[:3] if known is not None else (None, None, 0)
-        batch = pd.concat(list(rows)).sort_values("o", kind="stable").drop_duplicates("p")
+        firsts: dict[str, tuple] = {}
+        for _, o, p, s, c in rows:
+            at = (o is None, o or 0)
+            if p not in firsts or at < firsts[p][0]:
+                firsts[p] = (at, o, s, None if c is None or math.isnan(c) else c)
         if known is not None:
-            batch = batch[~batch["p"].isin({p for p, *_ in self.seen.get()})]
-        if len(batch):
-            self.seen.appendList([(p,) for p in batch["p"]])
-        place, spent = np.arange(len(batch)), np.full(len(batch), np.nan)
-        for side in (0, 1):
-            at = place[(batch["s"].to_numpy() == side) & batch["c"].notna().to_numpy()]
-            if len(at):
-                clock = batch["c"].to_numpy(float)[at]
-                before = self.base if clocks[side] is None else clocks[side]
-                spent[at] = np.maximum(0.0, np.concatenate([[before], clock[:-1]]) - clock + self.increment)
-                clocks[side] = float(clock[-1])
-        room = max(self.most - n, 0)
+            for p, *_ in self.seen.get():
+                firsts.pop(p, None)
+        batch = sorted(firsts.items(), key=lambda x: x[1][0])
+        if batch:
+            self.seen.appendList([(p,) for p, _ in batch])
+        out, room = [], max(self.most - n, 0)
+        for _, (_, o, s, c) in batch:
+            spent = None
+            if s in (0, 1) and c is not None:
+                before = self.base if clocks[s] is None else clocks[s]
+                spent, clocks[s] = max(0.0, before - c + self.increment), c
+            if len(out) < room:
+                out.append(Row(k=key[0], order=o, spent=spent))
         if known is None:
             self.handle.registerTimer(now + self.forget)
-        self.last.update((*clocks, n + min(len(batch), room), now))
-        if min(len(batch), room):
-            out = pd.DataFrame({"k": [key[0]] * len(batch), "order": batch["o"].to_numpy(), "spent": spent})[:room]
-            yield out.astype({"spent": object}).where(out.notna(), None)
+        self.last.update((*clocks, n + len(out), now))
+        yield from out
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """A case that had rows since its timer was set waits for its new time."""
@@ -83,12 +85,12 @@ def accepted(stream: DataFrame, case: str, order: str, position: str, side: str,
     least 0; null where the clock is null.
 
     Repeated positions are dropped before clocks are looked at, so that the next duration spans them. Within a batch rows are
-    taken by ``order``; later batches have to hold later rows of a case. Memory holds a case's rows of one batch and its
+    taken by ``order``; later batches have to hold later rows of a case. Memory holds a case's
     distinct positions; what stays between batches is in the state store, and a batch writes no more than is new. A case is forgotten ``forget`` milliseconds after its last row. Null
     cases are one case; null positions are one position.
     """
     durable(stream.sparkSession)
     kind = stream.schema[case].dataType.simpleString()
     rows = stream.selectExpr(f"{case} as k", f"cast({order} as bigint) as o", f"coalesce(cast({position} as string), '') as p", f"cast({side} as int) as s", f"cast({clock} as double) as c")
-    out = rows.groupBy("k").transformWithStateInPandas(Cases(base, increment, most, forget), f"k {kind}, order bigint, spent double", "Append", "ProcessingTime")
+    out = rows.groupBy("k").transformWithState(Cases(base, increment, most, forget), f"k {kind}, order bigint, spent double", "Append", "ProcessingTime")
     return out.withColumnRenamed("k", case)

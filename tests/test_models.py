@@ -274,3 +274,34 @@ def test_idle_cases_are_forgotten(spark, tmp_path):
         time.sleep(0.6)
     got = {(r.g, r.order): r.spent for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {("a", 0): 42.0, ("b", 0): 42.0, ("a", 9): 52.0}
+
+
+def test_a_case_takes_plain_rows():
+    """Rows come one by one, in any order, and only the first of each position is held."""
+
+    from types import SimpleNamespace
+
+    from plystream.streaming.cases import DAY, Cases
+    from pyspark.sql import Row
+
+    class State:
+        def __init__(self):
+            self.value, self.items = None, []
+
+        def get(self):
+            return self.value if self.value is not None else self.items or None
+
+        def update(self, v):
+            self.value = v
+
+        def appendList(self, v):
+            self.items += v
+
+    case, seen, last = Cases(60.0, 2.0, 3, DAY), State(), State()
+    case.seen, case.last, case.handle = seen, last, SimpleNamespace(registerTimer=lambda at: None)
+    now = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 5)
+    row = Row("k", "o", "p", "s", "c")
+    rows = [row(1, 4, "b", 0, 50.0), row(1, 2, "b", 0, 55.0), row(1, 3, "c", 1, float("nan")), row(1, 1, "a", None, 9.0), row(1, 5, "d", 0, 70.0), row(1, None, "a", 0, 1.0)]
+    out = list(case.handleInputRows((1,), iter(rows), now))
+    assert [(r.order, r.spent) for r in out] == [(1, None), (2, 7.0), (3, None)]
+    assert last.value == (70.0, None, 3, 5) and seen.items == [("a",), ("b",), ("c",), ("d",)]
