@@ -127,3 +127,12 @@ def test_nearest_against_all_rows(spark):
     t = spark.createDataFrame([(a, f"v{a}") for a in table], "at bigint, v string")
     got = clock.nearest(spark.createDataFrame(list(enumerate(keys)), "i int, k bigint"), "k", t, "at", "v").collect()
     assert {r.i: r.v_at for r in got} == {i: min(table, key=lambda a: (abs(a - k), a)) for i, k in enumerate(keys)} and all(r.v == f"v{r.v_at}" for r in got)
+
+
+def test_reindex_keeps_no_table_of_edges(spark):
+    """Repeated edges, null nodes and null graphs; both ends meet by a sort, which spills."""
+    e = spark.createDataFrame([(1, 5, 9, "a"), (1, 5, 9, "a"), (1, 9, None, "b"), (None, 3, 3, "c"), (None, 4, 3, "d")], "g int, s long, d long, x string")
+    got = batches.reindex(e, "g", "s", "d")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sorted((r.x, r.g, r.s, r.d) for r in got.collect()) == [("a", 1, 1, 2), ("a", 1, 1, 2), ("b", 1, 2, 0), ("c", None, 0, 0), ("d", None, 1, 0)]
